@@ -1,11 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontamination
+from . import decontamination, secrets, token_counts
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op7_secrets": secrets.op7_secrets,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
+#: Where SQL cannot express an operator, tests/llm holds it against brute force.
 SQL = {
     "op2_decontamination": decontamination.OP2_SQL,
 }
