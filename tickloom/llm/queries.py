@@ -1,14 +1,18 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontamination, secrets, token_counts
+from . import decontamination, secrets, token_counts, url_filters, warc
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_warc": warc.op3_warc,
     "op7_secrets": secrets.op7_secrets,
+    "op9_url_filters": url_filters.op9_url_filters,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
 #: Where SQL cannot express an operator, tests/llm holds it against brute force.
 SQL = {
     "op2_decontamination": decontamination.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
+    "op9_url_filters": url_filters.OP9_SQL,
 }
