@@ -10,11 +10,13 @@
 3. Candidates.  Two classes are candidates if a band of their signatures
    agrees.  With BANDS bands of ROWS slots a pair at the threshold of 0.8 is
    missed once in (1 - 0.8**5)**36, about 6e-7.
-4. Links.  A bucket is not expanded into its pairs: each member is verified
-   against the bucket's first member; what those links do not join is then
-   compared across the components found so far, so that no candidate that
-   could join two components is left out.  Verification is exact, on the
-   full shingle sets rebuilt from the texts.
+4. Links.  A bucket is not expanded into its pairs.  First each member is
+   verified against the bucket's hub, the member with the most company.  Then
+   buckets whose members are in several components still are compared in
+   full, in blocks of bounded size with one matrix product each, and only
+   links between components leave a block; so no candidate that could join
+   two components is left out.  Both verify on the full shingle sets, rebuilt
+   from the texts (64-bit hashes of the shingles).
 5. Groups.  Links are contracted by union-find inside each task, then by
    alternating large-star and small-star rounds in Spark until nothing changes.
 
@@ -48,6 +50,10 @@ PERCENT = 80
 BANDS = 36
 ROWS = 5
 CHUNK = 1 << 18
+#: Bounds of a block of a bucket (on average), and of the matrix columns held at once.
+BLOCK_MEMBERS = 2048
+BLOCK_SHINGLES = 1 << 19
+COLUMNS = 4096
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -213,6 +219,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def _apart(group: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between the roots in one block pair of a bucket.
+
+    Overlaps of all members against those outside the largest root, as products
+    of 0/1 matrices over the shingles that at least two members have.
+    """
+    names = sorted({bytes(m["root"]) for m in group})
+    number = {r: i for i, r in enumerate(names)}
+    root = np.array([number[bytes(m["root"])] for m in group])
+    block = np.array([m["block"] for m in group])
+    sizes = np.array([len(m["s"]) for m in group], np.int64)
+    test = np.flatnonzero(root != np.bincount(root).argmax())
+    values, inverse, often = np.unique(np.concatenate([m["s"] for m in group]), return_inverse=True, return_counts=True)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[inverse]
+    owner = np.repeat(np.arange(len(group)), sizes)
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(test), len(group)), np.float32)
+    for c in range(0, int(often[often > 1].size), COLUMNS):
+        lo, hi = np.searchsorted(column, [c, c + COLUMNS])
+        part = np.zeros((len(group), COLUMNS), np.float32)
+        part[owner[lo:hi], column[lo:hi] - c] = 1
+        shared += part[test] @ part.T
+    i = shared.astype(np.int64)
+    near = 100 * i >= percent * (sizes[test][:, None] + sizes[None, :] - i)
+    near &= root[test][:, None] != root[None, :]
+    if block.min() != block.max():  # pairs within a block are compared in that block's own group
+        near &= block[test][:, None] != block[None, :]
+    x, y = np.nonzero(near)
+    links = {(min(a, b), max(a, b)) for a, b in zip(root[test][x].tolist(), root[y].tolist(), strict=True)}
+    return [(names[a], names[b]) for a, b in sorted(links)]
+
+
+def _across(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (ra, rb) between roots that share a bucket, every pair of members compared.
+
+    left: bucket, node, n, root, and of the bucket: all (members), words (sum of n).
+    A bucket is cut into blocks of bounded size; a group is a pair of blocks.
+    """
+    parts = F.ceil(F.greatest(F.col("all") / BLOCK_MEMBERS, F.col("words") / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
+    cut = left.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = cut.join(texts, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = rows.groupBy("bucket", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"))
+    groups = keyed.agg(F.collect_list(F.struct("root", "block", "text")).alias("g"))
+    sets = groups.select(F.transform("g", lambda m: F.struct(m["root"].alias("root"), m["block"].alias("block"), shingles(m["text"], size).alias("s"))).alias("g"))
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            links = []
+            for group in batch.column(0):
+                members = group.values
+                fields = {f: members.field(f) for f in ("root", "block")}
+                s = members.field("s")
+                rows = [{"root": fields["root"][i].as_py(), "block": fields["block"][i].as_py(), "s": s[i].values.to_numpy()} for i in range(len(members))]
+                links += _apart(rows, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], names=["ra", "rb"])
+
+    return sets.mapInArrow(run, "ra binary, rb binary")
+
+
+def _joined(links: DataFrame, roots: DataFrame, place: Workspace, name: str) -> DataFrame:
+    """roots (node, root) after the links (ra, rb) between roots."""
+    found = links.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    joined = components(found, place, f"{name}-roots").select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(joined, roots["root"] == joined["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    return place.write(moved, f"{name}-nodes")
+
+
 def near_duplicates(docs: DataFrame, place: Workspace, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_key, n_shingles and component_id of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -220,34 +295,32 @@ def near_duplicates(docs: DataFrame, place: Workspace, size: int = WORDS, percen
     # One row per class: its least document stands for it.
     classes = seen.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("stands"))
     distinct = seen.where(F.col("node").isNotNull()).dropDuplicates(["node"]).select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = distinct.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where(F.col("hub.node") != F.col("last"))
-    members = place.write(distinct.join(buckets.select("bucket", "hub"), "bucket"), "members")
-
-    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    star = members.where(F.col("node") != F.col("hub.node")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n", F.col("hub.n").alias("m"))
-    pairs = place.write(star.where(close).select("a", "b").distinct(), "pairs")
+    shared = distinct.groupBy("bucket").agg(F.count("*").alias("count"), F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi"))
+    members = place.write(distinct.join(shared.select("bucket", "count"), "bucket"), "members")
+    # A member of many large buckets is near the middle of its group, hence a good hub.
+    nodes = place.write(members.groupBy("node").agg(F.sum("count").alias("weight")), "nodes")
 
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("stands.doc_id").alias("doc_id"), F.col("stands.text_key").alias("text_key"))
+    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("stands.doc_id").alias("doc_id"), F.col("stands.text_key").alias("text_key"))
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (text_key(docs["text"]) == wanted["text_key"])
     texts = place.write(docs.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    links = place.write(_verified(pairs, texts, size, percent), "links")
-    grouped = components(links, place, "first")
-    # What is left: members of one bucket in different components.
-    rooted = members.select("bucket", "node", "n").join(grouped, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    rooted = place.write(rooted, "rooted")
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") != F.col("r1")).select("bucket")
-    left = place.write(rooted.join(split, "bucket", "left_semi"), "left")
-    x = left.select("bucket", F.col("node").alias("a"), F.col("n"), F.col("root").alias("ra"))
-    y = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close).select("a", "b").distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")
-    more = place.write(_verified(across, texts, size, percent), "more")
-    if not more.isEmpty():
-        grouped = components(links.union(more), place, "second")
+    # Star: each member against the hub of its bucket.
+    weighed = members.join(nodes, "node")
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+    star = weighed.join(hubs, "bucket").where(F.col("node") != F.col("hub.node")).where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    star = star.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    links = place.write(_verified(star, texts, size, percent).select(F.col("a").alias("ra"), F.col("b").alias("rb")), "star-links")
+    roots = _joined(links, nodes.select("node", F.col("node").alias("root")), place, "star")
+
+    # Across: buckets whose members have several roots still.
+    rooted = members.join(roots, "node")
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("all"), F.sum("n").alias("words")).where(F.col("lo") != F.col("hi"))
+    left = rooted.join(split.select("bucket", "all", "words"), "bucket")
+    across = place.write(_across(left, texts, size, percent), "across-links")
+    roots = _joined(across, roots, place, "across")
 
     # The least document of each component.
-    roots = classes.select("node", "least").join(grouped, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    roots = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = roots.join(least, "root").select("node", "component_id")
     found = seen.select("doc_id", "text_key", "n", "node").join(by_node, "node", "left")
