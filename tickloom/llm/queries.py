@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontamination, minhash, secrets, token_counts, url_filters, warc
+from . import decontamination, minhash, quality, secrets, token_counts, url_filters, warc
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_warc": warc.op3_warc,
     "op6_minhash": minhash.op6_minhash,
     "op7_secrets": secrets.op7_secrets,
+    "op8_quality": quality.op8_quality,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_token_counts": token_counts.op10_token_counts,
 }
