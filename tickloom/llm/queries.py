@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontamination, minhash, quality, secrets, token_counts, url_filters, warc
+from . import decontamination, fingerprints, html_text, minhash, quality, secrets, token_counts, url_filters, warc
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_warc": warc.op3_warc,
+    "op4_html_text": html_text.op4_html_text,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_minhash": minhash.op6_minhash,
     "op7_secrets": secrets.op7_secrets,
     "op8_quality": quality.op8_quality,
