@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontamination, fingerprints, html_text, minhash, quality, secrets, token_counts, url_filters, warc
+from . import decontamination, fingerprints, html_text, minhash, quality, sampled_pieces, secrets, token_counts, url_filters, warc
 
 QUERIES = {
+    "op1_sampled_pieces": sampled_pieces.op1_sampled_pieces,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_warc": warc.op3_warc,
     "op4_html_text": html_text.op4_html_text,

@@ -58,19 +58,28 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
-def slice_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every slice codes[start:end], from one prefix sum.
+class SliceHashes:
+    """64-bit hash of any slice codes[start:end], from one prefix sum.
 
     Polynomial in randomised character values, mixed with the length: equal
     slices have equal hashes; two different ones agree once in about 2**64.
     """
-    n = len(codes)
-    with np.errstate(over="ignore"):
-        values = mix(codes.astype(U64) + U64(0x632BE59BD9B4E019))
-        prefix = np.zeros(n + 1, dtype=U64)
-        np.cumsum(values * _power("up", _BASE, n), out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * _power("down", pow(_BASE, -1, 1 << 64), n + 1)[starts]
-        return mix(h ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes)
+        self.prefix = np.zeros(n + 1, dtype=U64)
+        with np.errstate(over="ignore"):
+            np.cumsum(mix(codes.astype(U64) + U64(0x632BE59BD9B4E019)) * _power("up", _BASE, n), out=self.prefix[1:])
+        self.down = _power("down", pow(_BASE, -1, 1 << 64), n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+            return mix(h ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+
+
+def slice_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return SliceHashes(codes)(starts, ends)
 
 
 class DirectMap:
