@@ -29,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,7 @@ from .ragged import U64, SliceHashes, batches, code_points, long_pieces, mix, sl
 
 SCALE = 2000.0
 SEED = 1
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SPACE_MARK = "▁"
 _FILTER_BITS = 22
 
@@ -67,13 +69,16 @@ class Pieces:
                 texts.append(text)
                 ids.append(i)
                 weights.append(model.get_score(i) / scale)
-        codes = code_points("".join(texts))
-        ends = np.cumsum([len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
-        hashes = slice_hashes(codes, starts, ends)
+        self.ids, self.weights = np.array(ids), np.array(weights)
+        # All beginnings of pieces, with the piece that each is (or -1).
+        row = {t: i for i, t in enumerate(texts)}
+        begins = sorted({t[:k] for t in texts for k in range(1, len(t) + 1)})
+        ends = np.cumsum([len(t) for t in begins])
+        starts = ends - [len(t) for t in begins]
+        hashes = slice_hashes(code_points("".join(begins)), starts, ends)
         order = np.argsort(hashes)
-        self.hashes, self.ids, self.weights = hashes[order], np.array(ids)[order], np.array(weights)[order]
-        self.longest = int((ends - starts).max())
+        self.hashes, self.row = hashes[order], np.array([row.get(t, -1) for t in begins])[order]
+        self.longest = max(map(len, texts))
         self.byte_weight = float(min(weights)) - 1.0
         # First row of each slot of the leading hash bits, and how many rows share it.
         slot = self._slot(self.hashes)
@@ -82,14 +87,14 @@ class Pieces:
         self.most = int(np.bincount(slot).max())
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the hashes are pieces, their rows)."""
+        """(which of the hashes are beginnings of pieces, the piece that each is or -1)."""
         at = self.first[self._slot(hashes)]
         maybe = np.flatnonzero(at >= 0)
         at, wanted = at[maybe], hashes[maybe]
         for _ in range(1, self.most):
             at = np.where(self.hashes[at] < wanted, np.minimum(at + 1, len(self.hashes) - 1), at)
         good = self.hashes[at] == wanted
-        return maybe[good], at[good]
+        return maybe[good], self.row[at[good]]
 
     @staticmethod
     def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -103,54 +108,57 @@ class Lattices:
     """
 
     def __init__(self, pieces: Pieces, codes: np.ndarray, lengths: np.ndarray):
-        """codes: the units' characters in a row; lengths: how many each has."""
-        n = len(codes)
-        unit = np.repeat(np.arange(len(lengths)), lengths)
-        first = np.cumsum(lengths) - lengths
-        place = np.arange(n) - first[unit]
-        room = lengths[unit] - place
-        starts, ends, rows = [], [], []
-        longest = min(pieces.longest, int(lengths.max()))
+        """codes: the units' characters in a row; lengths: how many each has, longest first.
+
+        Nodes are numbered by place, then unit, so that edges sorted by their
+        end lie in the order of the forward pass.
+        """
+        n, longest_unit = len(codes), int(lengths[0])
+        unit = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        first = (np.cumsum(lengths) - lengths).astype(np.int32)
+        place = np.arange(n, dtype=np.int32) - first[unit]
+        room = lengths.astype(np.int32)[unit] - place
+        # Units that reach each place, and where its nodes begin.
+        reach = len(lengths) - np.searchsorted(lengths[::-1], np.arange(longest_unit + 1), "left")
+        offset = np.concatenate([[0], np.cumsum(reach)]).astype(np.int32)
+        n_nodes = int(offset[-1])
+        starts, widths, rows = [], [], []
+        longest = min(pieces.longest, longest_unit)
         hashed = SliceHashes(codes)
-        for size in range(longest, 0, -1):  # long pieces first: they are the likely ones
-            at = np.flatnonzero(room >= size)
+        at = np.arange(n, dtype=np.int32)
+        for size in range(1, longest + 1):
+            at = at[room[at] >= size]
             hit, row = pieces.find(hashed(at, at + size))
-            starts.append(at[hit])
-            ends.append(at[hit] + size)
-            rows.append(row)
+            at = at[hit]  # longer pieces can only begin where this much of one does
+            whole = row >= 0
+            starts.append(at[whole])
+            widths.append(np.full(int(whole.sum()), size, np.int32))
+            rows.append(row[whole])
         alone = np.ones(n, bool)
-        alone[starts[-1]] = False
-        alone = np.flatnonzero(alone)  # characters that only bytes can write
+        alone[starts[0]] = False
+        alone = np.flatnonzero(alone).astype(np.int32)  # characters that only bytes can write
         width = 1 + (codes[alone] >= 0x80).astype(np.int64) + (codes[alone] >= 0x800) + (codes[alone] >= 0x10000)
-        start = np.concatenate([*starts, alone])
-        end = np.concatenate([*ends, alone + 1])
-        row = np.concatenate([*rows, np.full(len(alone), -1)])
-        weight = np.concatenate([pieces.weights[np.concatenate(rows)], pieces.byte_weight * width])
-        # Node of position p in unit u: first[u] + u + p (a unit of m characters has m + 1 nodes).
-        self.base = first + np.arange(len(lengths))
-        self.last = self.base + lengths
-        u = unit[start]
-        tail, tip = start + u, end + u
+        # Long pieces first: they are the likely ones.
+        row = np.concatenate([*rows[::-1], np.full(len(alone), -1)])
+        weight = np.concatenate([pieces.weights[row[: len(row) - len(alone)]], pieces.byte_weight * width])
+        start = np.concatenate([*starts[::-1], alone])
+        u, from_ = unit[start], place[start]
+        to = from_ + np.concatenate([*widths[::-1], np.ones(len(alone), np.int32)])
+        self.units, self.last = len(lengths), offset[lengths] + np.arange(len(lengths))
+        tip = offset[to] + u
         order = np.argsort(tip, kind="stable")
-        tail, tip, self.row, weight, place_of_tip = tail[order], tip[order], row[order], weight[order], (place[start] + end - start)[order]
-        self.char = start[order]
-        n_nodes = n + len(lengths)
+        tip, tail, self.row, weight, self.char = tip[order], (offset[from_] + u)[order], row[order], weight[order], start[order]
+        head = np.flatnonzero(np.r_[True, tip[1:] != tip[:-1]])
         forward = np.full(n_nodes, -np.inf)
-        forward[self.base] = 0.0
-        # Forward filtering: all nodes at one distance from their unit's start at a time.
-        if lengths.max() < 1 << 16:
-            place_of_tip = place_of_tip.astype(np.uint16)  # sorts by radix
-        by_place = np.argsort(place_of_tip, kind="stable")
-        cuts = np.searchsorted(place_of_tip[by_place], np.arange(1, int(lengths.max()) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            e = by_place[a:b]
-            t = tip[e]
-            head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            forward[t[head]] = np.logaddexp.reduceat(forward[tail[e]] + weight[e], head)
+        forward[: len(lengths)] = 0.0
+        # Forward filtering: all nodes at one place at a time.
+        cuts = np.searchsorted(tip, offset[1:])
+        heads = np.searchsorted(head, cuts)
+        for a, b, i, j in zip(cuts[:-1], cuts[1:], heads[:-1], heads[1:], strict=True):
+            forward[tip[head[i:j]]] = np.logaddexp.reduceat(forward[tail[a:b]] + weight[a:b], head[i:j] - a)
         share = np.exp(forward[tail] + weight - forward[tip])
         # One increasing array for all nodes: node number plus the cumulative share of its edges.
         total = np.cumsum(share)
-        head = np.flatnonzero(np.r_[True, tip[1:] != tip[:-1]])
         size = np.diff(np.r_[head, len(tip)])
         before = np.repeat(total[head] - share[head], size)
         self.ladder = tip + np.minimum(total - before, 1.0)
@@ -212,13 +220,17 @@ class Sampler:
         """(ids in text order, the unit each belongs to)."""
         _, at, which = np.unique(slice_hashes(codes, starts, ends), return_index=True, return_inverse=True)
         lengths = (ends - starts)[at]
+        order = np.argsort(-lengths, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at, lengths, which = at[order], lengths[order], place[which]
         index = np.repeat(starts[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         units = codes[index]
         lattice = Lattices(self.pieces, units, lengths)
         with np.errstate(over="ignore"):
             seed = mix(keys.astype(np.int64).view(np.uint64) + mix(number.astype(np.uint64) + U64(0x632BE59BD9B4E019)))
         live = np.arange(len(starts))
-        node, base = lattice.last[which], lattice.base[which]
+        node = lattice.last[which]
         edges, owners = [], []
         step = 0
         while len(live):
@@ -228,7 +240,7 @@ class Sampler:
             edges.append(edge)
             owners.append(live)
             node[live] = lattice.tail[edge]
-            live = live[node[live] > base[live]]
+            live = live[node[live] >= lattice.units]
             step += 1
         edge, owner = np.concatenate(edges), np.concatenate(owners)
         back = np.repeat(np.arange(step), [len(x) for x in owners])
@@ -263,18 +275,28 @@ def encode(docs: DataFrame, path: str, key: Column | None = None, scale: float =
     path: the model file, at the same place on every executor; key: the row's
     key, an integer (default: the hash of doc_id).
     """
-    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
-    samplers: dict[str, Sampler] = {}
-
-    @F.pandas_udf(kind)
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        sampler = samplers.setdefault(path, Sampler(path, scale))
-        for text, keys in parts:
-            ids = sampler.encode(text.tolist(), keys.to_numpy())
-            yield pd.DataFrame({"ids": ids, "lossless": [sampler.decode(i) == t for i, t in zip(ids, text, strict=True)]})
-
-    made = docs.withColumn("__made", run(F.coalesce("text", F.lit("")), row_key() if key is None else key))
-    return made.select(*docs.columns, F.col("__made.ids").alias("ids"), F.col("__made.lossless").alias("lossless"))
+    names = docs.columns
+    made = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    at = names.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(path, scale)
+        for part in parts:
+            size = np.cumsum(pc.fill_null(pc.utf8_length(part.column(at)), 0).to_numpy())
+            a = 0
+            # Small slices of rows go through and out at once: memory follows CHUNK and the longest text.
+            while a < len(part):
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHUNK, "right")))
+                rows = part.slice(a, b - a)
+                texts = rows.column(at).to_pylist()
+                ids = sampler.encode(texts, rows.column(len(names)).to_numpy())
+                lossless = [sampler.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                upto = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists, pa.array(lossless)], names=[*names, "ids", "lossless"])
+                a = b
+
+    return docs.withColumn("__key", row_key() if key is None else key).mapInArrow(run, made)
 
 
 def decode(ids: Column, path: str) -> Column:
