@@ -1,4 +1,6 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import factor_queries
+
+QUERIES: dict = {**factor_queries.QUERIES}
+SQL: dict = {**factor_queries.SQL}
