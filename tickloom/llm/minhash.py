@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, lower_ascii, table, text_key
-from .ragged import U64, mix
+from .ragged import U64, mix, release
 
 WORDS = 5
 PERCENT = 80
@@ -158,6 +158,7 @@ def described(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 b = max(a + 1, int(np.searchsorted(upto, upto[a] + CHUNK, "right")) - 1)
                 yield one(part.slice(a, b - a))
                 a = b
+            release()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), shingles(F.col("text"), size).alias("s"))
     return read.mapInArrow(run, schema)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .ragged import release
 
 SAMPLE = 20_000
 FOLDS = 5
@@ -84,7 +85,9 @@ def text_features(text: str | None) -> list[float]:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def features_of(text: pd.Series) -> pd.Series:
-    return text.map(text_features)
+    found = text.map(text_features)
+    release()
+    return found
 
 
 @dataclass
@@ -163,7 +166,9 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame
 
     @F.pandas_udf(T.DoubleType())
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(held.value.score(np.array([text_features(t) for t in text]).reshape(len(text), len(FEATURES))))
+        scores = pd.Series(held.value.score(np.array([text_features(t) for t in text]).reshape(len(text), len(FEATURES))))
+        release()
+        return scores
 
     return docs.withColumn(name, score("text"))
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .ragged import U64, SliceHashes, batches, code_points, long_pieces, mix, slice_hashes
+from .ragged import U64, SliceHashes, batches, code_points, long_pieces, mix, release, slice_hashes
 
 SCALE = 2000.0
 SEED = 1
@@ -295,6 +295,7 @@ def encode(docs: DataFrame, path: str, key: Column | None = None, scale: float =
                 lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists, pa.array(lossless)], names=[*names, "ids", "lossless"])
                 a = b
+            release()
 
     return docs.withColumn("__key", row_key() if key is None else key).mapInArrow(run, made)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .ragged import DirectMap, batches, code_points, long_pieces, slice_hashes
+from .ragged import DirectMap, batches, code_points, long_pieces, release, slice_hashes
 
 LIMIT = 512
 CHUNK = 1 << 20
@@ -185,6 +185,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         for part in parts:
             n = counter(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+            release()
 
     text = F.coalesce("text", F.lit(""))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
