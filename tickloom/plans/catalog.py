@@ -1,6 +1,6 @@
 """All registered queries of the library and their SQL."""
 
-from . import factor_queries
+from . import factor_queries, operator_queries
 
-QUERIES: dict = {**factor_queries.QUERIES}
-SQL: dict = {**factor_queries.SQL}
+QUERIES: dict = {**factor_queries.QUERIES, **operator_queries.QUERIES}
+SQL: dict = {**factor_queries.SQL, **operator_queries.SQL}
