@@ -24,6 +24,8 @@ def _sql(x) -> str:
 
 
 #: Rounding in which both engines agree: to whole numbers of 1e-8.
+#: Keeps exact halves off the edge of rounding, where the order of a sum would decide.
+NUDGE = 0.001953125
 _R = "round({} * CAST(1e8 AS DOUBLE), 0)"
 
 
@@ -248,11 +250,11 @@ class Frame:
     # results
 
     def final(self, outputs: dict[str, X], digits: int = 4) -> dict[str, str]:
-        clean = "CASE WHEN isnan({0}) OR abs({0}) > 1e30 THEN NULL ELSE round({0} * CAST({1} AS DOUBLE), 0) / CAST({1} AS DOUBLE) + CAST(0 AS DOUBLE) END"
+        clean = "CASE WHEN isnan({0}) OR abs({0}) > 1e30 THEN NULL ELSE round({0} * CAST({1} AS DOUBLE) + CAST({2} AS DOUBLE), 0) / CAST({1} AS DOUBLE) + CAST(0 AS DOUBLE) END"
         held = {}
         for name, x in outputs.items():
             column = self.let(f"CAST({x.sql} AS DOUBLE)", x.stage)
-            held[name] = clean.format(column.sql, 10**digits)
+            held[name] = clean.format(column.sql, 10**digits, NUDGE)
         return held
 
     def prune(self, outputs: dict[str, X]) -> None:

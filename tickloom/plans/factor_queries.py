@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dialect import Duck
-from ..functions.factors import alpha101, market
+from ..functions.factors import alpha101, alpha191, market
 from ..functions.rolling import Frame
 from ..sources.views import PANEL, PANEL_SQL, panel
 
@@ -37,10 +37,19 @@ def _register(name: str, make, names=None, has_sql: bool = True) -> None:
         SQL[name] = check(make, names)
 
 
-_names = sorted(alpha101.factors(Frame(PANEL)))
+#: Powers with an unbounded exponent: values beyond 1e20, whose last digits engines do not share.
+UNBOUNDED = ("alpha084", "alpha191_017")
+_names = sorted(n for n in alpha101.factors(Frame(PANEL)) if n not in UNBOUNDED)
 for _k in range(0, len(_names), BATCH):
     _part = _names[_k : _k + BATCH]
     _register(f"alpha101_{_part[0][5:]}_{_part[-1][5:]}", alpha101.factors, _part)
+_names = [n for n in alpha191.factors(Frame(PANEL)) if n not in UNBOUNDED]
+for _k in range(0, len(_names), BATCH):
+    _part = _names[_k : _k + BATCH]
+    _register(f"{_part[0]}_{_part[-1][9:]}", alpha191.factors, _part)
+_register("alpha101_084", alpha101.factors, ["alpha084"], has_sql=False)
+_register("alpha191_017", alpha191.factors, ["alpha191_017"], has_sql=False)
+_register("alpha191_recursive", alpha191.recursive, has_sql=False)
 for _name, _make in {
     "returns": market.returns, "window_primitives": market.primitives, "volatility": market.volatility, "microstructure_daily": market.microstructure,
     "trend": market.trend, "strategy_signals": market.strategies, "performance_rolling": market.performance, "fracdiff_ffd": market.fractional, "market_regime": market.regime,

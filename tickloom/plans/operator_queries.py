@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rolling import NUDGE
 from ..operators import bars, joins, labels, panel as cross
 from ..sources.views import PANEL_SQL, TICKS_SQL, panel, sql, ticks
 
@@ -15,8 +16,6 @@ RET = f"{P}, r AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER
 T = f"WITH ticks AS ({TICKS_SQL}), stepped AS (SELECT *, sign(price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq)) AS d FROM ticks), sided AS (SELECT *, CAST(coalesce(last_value(CASE WHEN d <> 0 THEN d END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq), 0) AS DOUBLE) AS side FROM stepped)"
 BAR = "max(ts) AS date_time, arg_min(price, row(ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, row(ts, seq)) AS close, round(sum(volume), 4) AS volume, round(sum(CASE WHEN side = 1 THEN volume ELSE 0 END), 4) AS cum_buy_volume, count(*) AS cum_ticks, round(sum(price * volume), 4) AS cum_dollar_value"
 THRESHOLD = 1000.0
-#: Keeps exact halves off the edge of rounding, where the order of a sum would decide.
-NUDGE = 0.001953125
 
 QUERIES: dict = {}
 SQL: dict = {}
