@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import fundamentals, statistics as st
+from ..operators import breaks, fundamentals, statistics as st
 from ..sources.views import panel, sql
 from .operator_queries import P, QUERIES as _BEFORE, RET, SQL as _SQL_BEFORE, _r, query, returns
 
@@ -159,5 +159,57 @@ def factor_classifier_job(spark, sf_dir):
     return scored.select("ticker", "date", "label", "prediction", vector_to_array("probability")[1].alias("probability"))
 
 
+@query()
+def csw_cusum(spark, sf_dir):
+    return breaks.csw_cusum(panel(spark, sf_dir))
+
+
+@query(f"{P}, l AS (SELECT ticker, date, ln(close) AS y, lag(ln(close)) OVER (PARTITION BY ticker ORDER BY date) AS l FROM panel), s AS (SELECT ticker, date, sum(l * l) OVER w AS xx, sum(l * (y - l)) OVER w AS xd, sum((y - l) * (y - l)) OVER (PARTITION BY ticker) AS dd, count(*) OVER (PARTITION BY ticker) AS n FROM l WHERE l IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT ticker, CAST(date AS VARCHAR) AS date, {_r('(xd / xx) / sqrt((dd - xd / xx * xd) / (n - 1) / xx)')} AS t FROM s WHERE n > 2")
+def chow_df(spark, sf_dir):
+    return breaks.chow_df(panel(spark, sf_dir))
+
+
+@query()
+def sadf(spark, sf_dir):
+    return breaks.sadf(panel(spark, sf_dir))
+
+
+@query()
+def kalman_filter(spark, sf_dir):
+    return breaks.kalman(panel(spark, sf_dir))
+
+
+@query()
+def seq_bootstrap(spark, sf_dir):
+    w = Window.partitionBy("ticker").orderBy("date")
+    i = panel(spark, sf_dir).select(F.col("ticker").alias("symbol"), F.row_number().over(w).alias("i0")).where("i0 % 10 = 0")
+    return breaks.sequential_bootstrap(i.withColumn("i1", F.col("i0") + 15), 50)
+
+
+@query(f"{P}, c AS (SELECT *, year(date) AS contract FROM panel), g AS (SELECT *, CASE WHEN contract <> lag(contract) OVER w THEN open - lag(close) OVER w ELSE 0 END AS g FROM c WINDOW w AS (PARTITION BY ticker ORDER BY date)), k AS (SELECT ticker, date, sum(g) OVER (PARTITION BY ticker ORDER BY date) AS gap, sum(g) OVER (PARTITION BY ticker) AS total FROM g) SELECT ticker, CAST(date AS VARCHAR) AS date, {_r('gap - total')} AS gap FROM k")
+def futures_roll_gaps(spark, sf_dir):
+    return breaks.roll_gaps(panel(spark, sf_dir).withColumn("contract", F.year("date")), "contract").select("ticker", "date", "gap")
+
+
+@query()
+def dynamic_zscore(spark, sf_dir):
+    return breaks.dynamic_zscore(panel(spark, sf_dir))
+
+
+@query()
+def denoise_corr(spark, sf_dir):
+    return breaks.denoised_correlation(returns(spark, sf_dir).withColumn("year", F.year("date")).select("year", "ticker", "date", "ret"), "year")
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    w = Window.partitionBy("ticker").orderBy("date")
+    known = returns(spark, sf_dir)
+    for k in range(1, 5):
+        known = known.withColumn(f"f{k}", F.lag("ret", k - 1).over(w))
+    known = known.withColumn("label", (F.lead("close", 5).over(w) > F.col("close")).cast("double")).dropna(subset=["label", *[f"f{k}" for k in range(1, 5)]])
+    return breaks.importance(known.select("label", *[f"f{k}" for k in range(1, 5)]), [f"f{k}" for k in range(1, 5)])
+
+
 QUERIES = {k: v for k, v in _BEFORE.items() if k not in _SEEN}
 SQL = {k: v for k, v in _SQL_BEFORE.items() if k not in _SEEN}
