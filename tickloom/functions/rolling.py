@@ -168,16 +168,17 @@ class Frame:
         items = self.listed(x, n)
         now = x._of(_R).sql
         less, same = self.d.count_if(items.sql, f"v < {now}"), self.d.count_if(items.sql, f"v = {now}")
-        return X(self, f"({less} + ({same} + 1) / CAST(2 AS DOUBLE))", items.stage)
+        # Named at once, so that the array goes no further.
+        return self.let(f"({less} + ({same} + 1) / CAST(2 AS DOUBLE))", items.stage)
 
     def argmax(self, x: X, n: int) -> X:
         """Place, 1 to n from the oldest, of the first largest value."""
         items = self.listed(x, n)
-        return X(self, f"CAST({self.d.position_of_max(items.sql)} AS DOUBLE)", items.stage)
+        return self.let(f"CAST({self.d.position_of_max(items.sql)} AS DOUBLE)", items.stage)
 
     def argmin(self, x: X, n: int) -> X:
         items = self.listed(x, n)
-        return X(self, f"CAST({self.d.position_of_min(items.sql)} AS DOUBLE)", items.stage)
+        return self.let(f"CAST({self.d.position_of_min(items.sql)} AS DOUBLE)", items.stage)
 
     def ffill(self, x: X) -> X:
         return self.let(self.d.last_known(x.sql, f"{self.over()} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"), x.stage)

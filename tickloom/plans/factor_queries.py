@@ -9,6 +9,8 @@ from ..sources.views import PANEL, PANEL_SQL, panel
 
 #: Columns a query: plans stay small enough for code generation.
 BATCH = 12
+#: The 101 family nests deeper.
+DEEP_BATCH = 6
 
 
 def run(make, spark, sf_dir: str, names=None):
@@ -40,8 +42,8 @@ def _register(name: str, make, names=None, has_sql: bool = True) -> None:
 #: Powers with an unbounded exponent: values beyond 1e20, whose last digits engines do not share.
 UNBOUNDED = ("alpha084", "alpha191_017")
 _names = sorted(n for n in alpha101.factors(Frame(PANEL)) if n not in UNBOUNDED)
-for _k in range(0, len(_names), BATCH):
-    _part = _names[_k : _k + BATCH]
+for _k in range(0, len(_names), DEEP_BATCH):
+    _part = _names[_k : _k + DEEP_BATCH]
     _register(f"alpha101_{_part[0][5:]}_{_part[-1][5:]}", alpha101.factors, _part)
 _names = [n for n in alpha191.factors(Frame(PANEL)) if n not in UNBOUNDED]
 for _k in range(0, len(_names), BATCH):
