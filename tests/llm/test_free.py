@@ -103,6 +103,31 @@ def test_html_host_path_wins_over_a_page_of_its_own_mind(spark):
     assert {r.page_id: r.text for r in html_text.extract(pages).collect()}[9] == "Short."
 
 
+LONG = "<p>A long article, with many words in it, that goes on and on.</p><p>And a second paragraph of it.</p>"
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['div class="layout has-sidebar"', 'article class="post hentry category-notices"', 'article class="article comments-open"', 'div class="with-nav share-enabled tag-ads"', 'div class="layout sidebar-left"', 'div id="banner"', 'main class="promo"'],
+)
+def test_html_wrappers_that_name_a_feature_keep_their_text(wrapper):
+    end = wrapper.split()[0]
+    page = f"<body><p>Skip</p><{wrapper}>{LONG}<div class='sidebar'><p>Popular things</p></div><div class='ad'>Buy</div></{end}><div class='related'><p>More</p></div></body>"
+    got = html_text.main_text(page, html_text.vote(page))
+    assert "goes on and on" in got and "a second paragraph" in got and not re.search("Popular|Buy|More", got)
+
+
+def test_html_marks_give_way_to_the_host_and_to_empty_pages():
+    good = f"<body><div class='page sidebar-left'>{LONG}</div><div class=box><p>x</p></div>"
+    odd = "<body><div class='page sidebar-left'><p>Short.</p></div><div class=box><p>A much longer text beside the article than the article itself.</p></div>"
+    assert html_text.main_text(odd, html_text.vote(good)) == "Short."
+    parts = "".join(f"<div class='widget'><p>Part {i} of the text.</p></div>" for i in range(3))
+    assert html_text.main_text(f"<body><nav>Menu</nav>{parts}", None).count("of the text") == 3
+    comments = "<div id=comments>" + "<div class=comment><p>Readers say much more than the article does, as they often do.</p></div>" * 9 + "</div>"
+    assert html_text.main_text(f"<body><div class=post>{LONG}</div>{comments}", None).count("\n\n") == 1
+    assert html_text.main_text("<body><div class=ad>An advert longer than the article</div><article><p>Short.</p></article>", None) == "Short."
+
+
 def brute_components(texts, size, percent=80):
     sets = []
     for t in texts:

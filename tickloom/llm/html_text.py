@@ -3,7 +3,8 @@
 1. Every page is parsed by itself and its containers are scored by the text
    they hold outside menus, adverts, forms and the like; the tightest one that
    holds most of it casts a vote for its generalised path: tags and classes
-   from the body down, digits masked.
+   from the body down, digits masked.  A name alone drops neither an article
+   nor what holds half of the page's text or lies on the host's path.
 2. Spark counts the votes by host and path (partial sums, so a host with a
    third of all pages is no hot key) and takes each host's winner.
 3. Every page is parsed again and its text taken from the containers on the
@@ -34,6 +35,8 @@ from .url_filters import host_of
 MAX_BROADCAST_HOSTS = 200_000
 #: A container is left for its child only if the child holds this share of its text.
 MOST = 0.7
+#: A container that holds this share of the page's text is not dropped for its name.
+HALF = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -54,6 +57,12 @@ MARKS = frozenset(
     "disqus respond replies breadcrumb breadcrumbs menu nav navbar navigation footer header masthead topbar toolbar pagination pager login signup "
     "copyright skip search complementary contentinfo disclaimer paywall toc".split()
 )
+#: Names that begin or end so tell a feature, state or subject of what they name, not what it is.
+FEATURE_FIRST = frozenset("has with without no not category tag tagged".split())
+FEATURE_LAST = frozenset("open opened closed enabled disabled allowed".split())
+#: Marks of what often is longer than the article, and the words that such names may also have.
+LONGER = frozenset("comment comments disqus respond replies cookie cookies consent gdpr".split())
+NEUTRAL = frozenset("list area section box container wrapper wrap block content body thread bar message text inner".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -61,25 +70,37 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
-    """A container, or something dropped, with the text blocks that follow its start."""
+    """A container, or something dropped, with the text blocks that follow its start.
 
-    __slots__ = ("children", "dropped", "heading_only", "own", "parent", "path", "tag")
+    ``mark`` is set for what is dropped for its name only: 1 where a mark is part of it, 2 where it is all of it, 3 if that is one of ``LONGER``.
+    """
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, heading_only: bool = False):
-        self.tag, self.path, self.parent, self.dropped, self.heading_only = tag, path, parent, dropped, heading_only
+    __slots__ = ("children", "dropped", "heading_only", "headline", "mark", "own", "parent", "path", "tag")
+
+    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, heading_only: bool = False, mark: int = 0):
+        self.tag, self.path, self.parent, self.dropped, self.heading_only, self.mark = tag, path, parent, dropped, heading_only, mark
         self.children: list[Node | str] = []
         self.own = 0.0
+        self.headline = tag == "main" or (tag == "article" and mark < 3)
+
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
 
-def _marked(attributes: dict[str, str]) -> bool:
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or _HIDDEN.search(attributes.get("style", "")):
-        return True
-    named = " ".join(_CAMEL.sub(" ", attributes[k]) for k in ("class", "id", "role") if k in attributes)
-    return bool(named) and not MARKS.isdisjoint(_SPLIT.split(named.lower()))
+
+def _mark(attributes: dict[str, str]) -> int:
+    found = 0
+    for name in " ".join(attributes[k] for k in ("class", "id", "role") if k in attributes).split():
+        words = [w for w in _SPLIT.split(_CAMEL.sub(" ", name).lower()) if w and not w.isdigit()]
+        if MARKS.isdisjoint(words) or words[0] in FEATURE_FIRST or words[-1] in FEATURE_LAST:
+            continue
+        whole = all(w in MARKS or w in NEUTRAL for w in words)
+        found = max(found, 1 + whole + (whole and not LONGER.isdisjoint(words)))
+    return found
 
 
-def parse(page: str) -> Node:
-    """The tree of containers with their blocks of text in page order."""
+def parse(page: str, path: str | None = None) -> Node:
+    """The tree of containers with their blocks of text in page order; marks on ``path`` do not count."""
     root = node = Node("", "", None, False)
     words: list[str] = []  # raw text of the open block
     linked = 0
@@ -119,6 +140,8 @@ def parse(page: str) -> Node:
             in_link = False
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = not closing
+                if tag == "h1" and heading and not node.heading_only:
+                    node.headline = True
             if closing:
                 if tag in CONTAINER or tag in DROPPED or tag in ("ul", "ol", "table", "p"):
                     up = node
@@ -132,22 +155,67 @@ def parse(page: str) -> Node:
             attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m.group(4))} if m.group(4) else {}
             if "hidden" not in attributes and re.search(r"\shidden(?=[\s/]|$)", m.group(4) or ""):
                 attributes["hidden"] = ""
-            marked = bool(attributes) and tag != "body" and _marked(attributes)
-            if tag in CONTAINER or tag in DROPPED or (marked and tag in ("ul", "ol", "table", "p")):
+            hidden = bool(attributes) and tag != "body" and _hidden(attributes)
+            mark = _mark(attributes) if attributes and tag != "body" and not hidden else 0
+            if tag in CONTAINER or tag in DROPPED or ((hidden or mark) and tag in ("ul", "ol", "table", "p")):
                 inside = node.dropped
                 # The header of an article still has its headings.
                 title = tag == "header" and not inside and _within_article(node)
                 classes = ".".join(sorted(_DIGITS.sub("#", c) for c in attributes.get("class", "").split()))
-                path = f"{node.path}/{tag}" + (f".{classes}" if classes else "") if tag != "body" else ""
-                child = Node(tag, path, node, inside or ((tag in DROPPED or marked) and not title), node.heading_only or title)
+                place = f"{node.path}/{tag}" + (f".{classes}" if classes else "") if tag != "body" else ""
+                child = Node(tag, place, node, inside or ((tag in DROPPED or hidden) and not title), node.heading_only or title, 0 if title else mark)
                 node.children.append(child)
                 node = child
     if at < len(page):
         add(page[at:])
     flush()
+    _drop_marked(root, path)
     return root
 
 
+def _ordered(root: Node, marked: bool = True) -> list[Node]:
+    """All containers, each before those inside it (without recursion: pages nest deeply)."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        found.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and (marked or not c.mark)]
+    return found
+
+
+def _drop_marked(root: Node, path: str | None) -> None:
+    """Drop what is marked by its name, unless it is or holds the page's text."""
+    nodes = _ordered(root)
+    if not any(n.mark and not n.dropped for n in nodes):
+        return
+    held: dict[int, float] = {}
+    for node in reversed(nodes):
+        held[id(node)] = node.own + sum(held[id(c)] for c in node.children if isinstance(c, Node))
+        node.headline |= any(c.headline and not c.dropped for c in node.children if isinstance(c, Node))
+    least = HALF * held[id(root)]
+    article = any(n.tag in ("article", "main") and held[id(n)] > 0 for n in _kept(root))
+    for node in nodes:
+        large = held[id(node)] >= least > 0
+        if path and (path == node.path or path.startswith(node.path + "/")):
+            node.mark = 0
+        elif node.mark < 3 and node.tag in ("article", "main"):
+            node.mark = 0
+        elif large and (node.mark == 1 or node.headline or (node.mark == 2 and not article)):
+            node.mark = 0
+    for lifted in (2, 3):
+        # Names count for nothing where they leave no text at all.
+        if not any(n.own for n in _kept(root)):
+            for node in nodes:
+                node.mark = 0 if node.mark <= lifted else node.mark
+    for node in nodes:
+        if node.mark:
+            node.dropped, node.children, node.own = True, [], 0.0
+
+
+def _kept(root: Node) -> list[Node]:
+    return _ordered(root, marked=False)
+
+
 def _within_article(node: Node | None) -> bool:
     while node:
         if node.tag in ("article", "main"):
@@ -157,16 +225,10 @@ def _within_article(node: Node | None) -> bool:
 
 
 def _weigh(root: Node) -> dict[int, float]:
-    """Text held by every container, what is inside it included (without recursion: pages nest deeply)."""
+    """Text held by every container, what is inside it included."""
     held: dict[int, float] = {}
-    stack = [(root, False)]
-    while stack:
-        node, done = stack.pop()
-        if done:
-            held[id(node)] = node.own + sum(held[id(c)] for c in node.children if isinstance(c, Node))
-        else:
-            stack.append((node, True))
-            stack += [(c, False) for c in node.children if isinstance(c, Node)]
+    for node in reversed(_ordered(root)):
+        held[id(node)] = node.own + sum(held[id(c)] for c in node.children if isinstance(c, Node))
     return held
 
 
@@ -175,7 +237,7 @@ def best(root: Node) -> Node:
     held = _weigh(root)
     node = root
     while True:
-        inner = [c for c in node.children if isinstance(c, Node) and not c.dropped]
+        inner = [c for c in node.children if isinstance(c, Node) and not c.dropped and c.tag not in ("p", "ul", "ol")]
         if not inner:
             return node
         child = max(inner, key=lambda c: held[id(c)] * (2 if c.tag in ("article", "main") else 1))
@@ -213,7 +275,7 @@ def vote(page: str | None) -> str:
 
 
 def main_text(page: str | None, path: str | None) -> str:
-    root = parse(page or "")
+    root = parse(page or "", path)
     nodes = on_path(root, path) if path else []
     text = "\n\n".join(b for n in nodes for b in blocks(n))
     return text or "\n\n".join(blocks(best(root)))
