@@ -203,6 +203,20 @@ def test_secret_spans(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_names_with_several_definitions():
+    def found(text):
+        return [text[a:b] for _, _, _, a, b in secrets.all_spans(text)]
+
+    assert found('x = ""\ny = 1\nx = "9fK2mmQ8zL1p"\nclientAuth = x') == ["9fK2mmQ8zL1p"]
+    assert found('x = "9fK2mmQ8zL1p"\nx = "Zt7-pLw0Qe4r"\nclientAuth = x\nx = ""') == ["9fK2mmQ8zL1p", "Zt7-pLw0Qe4r"]
+    assert found('k = ""\nk = "9fK2m"\nk = k + "Q8zL1p"\nclientAuth = k') == ["9fK2m", "Q8zL1p"]
+    assert found('y = "changeme"\nx = y\ny = "9fK2mmQ8zL1p"\nclientAuth = x') == ["9fK2mmQ8zL1p"]
+    assert found('x = "one value"\nx = "9fK2mmQ8zL1p"\nother = x') == []
+    name = "client" + "_part" * 60
+    assert found(f'{name} = "9fK2mmQ8zL1p"\nclientAuth = {name}') == ["9fK2mmQ8zL1p"]
+    assert found("".join(f'x = "{i}"\n' for i in range(2000)) + 'x = "9fK2mmQ8zL1p"\n' + "clientAuth = x\n" * 2000) == ["9fK2mmQ8zL1p"]
+
+
 def test_quality_scores(spark):
     rng = random.Random(3)
     good = [" ".join(rng.choices(["the", "quick", "brown", "fox", "jumps", "over"], k=rng.randint(20, 60))).capitalize() + "." for _ in range(300)]

@@ -5,7 +5,9 @@ assignment sign of a text the lexer reads the target's name on the left and an
 expression of literals and names on the right (source code, JSON, YAML, INI,
 shell, XML attributes), names that hold literals are propagated into the
 expressions that use them, and each literal is scored by the sensitivity of
-the names it reaches and by its own looks.  A text is scanned by itself, so
+the names it reaches and by its own looks.  A name that is assigned several
+times keeps all its definitions: each is judged by the names that it may reach,
+and a use takes both the nearest definition before it and the first.  A text is scanned by itself, so
 Spark spreads rows over tasks and nothing is shuffled; Python sees only the
 text column, in Arrow batches.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -44,12 +47,12 @@ PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|<.*>|\$\{?.*\}?|%.*%|\{\{.*\}\}|c
 LEAST_SCORE = 4.0
 LEAST_LITERAL = 8
 _SIGN = re.compile(r":=|=>|=(?![=])|:(?![/:])")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\]]?[^\S\n]*$""")
+#: The name before a sign, on the text turned round.
+_NAME = re.compile(r"""\n?[^\S\n]*["'\]]?([A-Za-z0-9_.\-]*[A-Za-z_])""")
 _TERM = re.compile(
     r"""[^\S\n]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z_][A-Za-z0-9_.]*)(?=[^\S\n]*(?:[+;,)\n#]|$))|([A-Za-z0-9+/_=.\-]+))"""
 )
 _PLUS = re.compile(r"[^\S\n]*[+.][^\S\n]*(?=[\"'`A-Za-z_])")
-_NAME_REACH = 128
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -86,9 +89,9 @@ def literal_score(value: str) -> float:
 
 def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
     """(name, terms) of each assignment; a term is ('literal' or 'name', value, start, end)."""
-    found = []
+    found, turned = [], text[::-1]
     for sign in _SIGN.finditer(text):
-        left = _NAME.search(text, max(0, sign.start() - _NAME_REACH), sign.start())
+        left = _NAME.match(turned, len(text) - sign.start())
         if not left:
             continue
         terms, at = [], sign.end()
@@ -100,7 +103,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
                 break
             at = more.end()
         if terms:
-            found.append((left.group(1), terms))
+            found.append((left.group(1)[::-1], terms))
     return found
 
 
@@ -113,34 +116,48 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     if "=" not in text and ":" not in text:
         return []
     held = assignments(text)
-    defined: dict[str, list] = {}
-    for name, terms in held:
-        defined.setdefault(name, terms)
-    pieces: dict[str, dict[tuple[int, int], str]] = {}
-
-    def resolve(name: str, terms: list) -> dict[tuple[int, int], str]:
-        """Distinct literal pieces by their place, in the order of the expression."""
-        todo, seen, found = [*reversed(terms)], {name}, {}
-        while todo:
-            kind, value, s, e = todo.pop()
-            if kind == "name" and value in defined:
-                if value in pieces:
-                    found |= pieces[value]
-                elif value not in seen:
-                    seen.add(value)
-                    todo += reversed(defined[value])
-            elif value:
-                found[s, e] = value
-        return found
+    places: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(held):
+        places.setdefault(name, []).append(i)
+    # How strongly a name reaches sensitive ones: scores go from names to what they are made of.
+    scores = {name: name_score(name) for name in places}
+    todo = [name for name in places if scores[name]]
+    while todo:
+        name = todo.pop()
+        for value in {v for i in places[name] for kind, v, _, _ in held[i][1] if kind == "name"}:
+            if value in places and scores[value] < scores[name]:
+                scores[value] = scores[name]
+                todo.append(value)
+
+    def first(name: str, at: int) -> int:
+        return places[name][0]
+
+    def nearest(name: str, at: int) -> int:
+        """The last definition before a use, or else the first after it."""
+        return places[name][max(bisect_left(places[name], at) - 1, 0)]
 
     spans = set()
-    for name, terms in held:
-        found = resolve(name, terms)
-        if defined[name] is terms:
-            pieces[name] = found
-        score = name_score(name)
-        if score and found and score + literal_score("".join(found.values())) >= LEAST_SCORE:
-            spans |= found.keys()
+    for choose in (first, nearest):
+        pieces: dict[int, dict[tuple[int, int], str]] = {}
+        for i, (name, terms) in enumerate(held):
+            if not scores[name]:
+                continue
+            # Distinct literal pieces by their place, in the order of the expression.
+            rest, seen, found = [(i, t) for t in reversed(terms)], {i}, {}
+            while rest:
+                at, (kind, value, s, e) = rest.pop()
+                if kind == "name" and value in places:
+                    k = choose(value, at)
+                    if k in pieces:
+                        found |= pieces[k]
+                    elif k not in seen:
+                        seen.add(k)
+                        rest += [(k, t) for t in reversed(held[k][1])]
+                elif value:
+                    found[s, e] = value
+            pieces[i] = found
+            if found and scores[name] + literal_score("".join(found.values())) >= LEAST_SCORE:
+                spans |= found.keys()
     return sorted(spans)
 
 
