@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.rolling import Frame, where
-from tickloom.operators import bars, fundamentals, joins, labels, statistics
+from tickloom.operators import bars, breaks, fundamentals, joins, labels, statistics
 
 
 def series(spark, values, ticker="a"):
@@ -124,6 +124,23 @@ def test_normal_distribution(spark):
     assert all(abs(r.p - r.q) < 1e-5 for r in got)
 
 
+def test_sadf_has_every_end_point(spark):
+    rng = np.random.default_rng(2)
+    y = np.cumsum(rng.normal(size=75)) / 50 + 3
+    got = {r.date: r.sadf for r in breaks.sadf(series(spark, np.exp(y)).withColumnRenamed("x", "close"), block=7).collect()}
+    want = {}
+    for end in range(41, 75):
+        best = -np.inf
+        for start in range(end - 40 + 1):
+            lag, d = y[start:end], np.diff(y[start : end + 1])
+            x = np.stack([lag, np.ones_like(lag)], 1)
+            inv = np.linalg.inv(x.T @ x)
+            b = inv @ x.T @ d
+            best = max(best, b[0] / np.sqrt(((d - x @ b) ** 2).sum() / (len(d) - 2) * inv[0, 0]))
+        want[dt.date(2020, 1, 1) + dt.timedelta(days=end)] = best
+    assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_every_registered_query_has_a_callable():
     from tickloom.plans import catalog
 

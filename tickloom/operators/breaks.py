@@ -55,8 +55,8 @@ def chow_df(df: DataFrame, x: str = "close", key: str = "ticker", order: str = "
     return s.where("n > 2").select(key, order, F.try_divide(beta, se).alias("t"))
 
 
-def sadf(df: DataFrame, x: str = "close", least: int = 40, every: int = 20, block: int = 10, key: str = "ticker", order: str = "date") -> DataFrame:
-    """Largest Dickey-Fuller t (with constant) over all starts, at every ``every``-th end point, in blocks of end points."""
+def sadf(df: DataFrame, x: str = "close", least: int = 40, every: int = 1, block: int = 200, key: str = "ticker", order: str = "date") -> DataFrame:
+    """Largest Dickey-Fuller t (with constant) over all starts, at every end point with more than ``least`` differences (each ``every``-th, if asked), in blocks of end points."""
     path = df.select(key, order, F.ln(x).alias("y")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "y"))).alias("p"))
     ends = path.withColumn("b", F.explode(F.sequence(F.lit(0), F.floor(F.size("p") / F.lit(every * block)).cast("int"))))
     kinds = dict(df.dtypes)
@@ -67,6 +67,8 @@ def sadf(df: DataFrame, x: str = "close", least: int = 40, every: int = 20, bloc
             for row in part.itertuples():
                 y = np.array([p["y"] for p in row.p], float)
                 for end in range(row.b * every * block + every - 1, min(len(y), (row.b + 1) * every * block), every):
+                    if end <= least:
+                        continue
                     lag, d = y[:end], np.diff(y[: end + 1])
                     # Suffix sums give the regression of every start at once.
                     s = [np.cumsum(v[::-1])[::-1] for v in (np.ones_like(lag), lag, d, lag * lag, lag * d, d * d)]
