@@ -141,6 +141,27 @@ def test_sadf_has_every_end_point(spark):
     assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_hurst_of_every_window_over_all_lags(spark):
+    x = np.random.default_rng(3).normal(size=135)
+    got = [r.hurst for r in statistics.rolling_hurst(series(spark, [None, *x]).withColumnRenamed("x", "ret")).orderBy("date").collect()]
+
+    def one(v):
+        rs = []
+        for n in range(2, 20):
+            c = v[: len(v) // n * n].reshape(-1, n)
+            d = np.cumsum(c - c.mean(1)[:, None], 1)
+            rs.append((np.ptp(d, axis=1) / c.std(1)).mean())
+        return np.polyfit(np.log(range(2, 20)), np.log(rs), 1)[0]
+
+    assert got == pytest.approx([one(x[i : i + 128]) for i in range(8)])
+
+
+def test_bootstrap_draws_as_many_as_there_are_labels(spark):
+    spans = spark.createDataFrame([(s, i, i + 3) for s, n in (("a", 70), ("b", 9)) for i in range(n)], "symbol string, i0 int, i1 int")
+    got = breaks.sequential_bootstrap(spans).groupBy("symbol").count().collect()
+    assert {r.symbol: r["count"] for r in got} == {"a": 70, "b": 9}
+
+
 def test_every_registered_query_has_a_callable():
     from tickloom.plans import catalog
 

@@ -103,23 +103,24 @@ def kalman(df: DataFrame, q: float = 1e-3, r: float = 1e-1, x: str = "close", ke
     return _fold(df.select(key, order, x), key, order, run, f"{_head(df, key, order)}, level double, slope double")
 
 
-def sequential_bootstrap(spans: DataFrame, draws: int, seed: int = 7) -> DataFrame:
-    """Labels (symbol, i0, i1: row spans) drawn in proportion to their average uniqueness given the draws so far."""
+def sequential_bootstrap(spans: DataFrame, draws: int | None = None, seed: int = 7) -> DataFrame:
+    """Labels (symbol, i0, i1: row spans) drawn in proportion to their average uniqueness given the draws so far; as many as a symbol has labels, unless told."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        n = len(g) if draws is None else draws
         g = g.sort_values(["i0", "i1"])
         a, b = g["i0"].to_numpy(), g["i1"].to_numpy()
         low = a.min()
         count = np.zeros(b.max() - low + 2)
         rng = np.random.default_rng([seed, int.from_bytes(str(g["symbol"].iloc[0]).encode()[:8], "little")])
         drawn = []
-        for _ in range(draws):
+        for _ in range(n):
             prefix = np.r_[0.0, np.cumsum(1 / (count + 1))]
             unique = (prefix[b - low + 1] - prefix[a - low]) / (b - a + 1)
             pick = int(rng.choice(len(a), p=unique / unique.sum()))
             count[a[pick] - low : b[pick] - low + 1] += 1
             drawn.append((a[pick], b[pick]))
-        return pd.DataFrame({"symbol": g["symbol"].iloc[0], "draw": range(draws), "i0": [x for x, _ in drawn], "i1": [y for _, y in drawn]})
+        return pd.DataFrame({"symbol": g["symbol"].iloc[0], "draw": range(n), "i0": [x for x, _ in drawn], "i1": [y for _, y in drawn]})
 
     return spans.select("symbol", "i0", "i1").groupBy("symbol").applyInPandas(run, f"symbol {dict(spans.dtypes)['symbol']}, draw int, i0 int, i1 int")
 

@@ -249,19 +249,30 @@ def lempel_ziv(message: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def hurst_rs(window: pd.Series) -> pd.Series:
-    """Rescaled-range exponent of a window of values."""
-
-    def one(x) -> float | None:
-        x = np.asarray(x, float)
-        sizes = [n for n in (8, 16, 32, 64) if n <= len(x) // 2]
+    """Rescaled-range exponent of a window of values, over all chunk lengths from 2 to 19."""
+
+    found = pd.Series(np.nan, index=window.index)
+    for _, same in window.groupby(window.map(len)):
+        x = np.stack([np.asarray(v, float) for v in same])
+        sizes = range(2, min(20, x.shape[1] + 1))
+        if len(sizes) < 2:
+            continue
         logs = []
         for n in sizes:
-            parts = x[: len(x) // n * n].reshape(-1, n)
-            dev = np.cumsum(parts - parts.mean(1, keepdims=True), 1)
-            s = parts.std(1)
-            rs = ((dev.max(1) - dev.min(1))[s > 0] / s[s > 0]) if (s > 0).any() else np.array([])
-            if len(rs):
-                logs.append((math.log(n), math.log(rs.mean())))
-        return float(np.polyfit(*zip(*logs, strict=True), 1)[0]) if len(logs) > 1 else None
-
-    return window.map(one)
+            parts = x[:, : x.shape[1] // n * n].reshape(len(x), -1, n)
+            dev = np.cumsum(parts - parts.mean(2, keepdims=True), 2)
+            s = parts.std(2)
+            with np.errstate(divide="ignore"):
+                logs.append(np.log(((dev.max(2) - dev.min(2)) / np.where(s == 0, 1, s)).mean(1)))
+        t = np.log(sizes) - np.log(sizes).mean()
+        with np.errstate(invalid="ignore"):
+            slope = t @ np.array(logs) / (t @ t)
+        found[same.index] = np.where(np.isfinite(slope), slope, np.nan)
+    return found.astype(object).where(found.notna(), None)
+
+
+def rolling_hurst(returns: DataFrame, width: int = 128, step: int = 1, x: str = "ret", key: str = "ticker", order: str = "date") -> DataFrame:
+    """The exponent of each full window of ``width`` values, at every ``step``-th row from the first on."""
+    w = Window.partitionBy(key).orderBy(order)
+    known = returns.where(F.col(x).isNotNull()).withColumn("i", F.row_number().over(w)).withColumn("x", F.collect_list(x).over(w.rowsBetween(1 - width, 0)))
+    return known.where((F.col("i") >= width) & ((F.col("i") - width) % step == 0)).select(key, order, hurst_rs("x").alias("hurst"))

@@ -117,9 +117,7 @@ def message_entropies(spark, sf_dir):
 
 @query()
 def rolling_hurst(spark, sf_dir):
-    w = Window.partitionBy("ticker").orderBy("date")
-    known = returns(spark, sf_dir).withColumn("i", F.row_number().over(w)).withColumn("x", F.collect_list("ret").over(w.rowsBetween(-127, 0)))
-    return known.where("i % 20 = 0 AND size(x) = 128").select("ticker", "date", st.hurst_rs("x").alias("hurst"))
+    return st.rolling_hurst(returns(spark, sf_dir))
 
 
 @query(f"{P} SELECT ticker, CAST(week AS VARCHAR) AS week, {_r('close')} AS close, {_r('close / lag(close) OVER (PARTITION BY ticker ORDER BY week) - 1')} AS ret FROM (SELECT ticker, CAST(date_trunc('week', date) AS DATE) AS week, arg_max(close, date) AS close FROM panel GROUP BY ALL)")
@@ -182,8 +180,8 @@ def kalman_filter(spark, sf_dir):
 @query()
 def seq_bootstrap(spark, sf_dir):
     w = Window.partitionBy("ticker").orderBy("date")
-    i = panel(spark, sf_dir).select(F.col("ticker").alias("symbol"), F.row_number().over(w).alias("i0")).where("i0 % 10 = 0")
-    return breaks.sequential_bootstrap(i.withColumn("i1", F.col("i0") + 15), 50)
+    i = panel(spark, sf_dir).select(F.col("ticker").alias("symbol"), F.row_number().over(w).alias("i0"))
+    return breaks.sequential_bootstrap(i.withColumn("i1", F.col("i0") + 15))
 
 
 @query(f"{P}, c AS (SELECT *, year(date) AS contract FROM panel), g AS (SELECT *, CASE WHEN contract <> lag(contract) OVER w THEN open - lag(close) OVER w ELSE 0 END AS g FROM c WINDOW w AS (PARTITION BY ticker ORDER BY date)), k AS (SELECT ticker, date, sum(g) OVER (PARTITION BY ticker ORDER BY date) AS gap, sum(g) OVER (PARTITION BY ticker) AS total FROM g) SELECT ticker, CAST(date AS VARCHAR) AS date, {_r('gap - total')} AS gap FROM k")
