@@ -12,13 +12,17 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where the session names none (tests in local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where the session names none, local mode gets a temporary one; a cluster
+    gets an error, since a folder of the driver's machine would lose rows."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base

@@ -4,7 +4,10 @@ Writing: every page becomes a WARC record.  Its header block is kept exactly,
 in one table, with the strong digest (SHA-256) of its payload; the payload
 bytes are kept once per digest, in another.  Reading: headers join payloads by
 digest, the payload is hashed again and held against its address, and header
-plus payload are the original record, byte for byte.
+plus block are the record again, byte for byte: the block of a response is its
+payload, that of a revisit is empty (profile identical-payload-digest), and
+its payload is the joined one.  What is reported of a record is parsed from
+those bytes.
 
 Spark does all of it with built-in expressions.  The choice of the record that
 carries a payload is a partially aggregated minimum per digest, so a payload
@@ -29,6 +32,7 @@ from .common import Workspace, table
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 LEAST_SHARED_BYTES = 0
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 END = "\r\n\r\n"
 
@@ -69,9 +73,9 @@ def records(pages: DataFrame, least_bytes: int = LEAST_SHARED_BYTES) -> tuple[Da
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(revisit, line("WARC-Refers-To", record_id(F.col("carrier")))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Refers-To", record_id(F.col("carrier"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.col("n_bytes").cast("string")),
+        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n_bytes").cast("string"))),
         F.lit("\r\n"),
     )
     headers = known.select("page_id", "address", header.alias("header"))
@@ -87,7 +91,7 @@ def write_archive(pages: DataFrame, place: Workspace, least_bytes: int = LEAST_S
 
 
 def read_archive(place: Workspace) -> DataFrame:
-    """page_id, header, payload, record (binary: the WARC record) of every record.
+    """page_id, record (binary: the WARC record) and payload (binary: the full one, also of a revisit).
 
     Fails on a payload that does not have the digest by which it is kept, and
     on a header whose payload is missing.
@@ -96,12 +100,23 @@ def read_archive(place: Workspace) -> DataFrame:
     sound = F.sha2("payload", 256) == F.col("address")
     payload = F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("archive: no sound payload at "), F.col("address"))).cast("binary"))
     read = joined.select("page_id", "header", payload.alias("payload"))
-    return read.withColumn("record", F.concat(F.encode("header", "UTF-8"), F.col("payload"), F.lit(END).cast("binary")))
+    block = F.when(F.col("header").contains("\r\nWARC-Type: revisit\r\n"), F.lit("").cast("binary")).otherwise(F.col("payload"))
+    return read.select("page_id", F.concat(F.encode("header", "UTF-8"), block, F.lit(END).cast("binary")).alias("record"), "payload")
 
 
 def parse_records(archive: DataFrame) -> DataFrame:
-    """What the records say of themselves; the digest and length are those of
-    the payload as it was read."""
+    """What the bytes of the records say of themselves.
+
+    The payload is cut out of a response's bytes by its Content-Length, that of
+    a revisit is the joined one; its digest is held against the header's."""
+    # Latin-1 has a character for each byte, so that a place in it is a place in the bytes.
+    end = F.instr(F.decode("record", "ISO-8859-1"), END)
+    cut = archive.select("record", F.col("payload").alias("full"), end.alias("end")).withColumn("header", F.decode(F.substring("record", F.lit(1), F.col("end") + 3), "UTF-8"))
+    length = F.regexp_extract("header", r"\r\nContent-Length: ([0-9]+)\r\n", 1).cast("int")
+    whole = F.octet_length("record") == F.col("end") + 3 + length + len(END)
+    block = F.when(whole, F.substring("record", F.col("end") + 4, length)).otherwise(F.raise_error(F.lit("archive: a record has another length than it says")).cast("binary"))
+    revisit = F.col("header").contains("\r\nWARC-Type: revisit\r\n")
+    archive = cut.select("header", F.when(revisit, F.col("full")).otherwise(block).alias("payload"))
 
     def field(name: str) -> Column:
         value = F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
@@ -110,10 +125,10 @@ def parse_records(archive: DataFrame) -> DataFrame:
     id_in = r"^<urn:page:(.*)>$"
     read = archive.select(
         F.regexp_extract(field("WARC-Record-ID"), id_in, 1).alias("own"), field("WARC-Type").alias("record_type"), field("WARC-Payload-Digest").alias("said"),
-        field("Content-Length").cast("long").alias("length"), F.regexp_extract(field("WARC-Refers-To"), id_in, 1).alias("refers_to"),
+        F.regexp_extract(field("WARC-Refers-To"), id_in, 1).alias("refers_to"),
         F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
     )
-    agrees = (F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.col("length") == F.col("payload_bytes"))
+    agrees = F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"))
     return read.select(
         F.when(F.col("own") != "", F.col("own")).cast("long").alias("page_id"),
         "payload_bytes",
