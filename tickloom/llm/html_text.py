@@ -4,7 +4,9 @@
    they hold outside menus, adverts, forms and the like; the tightest one that
    holds most of it casts a vote for its generalised path: tags and classes
    from the body down, digits masked.  A name alone drops neither an article
-   nor what holds half of the page's text or lies on the host's path.
+   nor what holds half of the page's text or lies on the host's path; inside an
+   article a name that only contains a mark drops nothing but lists of links.
+   Hidden elements go, inline ones too.
 2. Spark counts the votes by host and path (partial sums, so a host with a
    third of all pages is no hot key) and takes each host's winner.
 3. Every page is parsed again and its text taken from the containers on the
@@ -40,7 +42,7 @@ HALF = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|textarea|select|canvas|title|desc|metadata|defs|annotation|annotation-xml)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>|<[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
@@ -49,6 +51,8 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 CONTAINER = frozenset("body main article section div td center blockquote details".split())
 DROPPED = frozenset("nav footer aside form header menu button dialog head label fieldset audio video map applet".split())
 BLOCK = CONTAINER | DROPPED | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption pre hr address figure figcaption summary html option".split())
+#: Blocks that end where one of those begins, if nobody ended them.
+CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of classes, ids and roles that mark what is not the article.
 MARKS = frozenset(
@@ -63,9 +67,14 @@ FEATURE_LAST = frozenset("open opened closed enabled disabled allowed".split())
 #: Marks of what often is longer than the article, and the words that such names may also have.
 LONGER = frozenset("comment comments disqus respond replies cookie cookies consent gdpr".split())
 NEUTRAL = frozenset("list area section box container wrapper wrap block content body thread bar message text inner".split())
+# Kinds of blocks, words of places and of lists: with a mark, they name what the mark names.
+NEUTRAL |= frozenset("post posts page site left right top bottom main primary secondary author article mobile desktop sticky inline links link items item stories story buttons button icons bar row group card unit slot header footer".split())
+#: Text of which this share is linked is a list of links.
+LINKED = 0.5
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_BARE_HIDDEN = re.compile(r"\shidden(?=[\s/]|$)", re.I)
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -73,14 +82,17 @@ class Node:
     """A container, or something dropped, with the text blocks that follow its start.
 
     ``mark`` is set for what is dropped for its name only: 1 where a mark is part of it, 2 where it is all of it, 3 if that is one of ``LONGER``.
+    ``inner``: inside a list, paragraph or the like that is marked, where every block is a node.
+    ``own``, ``size`` and ``linked``: characters of its blocks outside links (less as many as are linked), of all, and of links.
     """
 
-    __slots__ = ("children", "dropped", "heading_only", "headline", "mark", "own", "parent", "path", "tag")
+    __slots__ = ("children", "dropped", "headline", "inner", "linked", "mark", "own", "parent", "path", "size", "tag")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, heading_only: bool = False, mark: int = 0):
-        self.tag, self.path, self.parent, self.dropped, self.heading_only, self.mark = tag, path, parent, dropped, heading_only, mark
+    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, mark: int = 0, inner: bool = False):
+        self.tag, self.path, self.parent, self.dropped, self.mark, self.inner = tag, path, parent, dropped, mark, inner
         self.children: list[Node | str] = []
         self.own = 0.0
+        self.size = self.linked = 0
         self.headline = tag == "main" or (tag == "article" and mark < 3)
 
 
@@ -88,6 +100,15 @@ def _hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
 
 
+def _attributes(raw: str | None) -> dict[str, str]:
+    if not raw:
+        return {}
+    found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)}
+    if "hidden" not in found and _BARE_HIDDEN.search(raw):
+        found["hidden"] = ""
+    return found
+
+
 def _mark(attributes: dict[str, str]) -> int:
     found = 0
     for name in " ".join(attributes[k] for k in ("class", "id", "role") if k in attributes).split():
@@ -104,20 +125,26 @@ def parse(page: str, path: str | None = None) -> Node:
     root = node = Node("", "", None, False)
     words: list[str] = []  # raw text of the open block
     linked = 0
-    in_link = heading = False
+    in_link = False
+    silent: list[str] = []  # an inline element without visible text, and those of its name inside it
 
     def flush() -> None:
-        nonlocal linked, heading
+        nonlocal linked
         if words:
             text = " ".join(htmllib.unescape("".join(words)).split())
-            if text and not node.dropped and (heading or not node.heading_only):
+            if text and not node.dropped:
                 node.children.append(text)
                 node.own += max(len(text) - 2 * linked, 0)
+                node.size += len(text)
+                node.linked += min(linked, len(text))
             words.clear()
         linked = 0
+        silent.clear()
 
     def add(raw: str) -> None:
         nonlocal linked
+        if silent:
+            return
         words.append(raw)
         if in_link:
             linked += len(raw)
@@ -138,34 +165,43 @@ def parse(page: str, path: str | None = None) -> Node:
         elif tag in BLOCK:
             flush()
             in_link = False
-            if tag[0] == "h" and tag[1:].isdigit():
-                heading = not closing
-                if tag == "h1" and heading and not node.heading_only:
-                    node.headline = True
+            if tag == "h1" and not closing:
+                node.headline = True
             if closing:
-                if tag in CONTAINER or tag in DROPPED or tag in ("ul", "ol", "table", "p"):
-                    up = node
-                    while up.parent and up.tag != tag:
-                        up = up.parent
-                    if up.parent:
-                        node = up.parent
+                up = node
+                while up.parent and up.tag != tag and (tag in CONTAINER or tag in DROPPED or up.tag not in CONTAINER):
+                    up = up.parent
+                if up.parent and up.tag == tag:
+                    node = up.parent
                 continue
+            while node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
+                node = node.parent
             if tag in ("html", "hr"):
                 continue
-            attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m.group(4))} if m.group(4) else {}
-            if "hidden" not in attributes and re.search(r"\shidden(?=[\s/]|$)", m.group(4) or ""):
-                attributes["hidden"] = ""
+            attributes = _attributes(m.group(4))
             hidden = bool(attributes) and tag != "body" and _hidden(attributes)
             mark = _mark(attributes) if attributes and tag != "body" and not hidden else 0
-            if tag in CONTAINER or tag in DROPPED or ((hidden or mark) and tag in ("ul", "ol", "table", "p")):
+            small = tag not in CONTAINER and tag not in DROPPED
+            if small and tag not in ("ul", "ol", "table", "p") and mark == 1:
+                mark = 0
+            if tag not in VOID and (not small or hidden or mark or node.inner):
                 inside = node.dropped
-                # The header of an article still has its headings.
+                # What stands at the head of an article belongs to it.
                 title = tag == "header" and not inside and _within_article(node)
                 classes = ".".join(sorted(_DIGITS.sub("#", c) for c in attributes.get("class", "").split()))
                 place = f"{node.path}/{tag}" + (f".{classes}" if classes else "") if tag != "body" else ""
-                child = Node(tag, place, node, inside or ((tag in DROPPED or hidden) and not title), node.heading_only or title, 0 if title else mark)
+                child = Node(tag, place, node, inside or ((tag in DROPPED or hidden) and not title), 0 if title else mark, node.inner or (small and bool(hidden or mark)))
                 node.children.append(child)
                 node = child
+        elif tag not in VOID:
+            # An inline element that is hidden, or an advert and the like by its whole name.
+            if silent:
+                if tag == silent[0]:
+                    silent.pop() if closing else silent.append(tag)
+            elif not closing and m.group(4):
+                attributes = _attributes(m.group(4))
+                if _hidden(attributes) or _mark(attributes) >= 2:
+                    silent.append(tag)
     if at < len(page):
         add(page[at:])
     flush()
@@ -189,8 +225,11 @@ def _drop_marked(root: Node, path: str | None) -> None:
     if not any(n.mark and not n.dropped for n in nodes):
         return
     held: dict[int, float] = {}
+    size: dict[int, tuple[int, int]] = {}
     for node in reversed(nodes):
-        held[id(node)] = node.own + sum(held[id(c)] for c in node.children if isinstance(c, Node))
+        inside = [c for c in node.children if isinstance(c, Node)]
+        held[id(node)] = node.own + sum(held[id(c)] for c in inside)
+        size[id(node)] = (node.size + sum(size[id(c)][0] for c in inside), node.linked + sum(size[id(c)][1] for c in inside))
         node.headline |= any(c.headline and not c.dropped for c in node.children if isinstance(c, Node))
     least = HALF * held[id(root)]
     article = any(n.tag in ("article", "main") and held[id(n)] > 0 for n in _kept(root))
@@ -200,6 +239,9 @@ def _drop_marked(root: Node, path: str | None) -> None:
             node.mark = 0
         elif node.mark < 3 and node.tag in ("article", "main"):
             node.mark = 0
+        elif node.mark == 1 and size[id(node)][1] < LINKED * size[id(node)][0] and _within_article(node.parent):
+            # Part of a name says little of what stands in an article, unless it is a list of links.
+            node.mark = 0
         elif large and (node.mark == 1 or node.headline or (node.mark == 2 and not article)):
             node.mark = 0
     for lifted in (2, 3):
@@ -237,7 +279,7 @@ def best(root: Node) -> Node:
     held = _weigh(root)
     node = root
     while True:
-        inner = [c for c in node.children if isinstance(c, Node) and not c.dropped and c.tag not in ("p", "ul", "ol")]
+        inner = [c for c in node.children if isinstance(c, Node) and not c.dropped and c.tag in CONTAINER]
         if not inner:
             return node
         child = max(inner, key=lambda c: held[id(c)] * (2 if c.tag in ("article", "main") else 1))
