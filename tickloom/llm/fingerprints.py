@@ -1,17 +1,21 @@
 """Document fingerprints by Order MinHash.
 
 A text's k-mers of words are numbered by occurrence, so that repeats count.
-For each of SLOTS orders the TUPLE minimal numbered k-mers are selected, put
-back into text order and hashed as a tuple: slots of two texts agree if their
-minimal k-mers agree and stand in the same order, which makes the signature
-sensitive to edit distance and not to the set of k-mers alone (Marcais et al.
-2019).  The orders are rotations of one hash ring (one permutation hashing
-with rotation, Shrivastava and Li 2014): order j starts at j / SLOTS of the
-ring and goes round, so one sort serves all orders, and texts of any length
-are treated alike.
-
-Everything is built-in expressions: the words of a text are one array, its
-k-mers packed longs (hash and position), sorted as primitives.
+For each of SLOTS independent random orders (a 64-bit mix of k-mer and order)
+two minimal numbered k-mers are selected, the one that is minimal in the order
+and the one that is minimal in its reverse, put back into text order and hashed
+as a pair: slots of two texts agree if their minimal k-mers agree and stand in
+the same order, which makes the signature sensitive to edit distance and not to
+the set of k-mers alone (Marcais et al. 2019).  In a random order the first and
+the last are as likely to be any two k-mers as the first and the second, and
+two texts agree in them just as often (both must be common to the texts, of all
+k-mers of either), so these are the signatures of the two least k-mers in all
+but name; but both ends are plain aggregates, and one pass finds them.
+
+Everything is built-in expressions.  The words of a text are one array, its
+k-mers packed longs (hash and position), sorted once to number repeats, then a
+row each; generated code takes both ends of all orders over those rows, without
+a shuffle of them, since the texts are dealt by their key before.
 
 Likeness of two fingerprints is the share of equal slots.
 
@@ -31,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import Workspace, table, text_key
 
 K = 2
-TUPLE = 2
 SLOTS = 32
 #: A packed long holds a position in its low bits and the hash above; the sign stays clear.
 POSITION_BITS = 28
@@ -68,56 +71,55 @@ def kmers(text: Column, k: int = K) -> Column:
 
 
 def numbered(packed: Column) -> Column:
-    """The same k-mers with the hash taken over k-mer and occurrence number, sorted again: the ring."""
+    """The same k-mers, in no order: a k-mer's further occurrences (after the first) hashed together with their number."""
 
-    def made(s: Column) -> Column:
-        n = F.size(s)
-        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (_hash(F.get(s, i)) != _hash(F.get(s, i - 1))))
-
-        def runs(f: Column) -> Column:
-            return F.transform(
-                f,
-                lambda a, r: F.transform(
-                    F.sequence(a, F.coalesce(F.get(f, r + 1), n) - 1),
-                    lambda t: _packed(F.xxhash64(_hash(F.get(s, t)), t - a), _position(F.get(s, t))),
-                ),
-            )
+    def further(f: Column) -> Column:
+        # Occurrences after the first lie together, by k-mer and position.
+        n = F.size(f)
 
-        return F.when(n == 0, s).otherwise(F.sort_array(F.flatten(_let(first, runs))))
+        def same(i: Column, j: Column) -> Column:
+            return _hash(F.get(f, i)) == _hash(F.get(f, j))
 
-    return _let(packed, made)
+        begin = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~same(i, i - 1))
+        runs = _let(
+            begin,
+            lambda b: F.transform(b, lambda a, r: F.transform(F.sequence(a, F.coalesce(F.get(b, r + 1), n) - 1), lambda t: _packed(F.xxhash64(_hash(F.get(f, t)), t - a + 1), _position(F.get(f, t))))),
+        )
+        return F.when(n == 0, f).otherwise(F.flatten(runs))
 
+    def made(s: Column) -> Column:
+        def again(x: Column, i: Column) -> Column:
+            return (i > 0) & (_hash(x) == _hash(F.get(s, i - 1)))
 
-def signature(ring: Column, slots: int = SLOTS, size: int = TUPLE) -> Column:
-    """The hash of each order's tuple, an array of longs; empty for an empty ring."""
+        return F.concat(F.filter(s, lambda x, i: ~again(x, i)), _let(F.filter(s, again), further))
 
-    def made(a: Column) -> Column:
-        n = F.size(a)
+    return _let(packed, made)
 
-        def sector(x: Column) -> Column:
-            return F.floor(_hash(x) * F.lit(slots) / F.lit(float(1 << HASH_BITS))).cast("int")
 
-        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (sector(F.get(a, i)) != sector(F.get(a, i - 1))))
-        starts = F.transform(first, lambda i: F.struct(sector(F.get(a, i)).alias("sector"), i.alias("i")))
+def _rank(x: Column, order: int) -> Column:
+    """A k-mer's place in one of the orders, with its position below."""
+    return _packed(F.xxhash64(_hash(x), F.lit(order)), _position(x))
 
-        def slot(s: Column, j: Column) -> Column:
-            # The first k-mer at or after the start of order j; beyond the last sector the ring goes on at 0.
-            after = F.filter(s, lambda x: x["sector"] >= j)
-            begin = F.coalesce(F.get(after, F.lit(0))["i"], F.lit(0))
-            chosen = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(size)) - 1), lambda t: F.get(a, F.pmod(begin + t, n)))
-            ordered = F.array_sort(F.transform(chosen, lambda x: F.struct(_position(x).alias("p"), _hash(x).alias("h"))))
-            return F.xxhash64(F.transform(ordered, lambda x: x["h"]))
 
-        tuples = _let(starts, lambda s: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda j: slot(s, j)))
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(tuples)
+def signatures(texts: DataFrame, keys: list[str], names: list[str], slots: int = SLOTS) -> DataFrame:
+    """keys, and for each of the text columns ``names`` its fingerprint.
 
-    return _let(ring, made)
+    keys: without nulls, and not two rows of different texts with equal keys.
+    A row per k-mer, aggregated where it is made if texts are dealt by keys.
+    """
+    at = "__at"
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias(at), F.col(n).alias("__text")) for k, n in enumerate(names)]))
+    rings = texts.select(*keys, parts.alias("__p")).select(*keys, F.col(f"__p.{at}").alias(at), numbered(kmers(F.col("__p.__text"))).alias("__ring"))
+    rows = rings.select(*keys, at, F.explode_outer("__ring").alias("x"))
+    ends = rows.groupBy(*keys, at).agg(*[f(_rank(F.col("x"), j)).alias(f"{n}{j}") for j in range(slots) for n, f in (("lo", F.min), ("hi", F.max))])
 
+    def slot(j: int) -> Column:
+        a, b = F.col(f"lo{j}"), F.col(f"hi{j}")
+        pair = F.when(a == b, F.xxhash64(_hash(a))).when(_position(a) < _position(b), F.xxhash64(_hash(a), _hash(b))).otherwise(F.xxhash64(_hash(b), _hash(a)))
+        return F.lpad(F.lower(F.hex(F.shiftrightunsigned(pair, 32))), 8, "0")
 
-def fingerprint(text: Column) -> Column:
-    """32 bits of every slot in hexadecimal; the empty string without k-mers."""
-    slots = signature(numbered(kmers(text)))
-    return F.array_join(F.transform(slots, lambda h: F.lpad(F.lower(F.hex(F.shiftrightunsigned(h, 32))), 8, "0")), "")
+    prints = ends.select(*keys, at, F.when(F.col("lo0").isNull(), "").otherwise(F.concat(*[slot(j) for j in range(slots)])).alias("f"))
+    return prints.groupBy(*keys).agg(*[F.first(F.when(F.col(at) == k, F.col("f")), ignorenulls=True).alias(n) for k, n in enumerate(names)])
 
 
 def likeness(a: Column, b: Column, slots: int = SLOTS) -> Column:
@@ -127,9 +129,9 @@ def likeness(a: Column, b: Column, slots: int = SLOTS) -> Column:
 
 
 def next_keys(keys: DataFrame, place: Workspace) -> DataFrame:
-    """doc_id, text_key, n_chars, and the next_id, next_key of the next row in order.
+    """doc_id, text_key, n_chars, copies, and the next_id, next_key of the next row in order.
 
-    keys: distinct (doc_id, text_key) with n_chars.  Rows are dealt by ranges;
+    keys: distinct (doc_id, text_key) with n_chars and copies.  Rows are dealt by ranges;
     within a range the next row is a lead, and the last row of a range takes
     the first of the next range (one row per range).
     """
@@ -146,35 +148,45 @@ def next_keys(keys: DataFrame, place: Workspace) -> DataFrame:
     )  # as many rows as there are ranges
     joined = led.join(F.broadcast(heads), "part")
     return joined.select(
-        "doc_id", "text_key", "n_chars",
+        "doc_id", "text_key", "n_chars", "copies",
         F.when(F.col("next").isNotNull(), F.col("next.doc_id")).otherwise(F.col("head.doc_id")).alias("next_id"),
         F.coalesce("next.text_key", "head.text_key").alias("next_key"),
     )
 
 
+KEYS = ["known", "id", "text_key"]
+
+
+def _keyed(doc_id: Column) -> list[Column]:
+    """A nullable id as two columns without nulls, so that joins and groups share one hash partitioning."""
+    return [doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id")]
+
+
 def compare(docs: DataFrame, place: Workspace) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("text_key"))
-    keys = read.select("doc_id", "text_key", F.length("text").alias("n_chars")).groupBy("doc_id", "text_key").agg(F.max("n_chars").alias("n_chars"))
+    doc_id = F.col("doc_id").cast("long")
+    read = docs.select(*_keyed(doc_id), text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = docs.select(doc_id.alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+    keys = keys.groupBy("doc_id", "text_key").agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("copies"))
     order = place.write(next_keys(keys, place), "order")
     # The beginning of each document goes to the one before it.
-    owners = order.withColumnRenamed("doc_id", "own_id").withColumnRenamed("text_key", "own_key")
-    quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    heads = (
-        read.join(owners, read["doc_id"].eqNullSafe(owners["next_id"]) & (read["text_key"] == owners["next_key"]))
-        .select("own_id", "own_key", "next_id", "next_key", "n_chars", F.substr("text", F.lit(1), quarter).alias("head"))
-        .dropDuplicates(["own_id", "own_key"])
-    )
-    both = read.join(heads, read["doc_id"].eqNullSafe(heads["own_id"]) & (read["text_key"] == heads["own_key"]))
-    edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars") - quarter), F.col("head"))
-    prints = both.select("doc_id", "text_key", "n_chars", "next_id", "next_key", "text", edited.alias("edited")).select(
-        "doc_id", "text_key", "n_chars", "next_id", "next_key",
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
+    owners = order.select(
+        *[c.alias(f"own_{n}") for c, n in zip(_keyed(F.col("doc_id")), KEYS, strict=False)], F.col("text_key").alias("own_text_key"), "n_chars",
+        *_keyed(F.col("next_id")), F.col("next_key").alias("text_key"),
     )
-    held = place.write(prints, "prints")
-    other = held.select(F.col("doc_id").alias("other_id"), F.col("text_key").alias("other_key"), F.col("fingerprint").alias("next_print")).dropDuplicates(["other_id", "other_key"])
-    paired = held.join(other, held["next_id"].eqNullSafe(other["other_id"]) & (held["next_key"] == other["other_key"]))
-    return paired.select(
+    head = F.substr("text", F.lit(1), F.floor(F.col("n_chars") / 4).cast("int"))
+    heads = read.join(owners, KEYS).select(*[F.col(f"own_{n}").alias(n) for n in KEYS], head.alias("head")).dropDuplicates(KEYS)
+    both = read.join(heads, KEYS)
+    kept = F.length("text") - F.floor(F.length("text") / 4).cast("int")
+    both = both.select(*KEYS, "text", F.concat(F.substr("text", F.lit(1), kept), F.col("head")).alias("edited"))
+    prints = signatures(both, KEYS, ["text", "edited"]).withColumnsRenamed({"text": "fingerprint", "edited": "edited_fingerprint"})
+    digests = both.select(*KEYS, F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")).dropDuplicates(KEYS)
+    held = place.write(digests.join(prints, KEYS), "prints")
+    described = order.select(*_keyed(F.col("doc_id")), *order.columns).join(held, KEYS)
+    other = held.select(F.col("known").alias("next_known"), F.col("id").alias("next_0"), F.col("text_key").alias("next_key"), F.col("fingerprint").alias("next_print"))
+    named = described.withColumn("next_known", F.col("next_id").isNotNull()).withColumn("next_0", F.coalesce("next_id", F.lit(0)))
+    paired = named.join(other, ["next_known", "next_0", "next_key"])
+    return paired.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
     )
