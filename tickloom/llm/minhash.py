@@ -27,9 +27,12 @@ of the lineage is a table in the shared folder.
 
 Defined results: a null or empty text has no shingles and is its own
 component; equal texts under several doc_ids are one component; rows that
-repeat a doc_id all appear, and are kept or dropped by their doc_id; a null
-doc_id is never the smallest id while others are there (kept is then false);
-extra columns pass through :func:`deduplicate`.
+repeat a doc_id all appear; a null doc_id is never the smallest id while
+others are there (kept is then false).  :func:`deduplicate` leaves one row of
+each component, and of a null or empty text's doc_id: that of the smallest
+doc_id, then of the smallest hash of the text, and one of rows that repeat
+both; extra columns pass through.  doc_id must be an integer, or a string of
+one.
 """
 
 from __future__ import annotations
@@ -289,12 +292,17 @@ def _joined(links: DataFrame, roots: DataFrame, place: Workspace, name: str) ->
     return place.write(moved, f"{name}-nodes")
 
 
+def _order() -> Column:
+    """Rows by doc_id, nulls last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
+
+
 def near_duplicates(docs: DataFrame, place: Workspace, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_key, n_shingles and component_id of every row of docs."""
+    """doc_id, text_key, n_shingles, component_id and first (boolean: the row, or one of equal rows, that stands for its component) of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = place.write(described(docs, size, bands, rows), "described")
     # One row per class: its least document stands for it.
-    classes = seen.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("stands"))
+    classes = seen.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(_order()).alias("stands"))
     distinct = seen.where(F.col("node").isNotNull()).dropDuplicates(["node"]).select("node", "n", F.explode("bands").alias("bucket"))
     shared = distinct.groupBy("bucket").agg(F.count("*").alias("count"), F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi"))
     members = place.write(distinct.join(shared.select("bucket", "count"), "bucket"), "members")
@@ -321,12 +329,14 @@ def near_duplicates(docs: DataFrame, place: Workspace, size: int = WORDS, percen
     roots = _joined(across, roots, place, "across")
 
     # The least document of each component.
-    roots = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = roots.join(least, "root").select("node", "component_id")
+    roots = classes.select("node", "stands").join(roots, "node", "left").select("node", "stands", F.coalesce("root", "node").alias("root"))
+    least = roots.groupBy("root").agg(F.min("stands").alias("least"))
+    by_node = roots.join(least, "root").select("node", "least")
     found = seen.select("doc_id", "text_key", "n", "node").join(by_node, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    empty = F.col("node").isNull()
+    own = F.when(empty, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    first = empty | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
+    return found.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), first.alias("first"))
 
 
 def kept(component_id: Column, doc_id: Column) -> Column:
@@ -336,8 +346,17 @@ def kept(component_id: Column, doc_id: Column) -> Column:
 def deduplicate(docs: DataFrame, place: Workspace, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all its columns."""
     found = near_duplicates(docs, place, size, percent)
-    gone = found.where(~kept(F.col("component_id"), F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (text_key(docs["text"]) == gone["__key"]), "left_anti")
+    named = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")]
+    counted = place.write(found.groupBy(*named).agg(F.bool_and("first").alias("first"), F.count("*").alias("n")), "counted")
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        return docs.join(rows, docs["doc_id"].eqNullSafe(rows["__id"]) & (text_key(docs["text"]) == rows["__key"]), how)
+
+    # Most rows are single; only the few that repeat both key and text are brought together, to leave one of them.
+    gone = counted.where(~F.col("first") | (F.col("n") > 1)).select("__id", "__key")
+    again = counted.where(F.col("first") & (F.col("n") > 1)).select("__id", "__key")
+    one = among(again, "inner").dropDuplicates(["__id", "__key"]).select(*[docs[c] for c in docs.columns])
+    return among(gone, "left_anti").unionByName(one)
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
