@@ -1,19 +1,27 @@
 """Secret scans by assignment-aware lexing.
 
-Three fixed patterns give the base spans.  The method adds spans: around every
-assignment sign of a text the lexer reads the target's name on the left and an
-expression of literals and names on the right (source code, JSON, YAML, INI,
-shell, XML attributes), names that hold literals are propagated into the
-expressions that use them, and each literal is scored by the sensitivity of
-the names it reaches and by its own looks.  A name that is assigned several
-times keeps all its definitions: each is judged by the names that it may reach,
-and a use takes both the nearest definition before it and the first.  A text is scanned by itself, so
-Spark spreads rows over tasks and nothing is shuffled; Python sees only the
-text column, in Arrow batches.
+Three fixed patterns give the base spans.  The method adds spans: a lexer cuts
+a text into tokens (comments, strings, names, bare values, signs, line ends;
+source code, JSON, YAML, INI, shell, XML), a parser over the tokens finds
+name-literal pairs, names that hold literals are propagated into the
+expressions that use them, and each literal is scored by the sensitivity of the
+names it reaches and by its own looks.  Pairs are: a name or quoted key, a sign
+and an expression of strings, bare values and names; the first two arguments of
+a call (``define("KEY", "…")``); an XML element with its text, or with its name
+and value attributes; a YAML key with the items of its list or its block.
+Names inside strings (``${NAME}``, ``{NAME}`` in f-strings, ``#{NAME}``,
+``{{ NAME }}``) are put in like any other.  Text of comments is lexed by itself,
+as far as it makes pairs: a secret that is commented out is still one, but
+defines nothing.  A name that is assigned several times keeps all its
+definitions: each is judged by the names that it may reach, and a use takes
+both the nearest definition before it and the first.  A text is scanned by
+itself, so Spark spreads rows over tasks and nothing is shuffled; Python sees
+only the text column, in Arrow batches.
 
 Defined results: null and empty texts have no spans; spans count code points,
 end exclusive; equal rows give equal spans; a literal inside a base span is
-not reported again; other columns pass through :func:`redact` untouched.
+not reported again; unclosed quotes are letters, unclosed comments reach to the
+end; other columns pass through :func:`redact` untouched.
 """
 
 from __future__ import annotations
@@ -46,13 +54,25 @@ SENSITIVE = {
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|<.*>|\$\{?.*\}?|%.*%|\{\{.*\}\}|changeme|example|placeholder|your[-_ ].*|none|null|true|false|undefined|redacted|todo)$")
 LEAST_SCORE = 4.0
 LEAST_LITERAL = 8
-_SIGN = re.compile(r":=|=>|=(?![=])|:(?![/:])")
-#: The name before a sign, on the text turned round.
-_NAME = re.compile(r"""\n?[^\S\n]*["'\]]?([A-Za-z0-9_.\-]*[A-Za-z_])""")
-_TERM = re.compile(
-    r"""[^\S\n]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z_][A-Za-z0-9_.]*)(?=[^\S\n]*(?:[+;,)\n#]|$))|([A-Za-z0-9+/_=.\-]+))"""
+_STRING = r"""(?:(?<![A-Za-z0-9_])[A-Za-z]{0,2}(?:\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3})|(?<![A-Za-z0-9_])[A-Za-z]{0,2}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|`[^`\n]*`)"""
+_TOKEN = re.compile(
+    rf"""(?P<comment>/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|(?:(?<=[\s;{{}}])|(?<![^\n]))(?://|\#(?![{{])|--\s|;(?=[^\n]*\S))[^\n]*)
+    |(?P<string>{_STRING})
+    |(?P<tag></?[A-Za-z][\w:.-]*|/?>)
+    |(?P<sign>:=|\?=|\+=|=>|=(?![=>])|:(?![/:]))
+    |(?P<operator>==+|[!<>]=|::|://|&&|\|\||->|\.\.|[+.](?=\s*["'`A-Za-z_$]))
+    |(?P<name>\$?[A-Za-z_](?:[A-Za-z0-9_$]|[.-](?=[A-Za-z0-9_]))*)
+    |(?P<bare>[A-Za-z0-9+/_=.\-]+)
+    |(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<comma>,)|(?P<end>[\n;])""",
+    re.X | re.S,
 )
-_PLUS = re.compile(r"[^\S\n]*[+.][^\S\n]*(?=[\"'`A-Za-z_])")
+_INSIDE = re.compile(r"\$\{\s*([A-Za-z_][\w.]*)\s*(?::-[^}]*)?\}|\#\{\s*([A-Za-z_][\w.]*)\s*\}|\{\{\s*\.?([A-Za-z_][\w.]*)\s*\}\}|\$([A-Za-z_]\w*)|\{([A-Za-z_][\w.]*)(?:![rsa])?\}")
+#: A YAML key with a block or a list below it, indented more (a list may stand as far left as its key).
+_YAML = re.compile(r"(?m)^([ ]*)(?:-[ ]+)?[\"']?([A-Za-z_][\w.-]*)[\"']?[ ]*:[ ]*([|>][+-]?)?[ ]*\n((?:(?:\1[ ]+|\1-)[^\n]*(?:\n|\Z))+)")
+_ITEM = re.compile(r"""(?m)^[ ]*-[ ]+["']?([^\s"'#:][^\s"'#]*)["']?[ ]*$""")
+_ELEMENT = re.compile(r"<([A-Za-z][\w:.-]*)((?:\s[^<>]*)?)>([^<>]*)</\1\s*>")
+_KEY_ATTRIBUTE = re.compile(r"""\s(?:name|key|id)\s*=\s*["']([^"'<>]+)["']""")
+_NAMED_VALUE = re.compile(r"""<[A-Za-z][^<>]*?\s(?:name|key)\s*=\s*["']([^"'<>]+)["'][^<>]*?\svalue\s*=\s*["']([^"'<>]*)["']""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -70,6 +90,10 @@ def base_spans(text: str) -> list[tuple[int, str, int, int, int]]:
     return [(s, KINDS[k], e, a, b) for s, k, e, a, b in sorted(found)]
 
 
+#: What every pair has: a sign, an element's end, or a call with a string.
+_MAYBE = re.compile(r"""[=:]|</|\(\s*["'`]""")
+
+
 def name_score(name: str) -> int:
     """Sensitivity of a name, by the words it is made of (snake, kebab, dotted or camel case)."""
     words = [w.lower() for w in _WORDS.findall(name)]
@@ -87,24 +111,132 @@ def literal_score(value: str) -> float:
     return min(entropy, 4.0) / 2 + (0.5 if classes >= 2 else -0.5) + (0.5 if classes >= 3 else 0.0)
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
-    """(name, terms) of each assignment; a term is ('literal' or 'name', value, start, end)."""
-    found, turned = [], text[::-1]
-    for sign in _SIGN.finditer(text):
-        left = _NAME.match(turned, len(text) - sign.start())
-        if not left:
+Term = tuple[str, str, int, int]
+
+
+def _quoted(text: str, start: int, end: int) -> list[Term]:
+    """A string token as its literal pieces and the names put into it."""
+    a = start
+    while text[a] not in "\"'`":
+        a += 1
+    prefix, quote = text[start:a].lower(), 3 if text[a : a + 3] in ('"""', "'''") and end - a >= 6 else 1
+    a, end = a + quote, end - quote
+    terms = []
+    for m in _INSIDE.finditer(text, a, end):
+        k = next(k for k in range(1, 6) if m.group(k))
+        if k == 5 and "f" not in prefix:
             continue
-        terms, at = [], sign.end()
-        while term := _TERM.match(text, at):
-            k = next(i for i in range(1, 6) if term.group(i) is not None)
-            terms.append(("name" if k == 4 else "literal", term.group(k), term.start(k), term.end(k)))
-            more = _PLUS.match(text, term.end())
-            if not more:
-                break
-            at = more.end()
-        if terms:
-            found.append((left.group(1)[::-1], terms))
-    return found
+        terms.append(("literal", text[a : m.start()], a, m.start()))
+        terms.append(("name", m.group(k), m.start(k), m.end(k)))
+        a = m.end()
+    terms.append(("literal", text[a:end], a, end))
+    return [t for t in terms if t[1]] or terms[-1:]
+
+
+def _tokens(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    return [(m.lastgroup or "", m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
+
+
+def _term(text: str, token: tuple[str, int, int]) -> list[Term]:
+    kind, a, b = token
+    if kind == "string":
+        return _quoted(text, a, b)
+    if kind == "name":
+        return [("name", text[a:b].lstrip("$"), a, b)]
+    return [("literal", text[a:b], a, b)] if kind == "bare" else []
+
+
+def _expression(text: str, tokens: list[tuple[str, int, int]], at: int) -> list[Term]:
+    """Strings, bare values and names from a token on, joined by + or . or side by side as strings."""
+    terms: list[Term] = []
+    while at < len(tokens):
+        kind, a, b = tokens[at]
+        if kind == "name" and (at + 1 == len(tokens) or tokens[at + 1][1] != b or tokens[at + 1][0] not in ("bare", "name", "string")):
+            follows = tokens[at + 1][0] if at + 1 < len(tokens) else "end"
+            # A word that others follow is no name of a constant but part of a bare value, or prose.
+            if follows in ("name", "bare", "sign"):
+                return terms or [("literal", text[a:b], a, b)]
+            if follows == "open" and text[tokens[at + 1][1]] == "(" and at + 2 < len(tokens) and tokens[at + 2][0] == "string":
+                return terms + _quoted(text, *tokens[at + 2][1:])
+            terms += _term(text, tokens[at])
+        elif kind in ("name", "bare"):
+            # Letters and other signs of one bare value lie side by side.
+            end = at
+            while end + 1 < len(tokens) and tokens[end + 1][1] == tokens[end][2] and tokens[end + 1][0] in ("name", "bare", "operator", "sign"):
+                end += 1
+            terms.append(("literal", text[a : tokens[end][2]], a, tokens[end][2]))
+            at = end
+        elif kind == "string":
+            terms += _quoted(text, a, b)
+        else:
+            return terms
+        at += 1
+        if at < len(tokens) and tokens[at][0] == "operator" and text[tokens[at][1]] in "+.":
+            at += 1
+            if at < len(tokens) and text[tokens[at][1]] == "\n":
+                at += 1
+        elif not (at < len(tokens) and kind == "string" and tokens[at][0] == "string"):
+            return terms
+    return terms
+
+
+def _pairs(text: str, start: int, end: int) -> tuple[list[tuple[int, str, list[Term]]], list[tuple[int, int]]]:
+    """((place, name, terms) of the pairs, the comments) in part of a text."""
+    tokens = _tokens(text, start, end)
+    comments = [(a, b) for kind, a, b in tokens if kind == "comment"]
+    tokens = [t for t in tokens if t[0] != "comment"]
+    found = []
+    for i, (kind, a, b) in enumerate(tokens):
+        if kind == "sign" and i:
+            j = i - 1
+            while j > 0 and text[tokens[j][1]] in "]":
+                j -= 1
+            left, x, y = tokens[j]
+            if left not in ("name", "string") or "\n" in text[y:a]:
+                continue
+            name = text[x:y].strip("\"'`$") if left == "name" or y - x > 2 else ""
+            terms = _expression(text, tokens, i + 1)
+            if name and terms and not re.search(r"\s", name):
+                found.append((x, name, terms))
+        elif kind == "open" and text[a] == "(" and i and i + 3 < len(tokens) and tokens[i - 1][0] == "name" and tokens[i + 1][0] == "string" and tokens[i + 2][0] == "comma":
+            terms = _expression(text, tokens, i + 3)
+            name = text[tokens[i + 1][1] : tokens[i + 1][2]].strip("\"'`")
+            if terms and name:
+                found.append((a, name, terms))
+    return found, comments
+
+
+def assignments(text: str) -> list[tuple[str, list[Term]]]:
+    """(name, terms) of each name-literal pair, in text order; a term is ('literal' or 'name', value, start, end).
+
+    Pairs in comments have names that no use can reach.
+    """
+    found, comments = _pairs(text, 0, len(text))
+    for a, b in comments:
+        # The marks of the comment are no operators of what is in it.
+        inner = a + len(re.match(r"[/*#;<!\-\s]*", text[a:b]).group())
+        found += [(x, f"{name} ", terms) for x, name, terms in _pairs(text, inner, b)[0]]
+    if "<" in text:
+        for m in _ELEMENT.finditer(text):
+            key = _KEY_ATTRIBUTE.search(m.group(2))
+            value = m.group(3).strip()
+            if value and not re.search(r"\s", value):
+                at = m.start(3) + m.group(3).index(value)
+                found.append((m.start(), key.group(1) if key else m.group(1), [("literal", value, at, at + len(value))]))
+        found += [(m.start(), m.group(1), [("literal", m.group(2), m.start(2), m.end(2))]) for m in _NAMED_VALUE.finditer(text) if m.group(2)]
+    if ":" in text:
+        at = 0
+        while m := _YAML.search(text, at):
+            # Inside a list or block other keys may follow.
+            at = m.start(4)
+            if m.group(3):
+                value = m.group(4).strip()
+                a = m.start(4) + m.group(4).index(value) if value else m.start(4)
+                found.append((m.start(), m.group(2), [("literal", re.sub(r"\s+", "", value), a, a + len(value))]))
+            else:
+                found += [(m.start(), m.group(2), [("literal", x.group(1), x.start(1), x.end(1))]) for x in _ITEM.finditer(text, m.start(4), m.end(4))]
+    found.sort(key=lambda f: f[0])
+    return [(name, terms) for _, name, terms in found]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
@@ -113,7 +245,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     The pieces of an expression, constants put in for their names, are judged
     as the value they make together.
     """
-    if "=" not in text and ":" not in text:
+    if not _MAYBE.search(text):
         return []
     held = assignments(text)
     places: dict[str, list[int]] = {}
