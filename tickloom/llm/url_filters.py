@@ -1,26 +1,32 @@
 """URL filters: listed rules, and a Bloom filter cascade for the listed hosts.
 
-The cascade answers "is this host on the blocklist?" exactly for every host of
-the corpus, without a join and without shipping the list.  Level 0 encodes the
-listed hosts of the corpus; the unlisted hosts that it lets through by mistake
-are encoded in level 1, the listed hosts that level 1 then wrongly excuses in
-level 2, and so on, until a level makes no mistake on the corpus's complete
-host universe.  A host's answer is the parity of the first level that lacks it.
-
-The universe is the distinct hosts (partially aggregated, so a host with a
-third of all pages is one row per task); each level is one pass over it in
-Spark, which only returns the set words of the level's bit array.  A level's
-size follows the number of hosts it encodes, and all levels together are
-checked against ``MAX_BYTES`` before they are broadcast: beyond it the hosts are
-split by hash into as many blocks as bring each cascade below the bound, and
-the pages are judged block by block.
-
-Rules come first: the longest one that fits a URL decides.  Rules are a small
-parameter (at most ``MAX_RULES``) and become one built-in expression.
+The blocklist is a table of hosts (column ``host``); a host is listed if it or
+one of its parent domains is in it.  The cascade answers "is this key on the
+list?" exactly for every key of the corpus, its hosts and their parent
+domains, without a join of the pages and without shipping the list.  Level 0
+encodes the listed keys of the corpus; the unlisted keys that it lets through
+by mistake are encoded in level 1, the listed keys that level 1 then wrongly
+excuses in level 2, and so on, until a level makes no mistake on the corpus's
+complete key universe.  A key's answer is the parity of the first level that
+lacks it.
+
+The universe is the distinct keys (partially aggregated, so a host with a
+third of all pages is one row per task), told listed from unlisted once, by
+host; each level is one pass over it in Spark, which only returns the set words
+of the level's bit array.  Keys are two 64-bit hashes.  A level's size follows
+the number of keys it encodes, and all levels together are checked against
+``MAX_BYTES`` before they are broadcast: beyond it the keys are split by hash
+into as many blocks as bring each cascade below the bound, and the pages are
+judged block by block.
+
+Rules come first: the longest one that fits a URL decides (of equally long
+ones the alphabetically first).  Rules are a small parameter (at most
+``MAX_RULES``) and become one built-in expression.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
-fits no rule and is not listed; equal rows get equal verdicts; an empty table
-builds an empty cascade, which lists nothing; other columns are ignored.
+fits no rule and is not listed; equal rows get equal verdicts; repeated and
+null hosts of the list and letters A-Z in it do not matter; an empty table or
+list builds an empty cascade, which lists nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +51,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: The query's blocklist: a host is listed if it or a parent domain begins with one of these labels.
-BLOCKED_LABELS = ("spam-farm", "casino-win", "cheap-pills", "adult-x", "ads-track", "free-bets")
+#: The query's blocklist: these registered domains under each of the zones.
+BLOCKED_NAMES = ("spam-farm", "casino-win", "cheap-pills", "adult-x", "ads-track", "free-bets")
+ZONES = ("example.com", "example.net", "example.org")
 MAX_RULES = 1000
 BITS_PER_KEY = 12
 HASHES = 6
@@ -77,10 +84,11 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _probes(keys: np.ndarray, level: int, n_bits: int) -> np.ndarray:
-    """Bit positions (keys x HASHES) of 64-bit keys in one level."""
+    """Bit positions (keys x HASHES) of keys, rows of two 64-bit hashes, in one level."""
     with np.errstate(over="ignore"):
-        h = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(level + 1))
-        step = mix(h) | np.uint64(1)
+        k = keys.astype(np.int64).view(np.uint64)
+        salt = np.uint64((0x9E3779B97F4A7C15 * (level + 1)) % (1 << 64))
+        h, step = mix(k[:, 0] + salt), mix(k[:, 1] ^ salt) | np.uint64(1)
         return (h[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) % np.uint64(n_bits)
 
 
@@ -121,7 +129,7 @@ def _build_level(members: DataFrame, level: int, n: int) -> Level:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[int, int] = {}
         for part in parts:
-            at = _probes(part["key"].to_numpy(), level, n_bits).ravel()
+            at = _probes(part[["a", "b"]].to_numpy(), level, n_bits).ravel()
             word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
             order = np.argsort(word, kind="stable")
             word, bit = word[order], bit[order]
@@ -129,18 +137,18 @@ def _build_level(members: DataFrame, level: int, n: int) -> Level:
                 first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
                 yield pd.DataFrame({"word": word[first], "bits": np.bitwise_or.reduceat(bit, first).view(np.int64)})
 
-    found = members.select("key").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = members.select("a", "b").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     words = np.zeros(n_bits // 64, np.uint64)
     words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return Level(n_bits, words)
 
 
 def _passes(held):
-    """A condition: the key is in all levels so far."""
+    """A condition: the key (a, b) is in all levels so far."""
 
     @F.pandas_udf(T.BooleanType())
-    def passes(key: pd.Series) -> pd.Series:
-        keys, ok = key.to_numpy(), np.ones(len(key), bool)
+    def passes(a: pd.Series, b: pd.Series) -> pd.Series:
+        keys, ok = np.stack([a.to_numpy(), b.to_numpy()], axis=1), np.ones(len(a), bool)
         for k, level in enumerate(held.value):
             ok &= level.has(keys, k)
         return pd.Series(ok)
@@ -148,69 +156,88 @@ def _passes(held):
     return passes
 
 
-def _answers(held):
-    """A condition: the cascade lists the key."""
+def _answers(held, block: int, blocks: int):
+    """A condition: the cascade of one block lists one of the keys (array of a, b, a, b and so on)."""
 
     @F.pandas_udf(T.BooleanType())
-    def listed(key: pd.Series) -> pd.Series:
-        return pd.Series(held.value.listed(key.to_numpy()))
+    def listed(keys: pd.Series) -> pd.Series:
+        sizes = keys.map(len).to_numpy() // 2
+        flat = np.concatenate([np.asarray(k, np.int64) for k in keys]).reshape(-1, 2) if len(keys) else np.zeros((0, 2), np.int64)
+        hit = held.value.listed(flat) & (flat[:, 0] % blocks == block)
+        return pd.Series(np.bincount(np.repeat(np.arange(len(keys)), sizes), weights=hit, minlength=len(keys)) > 0)
 
     return listed
 
 
 def build_cascade(universe: DataFrame) -> Cascade:
-    """universe: key (long), listed (boolean), every key once."""
+    """universe: a, b (longs, the key), listed (boolean), every key once."""
     sc = universe.sparkSession.sparkContext
     levels: list[Level] = []
     left = universe.where("listed")
     while n := left.count():
         if len(levels) >= MAX_LEVELS:
-            raise RuntimeError("a listed and an unlisted host have the same hash")
+            raise RuntimeError("a listed and an unlisted host agree in both hashes")
         levels.append(_build_level(left, len(levels), n))
         # The next level holds what this one lets through by mistake: keys of the other kind.
         other = universe.where(F.col("listed") == F.lit(len(levels) % 2 == 0))
-        left = other.where(_passes(sc.broadcast(list(levels)))("key"))
+        left = other.where(_passes(sc.broadcast(list(levels)))("a", "b"))
     return Cascade(levels)
 
 
-def build_cascades(hosts: DataFrame, listed: Column, place: Workspace, max_bytes: int = MAX_BYTES) -> list[Cascade]:
+def domains(host: Column) -> Column:
+    """A host and its parent domains; none for the empty host."""
+    labels = F.split(host, r"\.")
+    made = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(made)
+
+
+def _key(host: Column) -> list[Column]:
+    return [F.xxhash64(host), F.xxhash64(F.lit("second"), host)]
+
+
+def build_cascades(hosts: DataFrame, blocklist: DataFrame, place: Workspace, max_bytes: int = MAX_BYTES) -> list[Cascade]:
     """One cascade per block of keys; one block while the bound allows.
 
-    hosts: column host, repeated or not; listed: a condition on it.
+    hosts, blocklist: column host, repeated or not.
     """
-    universe = place.write(hosts.select("host").distinct().select(F.xxhash64("host").alias("key"), listed.alias("listed")), "universe")
+    keys = hosts.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("host")).distinct()
+    banned = blocklist.where(F.col("host").isNotNull()).select(lower_ascii(F.col("host")).alias("host")).distinct().withColumn("on", F.lit(True))
+    a, b = _key(F.col("host"))
+    known = keys.join(banned, "host", "left").select(a.alias("a"), b.alias("b"), F.col("on").isNotNull().alias("listed"))
+    universe = place.write(known, "universe")
     n = universe.where("listed").count()
     # All levels together stay below four times level 0 at this number of bits.
     blocks = max(1, -(-4 * _bits(n) // 8 // max_bytes))
-    return [build_cascade(universe.where(F.pmod(F.col("key"), F.lit(blocks)) == b)) for b in range(blocks)]
+    return [build_cascade(universe.where(F.pmod(F.col("a"), F.lit(blocks)) == k)) for k in range(blocks)]
 
 
-def apply_cascades(pages: DataFrame, cascades: list[Cascade], key: str = "key") -> DataFrame:
+def apply_cascades(pages: DataFrame, cascades: list[Cascade], host: str = "host") -> DataFrame:
     """Adds ``listed``; each block's cascade is broadcast and judges its own keys."""
     sc = pages.sparkSession.sparkContext
+    keys = F.flatten(F.transform(domains(F.col(host)), lambda d: F.array(*_key(d))))
     listed = F.lit(False)
-    for b, cascade in enumerate(cascades):
-        look = _answers(sc.broadcast(cascade))
-        mine = F.pmod(F.col(key), F.lit(len(cascades))) == b
-        listed = look(key) if len(cascades) == 1 else F.when(mine, look(key)).otherwise(listed)
-    return pages.withColumn("listed", listed)
+    for k, cascade in enumerate(cascades):
+        if cascade.levels:
+            listed = listed | _answers(sc.broadcast(cascade), k, len(cascades))(F.col("__keys"))
+    return pages.withColumn("__keys", keys).withColumn("listed", listed).drop("__keys")
 
 
-def blocked_host(host: Column, labels=BLOCKED_LABELS) -> Column:
-    return host.rlike(r"(^|\.)(" + "|".join(labels) + r")\.")
+def blocked_domains(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"{n}.{z}",) for n in BLOCKED_NAMES for z in ZONES], "host string")
 
 
-def filter_urls(pages: DataFrame, place: Workspace, rules=RULES, listed=blocked_host) -> DataFrame:
+def filter_urls(pages: DataFrame, blocklist: DataFrame, place: Workspace, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page."""
     read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    cascades = build_cascades(read, listed(F.col("host")), place)
+    cascades = build_cascades(read, blocklist, place)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = apply_cascades(read.withColumn("key", F.xxhash64("host")), cascades)
+    judged = apply_cascades(read, cascades)
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), Workspace(spark, "urls"))
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), blocked_domains(spark), Workspace(spark, "urls"))
 
 
 OP9_SQL = r"""
@@ -225,8 +252,10 @@ WITH u AS (
   SELECT u.page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(what, length(h || p)) AS verdict
   FROM u JOIN r ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)
   GROUP BY u.page_id
+), banned AS (
+  SELECT n || '.' || z AS b FROM (VALUES ('spam-farm'), ('casino-win'), ('cheap-pills'), ('adult-x'), ('ads-track'), ('free-bets')) AS x(n), (VALUES ('example.com'), ('example.net'), ('example.org')) AS y(z)
 )
 SELECT u.page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)(spam-farm|casino-win|cheap-pills|adult-x|ads-track|free-bets)\.') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN EXISTS (FROM banned WHERE u.host = b OR ends_with(u.host, '.' || b)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN best USING (page_id)
 """
