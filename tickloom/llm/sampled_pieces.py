@@ -7,9 +7,9 @@ them.  A segmentation has the probability  prod exp(score / SCALE)  over all.
 Random numbers depend on the row's key, the place in the text and the step, so
 the same row is segmented alike in any batch, task or attempt.
 
-No piece of such a vocabulary crosses from a word into the space after it, so
-the lattice of a text is the chain of the lattices of its units (spaces and the
-word behind them).  Each Arrow batch is handled as ragged arrays: the lattices
+No piece of such a vocabulary crosses from a word into the space after it
+(checked when it is loaded), so the lattice of a text is the chain of the
+lattices of its units (spaces and the word behind them).  Each Arrow batch is handled as ragged arrays: the lattices
 of its distinct units are built and filtered together, position by position,
 and all units of all texts are sampled together, step by step.
 
@@ -69,6 +69,8 @@ class Pieces:
                 texts.append(text)
                 ids.append(i)
                 weights.append(model.get_score(i) / scale)
+        if crossing := [t for t in texts if any(a != " " and b == " " for a, b in zip(t, t[1:], strict=False))]:
+            raise ValueError(f"pieces that reach from a word into the space after it: {crossing[:3]}")
         self.ids, self.weights = np.array(ids), np.array(weights)
         # All beginnings of pieces, with the piece that each is (or -1).
         row = {t: i for i, t in enumerate(texts)}
@@ -273,8 +275,11 @@ def encode(docs: DataFrame, path: str, key: Column | None = None, scale: float =
     whether decoding them gave the text back.
 
     path: the model file, at the same place on every executor; key: the row's
-    key, an integer (default: the hash of doc_id).
+    key, an integer (default: the hash of doc_id).  Columns of docs with the
+    names of the two new ones, or __key, are replaced.
     """
+    keyed = docs.withColumn("__key", row_key() if key is None else key)
+    docs = docs.drop("ids", "lossless", "__key")
     names = docs.columns
     made = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
     at = names.index("text")
@@ -297,7 +302,7 @@ def encode(docs: DataFrame, path: str, key: Column | None = None, scale: float =
                 a = b
             release()
 
-    return docs.withColumn("__key", row_key() if key is None else key).mapInArrow(run, made)
+    return keyed.select(*names, "__key").mapInArrow(run, made)
 
 
 def decode(ids: Column, path: str) -> Column:
