@@ -46,7 +46,7 @@ def test_pieces_are_lossless_and_reproducible(spark):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate([*ODD, None])], "doc_id long, text string, key string")
+    docs = spark.createDataFrame([(i, t, "k", 1, "z") for i, t in enumerate([*ODD, None])], "doc_id long, text string, key string, ids int, lossless string")
     once = {r.doc_id: r for r in sampled_pieces.encode(docs, path).collect()}
     again = {r.doc_id: r.ids for r in sampled_pieces.encode(docs.repartition(3), path).collect()}
     for i, t in enumerate([*ODD, None]):
@@ -172,10 +172,17 @@ def test_deduplicate_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
     left = minhash.deduplicate(docs, Workspace(spark, "t"))
     assert left.columns == docs.columns
-    assert sorted((r.doc_id, r.root) for r in left.collect() if r.doc_id != 4) == [(2, "y"), (3, None)]
+    assert sorted((r.doc_id, r.root or "") for r in left.collect()) == [(2, "y"), (3, ""), (4, "")]
     assert minhash.deduplicate(docs.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_deduplicate_leaves_one_row_of_each_component(spark):
+    rows = [(1, "a b c d e f g", "p"), (1, "a b c d e f g", "q"), (1, "A b c d e f g", "r"), (2, "x " * 30_000, "s"), (2, "x " * 30_000, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    left = [(r.doc_id, r.component_id) for r in minhash.deduplicate(docs, Workspace(spark, "t")).collect()]
+    assert sorted(i for i, _ in left) == [1, 2]
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
@@ -224,14 +231,14 @@ def test_quality_scores(spark):
     texts = good + bad + [None, ""]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score0 double")
     labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(360)], "doc_id long, quality int, toxic int")
-    model = quality.fit(docs, labels)
+    model = quality.fit(docs, labels, Workspace(spark, "t"))
     got = {r.doc_id: r.score for r in quality.with_scores(docs, model).collect()}
     assert all(0 <= s <= 1 for s in got.values()) and got[360] == got[361]
     right = sum((got[i] >= quality.THRESHOLD) == (i < 300) for i in range(360))
     assert right >= 350
-    kept = quality.keep_good(docs, labels)
+    kept = quality.keep_good(docs, labels, Workspace(spark, "t"))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(300))
-    empty = quality.fit(docs.limit(0), labels.limit(0))
+    empty = quality.fit(docs.limit(0), labels.limit(0), Workspace(spark, "t"))
     assert {r.score for r in quality.with_scores(docs, empty).collect()} == {0.5}
 
 
@@ -239,5 +246,5 @@ def test_held_out_labels_do_not_matter(spark):
     docs = spark.createDataFrame([(i, f"text number {i}") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     turned = labels.withColumn("quality", quality.F.when(quality.held_out(quality.F.col("doc_id")), 1 - quality.F.col("quality")).otherwise(quality.F.col("quality")))
-    a, b = quality.fit(docs, labels), quality.fit(docs, turned)
+    a, b = (quality.fit(docs, x, Workspace(spark, "t")) for x in (labels, turned))
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias

@@ -112,11 +112,54 @@ def test_fingerprints(spark):
     assert fingerprints.compare(docs.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def naive_fingerprint(text):
+    """Order MinHash: of every order the least k-mer and the least of the reverse order, in text order."""
+    import struct
+
+    import xxhash
+
+    def signed(h):
+        return struct.unpack("<q", struct.pack("<Q", h))[0]
+
+    def longs(*xs):
+        h = 42
+        for x in xs:
+            h = xxhash.xxh64_intdigest(struct.pack("<i" if isinstance(x, tuple) else "<q", x[0] if isinstance(x, tuple) else x), seed=h)
+        return h
+
+    w = [x for x in re.split("[ \\t\\n\\x0b\\f\\r]+", text) if x]
+    if not w:
+        return ""
+    seen, ring = {}, []
+    for i in range(max(len(w) - fingerprints.K, 0) + 1):
+        h = 42
+        for x in w[i : i + fingerprints.K]:
+            h = xxhash.xxh64_intdigest(x.encode(), seed=h)
+        h >>= 64 - fingerprints.HASH_BITS
+        t = seen[h] = seen.get(h, -1) + 1
+        ring.append((longs(h, (t,)) >> (64 - fingerprints.HASH_BITS) if t else h, i))
+    out = []
+    for j in range(fingerprints.SLOTS):
+        ranked = sorted((longs(h, (j,)) >> (64 - fingerprints.HASH_BITS), i) for h, i in ring)
+        ends = sorted({ranked[0], ranked[-1]}, key=lambda e: e[1])
+        out.append(f"{longs(*[r for r, _ in ends]) >> 32:08x}")
+    return "".join(out)
+
+
+def prints(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return {r.i: r.text for r in fingerprints.signatures(df, ["i"], ["text"]).collect()}
+
+
+def test_fingerprints_equal_naive_order_minhash(spark):
+    rng = random.Random(4)
+    texts = ["", " ", "one", "one two", "a a a a a", "é 😀\n" * 7] + [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 60))) for _ in range(40)] + ["long word " * 20_000]
+    assert prints(spark, texts) == {i: naive_fingerprint(t) for i, t in enumerate(texts)}
+
+
 def test_fingerprints_feel_order_and_repeats(spark):
     w = [f"w{i}" for i in range(400)]
-    texts = [" ".join(w), " ".join(w[:380] + ["new"] * 5 + w[385:]), " ".join(reversed(w)), " ".join(w[200:] + w[:200]), " ".join(w + w)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", fingerprints.fingerprint(fingerprints.F.col("text")).alias("f"))
-    f = {r.i: r.f for r in df.collect()}
+    f = prints(spark, [" ".join(w), " ".join(w[:380] + ["new"] * 5 + w[385:]), " ".join(reversed(w)), " ".join(w[200:] + w[:200]), " ".join(w + w)])
 
     def like(a, b):
         return sum(f[a][8 * k : 8 * k + 8] == f[b][8 * k : 8 * k + 8] for k in range(32)) / 32
@@ -133,15 +176,25 @@ def test_url_filters(spark):
         ("a://b://c/d", "b:", "//c/d", None, "allow"),
     ]
     pages = spark.createDataFrame([(i, u[0], "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r.page_id: tuple(r)[1:] for r in url_filters.filter_urls(pages, Workspace(spark, "t")).collect()}
+    got = {r.page_id: tuple(r)[1:] for r in url_filters.filter_urls(pages, url_filters.blocked_domains(spark), Workspace(spark, "t")).collect()}
     assert got == {i: u[1:] for i, u in enumerate(urls)}
-    assert url_filters.filter_urls(pages.limit(0), Workspace(spark, "t")).count() == 0
+    assert url_filters.filter_urls(pages.limit(0), url_filters.blocked_domains(spark), Workspace(spark, "t")).count() == 0
 
 
 def test_cascade_is_exact_in_one_block_and_in_many(spark):
-    hosts = spark.range(5000).selectExpr("concat('h', id, '.net') AS host", "id % 7 = 0 AS listed")
+    hosts = spark.range(5000).selectExpr("concat('a.H', id, '.net') AS host").select(url_filters.lower_ascii(url_filters.F.col("host")).alias("host"))
+    # Parents of hosts, a host itself, repeated, null, upper case and foreign ones.
+    listed = spark.createDataFrame([(f"H{i}.net",) for i in range(0, 5000, 2)] + [("a.h7.net",), ("a.h7.net",), (None,), ("elsewhere.org",), ("9.net",)], "host string")
     for most in (1 << 20, 300):
-        cascades = url_filters.build_cascades(hosts, url_filters.F.col("host").rlike("^h([0-9]*[02468])[.]"), Workspace(spark, "t"), max_bytes=most)
+        cascades = url_filters.build_cascades(hosts, listed, Workspace(spark, "t"), max_bytes=most)
         assert (len(cascades) > 1) == (most == 300)
-        judged = url_filters.apply_cascades(hosts.selectExpr("host", "xxhash64(host) AS key"), cascades)
-        assert judged.where("listed != (host rlike '^h([0-9]*[02468])[.]')").count() == 0
+        judged = {r.host: r.listed for r in url_filters.apply_cascades(hosts, cascades).collect()}
+        assert judged == {f"a.h{i}.net": i % 2 == 0 or i == 7 for i in range(5000)}
+    assert {r.listed for r in url_filters.apply_cascades(hosts, url_filters.build_cascades(hosts, listed.limit(0), Workspace(spark, "t"))).collect()} == {False}
+
+
+def test_url_filters_equal_rows_and_rules_of_equal_length(spark):
+    pages = spark.createDataFrame([(1, "http://b.a/c", "x"), (1, "http://b.a/c", "x"), (None, "http://b.a/" + "c" * 100_000, "x")], "page_id long, url string, rule string")
+    rules = (("block", "b.a", "/c"), ("allow", "a", "/c"), ("allow", "b.a", "/"))
+    got = sorted(((r.page_id or 0, r.rule, r.verdict) for r in url_filters.filter_urls(pages, url_filters.blocked_domains(spark), Workspace(spark, "t"), rules).collect()))
+    assert got == [(0, "b.a/c", "block"), (1, "b.a/c", "block"), (1, "b.a/c", "block")]
