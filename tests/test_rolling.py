@@ -56,6 +56,8 @@ def test_against_pandas(spark):
         (lambda f, x: f.std(x, 5), s.rolling(5).std()),
         (lambda f, x: f.corr(x, f.row_number(), 7), s.rolling(7).corr(t)),
         (lambda f, x: f.ewm(x, 0.5), s.ewm(alpha=0.5, adjust=False).mean()),
+        (lambda f, x: f.beta_sequence(x, 6), s.rolling(6).apply(lambda w: (w * np.arange(1, 7)).sum() / 91)),
+        (lambda f, x: f.ewm(x, 0.5, 4), s.ewm(alpha=0.5, adjust=False, min_periods=4).mean()),
         (lambda f, x: f.slope(x, 6), s.rolling(6).apply(lambda w: np.polyfit(np.arange(6), w, 1)[0])),
         (lambda f, x: f.ts_rank(x, 9), s.rolling(9).apply(lambda w: pd.Series(w).rank().iloc[-1])),
         (lambda f, x: f.scale(x), s / s.abs().sum()),

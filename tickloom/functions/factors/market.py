@@ -28,14 +28,14 @@ def primitives(f: Frame) -> dict[str, X]:
         "ts_product": f.product(c / f.lag(c), 5), "ts_argmax": f.argmax(c, 5), "ts_argmin": f.argmin(c, 5),
         "highday": (20.0 - f.argmax(c, 20)) * 5.0, "lowday": (20.0 - f.argmin(c, 20)) * 5.0,
         "delta": f.delta(c, 3), "delay": f.lag(c, 3), "pct_change": f.pct(c, 3), "decay_linear": f.decay(c, 6), "wma": f.wma(c, 6),
-        "rank_pct": f.rank(c), "scale": f.scale(c), "reg_beta_seq": f.slope(c, 6), "count_if": f.sum((c > o).flag(), 12),
+        "rank_pct": f.rank(c), "scale": f.scale(c), "reg_beta_seq": f.beta_sequence(c, 6), "count_if": f.sum((c > o).flag(), 12),
         "sum_if": f.sum(where(c > f.lag(c), v, 0.0 * v), 12), "zscore": (c - f.mean(c, 20)) / f.std(c, 20),
         "neutralized": f.neutralize(c, f["ind"]),
     }
 
 
 def volatility(f: Frame, n: int = 20) -> dict[str, X]:
-    """Range-based rolling volatilities and the volume-weighted intrinsic entropy."""
+    """Range-based rolling volatilities and the intrinsic entropy, weighted by shares of the ticker's whole volume."""
     o, h, l, c, v = (f[k] for k in ("open", "high", "low", "close", "volume"))
     hl, co = (h / l).log(), (c / o).log()
     rs = (h / c).log() * (h / o).log() + (l / c).log() * (l / o).log()
@@ -43,20 +43,47 @@ def volatility(f: Frame, n: int = 20) -> dict[str, X]:
     night, day = (o / prev).log(), (c / o).log()
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
     sq = lambda x: x * x
-    share = v / f.sum(v, n)
+    share = v / f.total(v)
+    told = share * share.log()
+
+    def own(x: X) -> X:
+        """Mean square of departures, each from its own row's rolling mean."""
+        gap = x - f.mean(x, n)
+        return f.mean(f.let(sq(gap).sql, gap.stage), n)
+
+    # Weighted by the share of all volume: overnight, within the day, and of the range.
+    over_night = -f.mean(night * share * (f.lag(v, 1) / f.total(v)).log(), n)
+    in_day = -f.mean(day * told, n)
+    in_range = -f.mean(((o / h).log() * (h / c).log() + (l / o).log() * (l / c).log()) * told, n)
     return {
         "parkinson": f.mean(sq(hl) / (4 * math.log(2)), n).sqrt(),
         "garman_klass": f.mean(0.5 * sq(hl) - (2 * math.log(2) - 1) * sq(co), n).sqrt(),
         "rogers_satchell": f.mean(rs, n).sqrt(),
-        "yang_zhang": (sq(f.std(night, n)) + k * sq(f.std(day, n)) + (1 - k) * f.mean(rs, n)).sqrt(),
-        "intrinsic_entropy": (-f.sum(co.abs() * share * share.log(), n)).sqrt(),
+        "yang_zhang": (own(night) + k * own(day) + (1 - k) * f.mean(rs, n)).sqrt(),
+        "intrinsic_entropy": (over_night + k * in_day + (1 - k) * in_range).abs(),
     }
 
 
+def norm_cdf(x: X) -> X:
+    """Abramowitz and Stegun 26.2.17; absolute error below 7.5e-8."""
+    t = 1.0 / (1.0 + 0.2316419 * x.abs())
+    # Fixed values of the approximation.
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = (-0.5 * x * x).exp() / math.sqrt(2 * math.pi) * poly
+    return where(x >= 0.0, 1.0 - tail, tail)
+
+
+def bulk_buys(f: Frame, c: X, v: X, n: int) -> X:
+    """Bulk classification: the share of a bar's volume that bought, from its price change in rolling deviations."""
+    d = f.delta(c, 1)
+    z = f.let((d / f.std(d, n)).sql, f.std(d, n).stage)
+    return v * norm_cdf(z)
+
+
 def microstructure(f: Frame, n: int = 20) -> dict[str, X]:
     """Daily liquidity and cost measures."""
     o, h, l, c, v, a = (f[k] for k in ("open", "high", "low", "close", "volume", "amount"))
-    d, ret = f.delta(c, 1), f.pct(c, 1)
+    d = f.delta(c, 1)
     roll = 2.0 * f.cov(d, f.lag(d, 1), n).abs().sqrt()
     hl2 = (h / l).log() * (h / l).log()
     beta = f.mean(f.sum(hl2, 2), n)
@@ -68,11 +95,12 @@ def microstructure(f: Frame, n: int = 20) -> dict[str, X]:
     k2 = (8 / math.pi) ** 0.5
     sigma = (2**-0.5 - 1) * beta.sqrt() / (k2 * den) + (gamma / (k2 * k2 * den)).sqrt()
     side = f.ffill(where(d.sign().eq(0.0), X(f, "CAST(NULL AS DOUBLE)"), d.sign()))
-    buy = where(d > 0.0, v, 0.0 * v)
+    buy = bulk_buys(f, c, v, n)
+    move = (c / f.lag(c)).log()
     return {
         "roll_measure": roll, "roll_impact": roll / a, "market_depth": v / (h - l),
         "corwin_schultz": 2.0 * (alpha.exp() - 1.0) / (1.0 + alpha.exp()), "becker_parkinson": where(sigma > 0.0, sigma, 0.0 * sigma),
-        "bar_kyle": f.mean(d / (side * v), n), "bar_amihud": f.mean(ret.abs() / a, n), "bar_hasbrouck": f.mean((c / f.lag(c)).log() / (a.sqrt() * side), n),
+        "bar_kyle": f.mean(d / (side * v), n), "bar_amihud": f.mean(move.abs() / a, n), "bar_hasbrouck": f.mean(move / (a.sqrt() * side), n), "bvc_buy_volume": buy,
         "vpin": f.mean((2.0 * buy - v).abs(), n) / v, "rsi_sma": 100.0 - 100.0 / (1.0 + f.mean(where(d > 0.0, d, 0.0 * d), 14) / f.mean(where(d < 0.0, -d, 0.0 * d), 14)),
         "true_range": greatest(greatest(h - l, (h - f.lag(c)).abs()), (l - f.lag(c)).abs()), "turnover_log": (o * v + 1.0).log(),
     }
@@ -145,12 +173,12 @@ def performance(f: Frame) -> dict[str, X]:
     }
 
 
-def fractional(f: Frame, d: float = 0.4, least: float = 1e-2) -> dict[str, X]:
-    """Fixed-width fractional difference: weights until they fall below ``least``."""
+def fractional_weights(d: float, least: float) -> list[float]:
+    """Weights of a fixed-width fractional difference, newest first, until they fall below ``least``."""
     w = [1.0]
     while abs(nxt := -w[-1] * (d - len(w) + 1) / len(w)) >= least:
         w.append(nxt)
-    return {"fracdiff": f.weighted(f["close"].log(), w)}
+    return w
 
 
 def regime(f: Frame, n: int = 60) -> dict[str, X]:

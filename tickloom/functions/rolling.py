@@ -23,9 +23,9 @@ def _sql(x) -> str:
     return x.sql if isinstance(x, X) else f"CAST({float(x)!r} AS DOUBLE)"
 
 
-#: Rounding in which both engines agree: to whole numbers of 1e-8.
 #: Keeps exact halves off the edge of rounding, where the order of a sum would decide.
 NUDGE = 0.001953125
+#: Comparisons and ranks see whole numbers of 1e-8.
 _R = "round({} * CAST(1e8 AS DOUBLE), 0)"
 
 
@@ -214,6 +214,10 @@ class Frame:
         sxx = n * (n * n - 1) / 12
         return self.weighted(x, [(n - k - mean) / sxx for k in range(n)])
 
+    def beta_sequence(self, x: X, n: int) -> X:
+        """Least-squares slope on 1..n through the origin over n rows."""
+        return self.weighted(x, [(n - k) / (n * (n + 1) * (2 * n + 1) / 6) for k in range(n)])
+
     # over the key's whole history
 
     def total(self, x: X, agg: str = "sum") -> X:
@@ -237,9 +241,13 @@ class Frame:
         beta = self.total(filled * log) / self.total(log * log)
         return filled - beta * log
 
-    def ewm(self, x: X, alpha: float) -> X:
-        """Recursive mean y = alpha x + (1 - alpha) y, from the first known value on."""
+    def ewm(self, x: X, alpha: float, least: int = 0) -> X:
+        """Recursive mean y = alpha x + (1 - alpha) y, from the first known value on; NULL until ``least`` values are known."""
         held = self.let(x.sql, x.stage)
+        if least > 1:
+            known = self.let(f"CAST(count({held.sql}) OVER ({self.over()} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)", held.stage)
+            mean = self.ewm(x, alpha)
+            return where(known >= float(least), mean, X(self, "CAST(NULL AS DOUBLE)"))
         name = f"{held.sql}_ewm_{round(alpha * 1e6)}"
         if name not in self.recursive:
             self.recursive[name] = (held.sql, alpha)
@@ -250,12 +258,13 @@ class Frame:
 
     # results
 
-    def final(self, outputs: dict[str, X], digits: int = 4) -> dict[str, str]:
+    def final(self, outputs: dict[str, X], digits: int | dict[str, int] | None = None) -> dict[str, str]:
+        """The outputs as columns; with digits (of all, or by name), rounded and without what no engine agrees on (for checks)."""
         clean = "CASE WHEN isnan({0}) OR abs({0}) > 1e30 THEN NULL ELSE round({0} * CAST({1} AS DOUBLE) + CAST({2} AS DOUBLE), 0) / CAST({1} AS DOUBLE) + CAST(0 AS DOUBLE) END"
         held = {}
         for name, x in outputs.items():
             column = self.let(f"CAST({x.sql} AS DOUBLE)", x.stage)
-            held[name] = clean.format(column.sql, 10**digits, NUDGE)
+            held[name] = column.sql if digits is None else clean.format(column.sql, 10 ** (digits[name] if isinstance(digits, dict) else digits), NUDGE)
         return held
 
     def prune(self, outputs: dict[str, X]) -> None:
@@ -268,8 +277,8 @@ class Frame:
         while self.stages and not self.stages[-1]:
             self.stages.pop()
 
-    def apply(self, df, outputs: dict[str, X], digits: int = 4):
-        """The key, the order and the outputs, on a Spark DataFrame."""
+    def apply(self, df, outputs: dict[str, X], digits: int | dict[str, int] | None = None):
+        """The key, the order and the outputs, on a Spark DataFrame; rounded only if asked."""
         self.prune(outputs)
         final = self.final(outputs, digits)
         for stage in self.stages:
@@ -281,7 +290,7 @@ class Frame:
                 df = _recursive_means(df, self.key, self.order, recursive)
         return df.selectExpr(self.key, self.order, *[f"{sql} AS {name}" for name, sql in final.items()])
 
-    def sql(self, base: str, outputs: dict[str, X], digits: int = 4) -> str:
+    def sql(self, base: str, outputs: dict[str, X], digits: int | dict[str, int] | None = None) -> str:
         """The same as one query over a base query (no recursive means)."""
         self.prune(outputs)
         final = self.final(outputs, digits)

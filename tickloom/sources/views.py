@@ -1,7 +1,8 @@
 """Market views over the given tables, for Spark and, as SQL, for the checks.
 
 panel: daily bars, a row for each ticker and date with trades; ticker is the
-nation of the supplier, sector its region, a trade is a line item.
+nation of the supplier, sector its region, a trade is a line item; bm_open and
+bm_close are the benchmark index, the mean over all tickers of a date.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import Duck, Spark
 
-PANEL = ["open", "high", "low", "close", "volume", "amount", "vwap", "cap", "ind"]
+PANEL = ["open", "high", "low", "close", "volume", "amount", "vwap", "cap", "ind", "bm_open", "bm_close"]
 
 
 def _panel_sql(d) -> str:
@@ -18,7 +19,8 @@ def _panel_sql(d) -> str:
     price = "(l_extendedprice / l_quantity)"
     return f"""
     SELECT ticker, date, sector, open, high, low, close, volume, amount, amount / volume AS vwap, amount / close AS cap,
-           sum(amount) OVER (PARTITION BY sector, date) / sum(volume) OVER (PARTITION BY sector, date) AS ind
+           sum(amount) OVER (PARTITION BY sector, date) / sum(volume) OVER (PARTITION BY sector, date) AS ind,
+           avg(open) OVER (PARTITION BY date) AS bm_open, avg(close) OVER (PARTITION BY date) AS bm_close
     FROM (SELECT CAST(s_nationkey AS INT) AS ticker, CAST(n_regionkey AS INT) AS sector, CAST(l_shipdate AS DATE) AS date,
                  {d.first_by(price, *by)} AS open, max({price}) AS high, min({price}) AS low, {d.last_by(price, *by)} AS close,
                  sum(l_quantity) AS volume, sum(l_extendedprice) AS amount
