@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.factors.market import fractional_weights
+
 
 def _fold(df: DataFrame, key: str, order: str, run, schema: str) -> DataFrame:
     return df.groupBy(key).applyInPandas(lambda g: run(g.sort_values(order)), schema)
@@ -24,17 +26,18 @@ def _head(df: DataFrame, key: str, order: str) -> str:
     return f"{key} {kinds[key]}, {order} {kinds[order]}"
 
 
-def csw_cusum(df: DataFrame, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
-    """At each row the largest standardised departure of the log level from an earlier one, and its critical value."""
+def csw_cusum(df: DataFrame, x: str = "close", two_sided: bool = False, key: str = "ticker", order: str = "date") -> DataFrame:
+    """At each row from the third on the largest standardised departure (its size, if two-sided) of the log level from an earlier one, and its critical value."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         y = np.log(g[x].to_numpy(float))
         steps = np.r_[np.nan, np.diff(y) ** 2]
         stat, crit = np.full(len(y), np.nan), np.full(len(y), np.nan)
         for t in range(2, len(y)):
-            var = np.nanmean(steps[1 : t + 1])
+            var = np.nansum(steps[1 : t + 1]) / (t - 1)
             k = np.arange(t)
-            s = (y[t] - y[:t]) / (var * np.sqrt(t - k)) if var > 0 else np.full(t, np.nan)
+            gap = y[t] - y[:t]
+            s = (np.abs(gap) if two_sided else gap) / (var * np.sqrt(t - k)) if var > 0 else np.full(t, np.nan)
             if np.isfinite(s).any():
                 best = int(np.nanargmax(s))
                 stat[t], crit[t] = s[best], math.sqrt(4.6 + math.log(t - best))
@@ -85,22 +88,59 @@ def sadf(df: DataFrame, x: str = "close", least: int = 40, every: int = 1, block
     return ends.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, sadf double")
 
 
-def kalman(df: DataFrame, q: float = 1e-3, r: float = 1e-1, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
-    """Level and slope of a constant-velocity filter."""
+def kalman(df: DataFrame, q: float = 1e-3, r: float = 1.0, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
+    """Level and slope of a constant-velocity filter with discrete white noise q, and the level smoothed back over the whole series (Rauch, Tung and Striebel).
+
+    It starts at level 0 and slope 1 with covariance 10 I.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         y = g[x].to_numpy(float)
         f, h = np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([1.0, 0.0])
-        s, p, out = np.array([y[0], 0.0]), np.eye(2), []
+        noise = q * np.array([[0.25, 0.5], [0.5, 1.0]])
+        s, p, out, cov = np.array([0.0, 1.0]), 10 * np.eye(2), [], []
         for v in y:
-            s, p = f @ s, f @ p @ f.T + q * np.eye(2)
+            s, p = f @ s, f @ p @ f.T + noise
             k = p @ h / (h @ p @ h + r)
             s, p = s + k * (v - h @ s), p - np.outer(k, h @ p)
             out.append(s)
+            cov.append(p)
+        smooth = [out[-1]]
+        for s, p in zip(out[-2::-1], cov[-2::-1], strict=True):
+            ahead = f @ p @ f.T + noise
+            smooth.append(s + p @ f.T @ np.linalg.solve(ahead, smooth[-1] - f @ s))
         out = np.array(out)
-        return g[[key, order]].assign(level=out[:, 0], slope=out[:, 1])
+        return g[[key, order]].assign(level=out[:, 0], slope=out[:, 1], smooth=np.array(smooth[::-1])[:, 0])
+
+    return _fold(df.select(key, order, x), key, order, run, f"{_head(df, key, order)}, level double, slope double, smooth double")
+
+
+def fracdiff(df: DataFrame, d: float = 0.4, least: float = 1e-5, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
+    """Fixed-width fractional difference of the log level, weights down to ``least``; NULL until the window is full."""
+    w = np.array(fractional_weights(d, least))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        y = np.log(g[x].to_numpy(float))
+        out = np.full(len(y), np.nan)
+        if len(y) >= len(w):
+            out[len(w) - 1 :] = np.convolve(y, w, "valid")
+        return g[[key, order]].assign(fracdiff=out)
+
+    return _fold(df.select(key, order, x), key, order, run, f"{_head(df, key, order)}, fracdiff double")
+
+
+def fracdiff_expanding(df: DataFrame, d: float = 0.4, loss: float = 0.01, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
+    """Fractional difference of the log level over all earlier rows; NULL while the weights left out exceed ``loss`` of all."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        y = np.log(g[x].to_numpy(float))
+        w = np.r_[1.0, np.cumprod(-(d - np.arange(len(y) - 1)) / np.arange(1, len(y)))]
+        share = np.cumsum(np.abs(w[::-1])) / np.abs(w).sum()
+        out = np.convolve(y, w)[: len(y)]
+        out[: int((share > loss).sum())] = np.nan
+        return g[[key, order]].assign(fracdiff=out)
 
-    return _fold(df.select(key, order, x), key, order, run, f"{_head(df, key, order)}, level double, slope double")
+    return _fold(df.select(key, order, x), key, order, run, f"{_head(df, key, order)}, fracdiff double")
 
 
 def sequential_bootstrap(spans: DataFrame, draws: int | None = None, seed: int = 7) -> DataFrame:
@@ -140,15 +180,14 @@ def dynamic_zscore(df: DataFrame, lag: int = 30, threshold: float = 3.0, influen
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         y, signal = g[x].to_numpy(float), np.zeros(len(g), np.int32)
-        held = list(y[:lag])
-        for i in range(lag, len(y)):
-            mean, dev = np.mean(held), np.std(held)
+        held = y.copy()
+        # The mean and deviation that a value is held against end two values before it, but for the first one's.
+        mean, dev = (np.mean(y[:lag]), np.std(y[:lag])) if len(y) > lag else (0.0, 0.0)
+        for i in range(lag + 1, len(y)):
             if abs(y[i] - mean) > threshold * dev:
                 signal[i] = 1 if y[i] > mean else -1
-                value = influence * y[i] + (1 - influence) * held[-1]
-            else:
-                value = y[i]
-            held = [*held[1:], value]
+                held[i] = influence * y[i] + (1 - influence) * held[i - 1]
+            mean, dev = np.mean(held[i - lag : i]), np.std(held[i - lag : i])
         return g[[key, order]].assign(signal=signal)
 
     return _fold(df.select(key, order, x), key, order, run, f"{_head(df, key, order)}, signal int")

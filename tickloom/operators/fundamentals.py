@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import asof, first_of
+
 
 def quarterise(df: DataFrame, items: list[str], market: str = "us") -> DataFrame:
     """Cumulative items to single periods; a market's first report of a year stays (Q1, or Q2 for hk)."""
@@ -38,10 +40,35 @@ def ratios(df: DataFrame) -> DataFrame:
     return known.select("ticker", "report_date", *[c.alias(n) for n, c in r.items()])
 
 
-def join_statements(parts: list[DataFrame], how: str = "full_outer", keys: tuple[str, ...] = ("ticker", "report_name")) -> DataFrame:
-    """Statements side by side by report; the first of repeated keys counts, and the first of equal columns."""
+def join_statements(parts: list[DataFrame], how: str = "full_outer", keys: tuple[str, ...] = ("ticker", "report_name"), order: str = "report_date") -> DataFrame:
+    """Statements side by side by report; of repeated keys the first by ``order`` counts (of equal ones the least row), and the first of equal columns."""
     out = None
     for part in parts:
-        part = part.dropDuplicates(list(keys))
+        rest = [c for c in part.columns if c not in keys and c != order]
+        part = first_of(part, list(keys), [F.col(c).asc_nulls_last() for c in ([order] if order in part.columns else []) + rest])
         out = part if out is None else out.join(part.drop(*[c for c in part.columns if c in out.columns and c not in keys]), list(keys), how)
     return out
+
+
+def yearly_with_price(statements: DataFrame, prices: DataFrame) -> DataFrame:
+    """Last statement of each year, with the close as of its report date (the first one after it, where none is before)."""
+    year = F.year("report_date")
+    last = statements.withColumn("year", year).groupBy("ticker", "year").agg(F.max_by(F.struct(*statements.columns), F.struct("report_date")).alias("s")).select("year", "s.*")
+    right = prices.select("ticker", F.col("date").alias("price_date"), "close")
+    return asof_clamped(last, right, "ticker", "report_date", "price_date")
+
+
+def asof_clamped(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str) -> DataFrame:
+    """As of or before, and before the first right row that one."""
+    back = asof(left, right, key, left_on, right_on)
+    carried = [c for c in right.columns if c != key]
+    first = right.groupBy(key).agg(F.min_by(F.struct(*carried), right_on).alias("__first"))
+    found = back.join(first, key, "left")
+    known = F.col(right_on).isNotNull()
+    return found.withColumns({c: F.when(known, F.col(c)).otherwise(F.col(f"__first.{c}")) for c in carried}).drop("__first")
+
+
+def daily_multiple(statements: DataFrame, prices: DataFrame, item: str, value: str = "cap") -> DataFrame:
+    """Market value over the trailing item as of each day."""
+    found = asof(prices.select("ticker", "date", value), statements.select("ticker", "report_date", item), "ticker", "date", "report_date")
+    return found.select("ticker", "date", value, item, F.try_divide(value, item).alias("multiple"))

@@ -11,6 +11,7 @@ import itertools
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import asof
 
@@ -75,10 +76,96 @@ def triple_barrier(bars: DataFrame, rows: int, pt: float, sl: float, target: str
     return touched.select("symbol", F.col("ts").alias("t0"), t1.alias("t1"), ret.alias("ret"), F.col(target).alias("trgt"), bin_.alias("bin"))
 
 
-def meta_labels(labels: DataFrame, side: str = "side") -> DataFrame:
-    """bin 1 where the side earns, else 0."""
-    earned = F.col("ret") * F.col(side)
-    return labels.withColumn("ret", earned).withColumn("bin", F.when(earned > 0, 1).otherwise(0))
+def outcomes(events: DataFrame, bars: DataFrame, pt: float, sl: float, side: str | None = None) -> DataFrame:
+    """symbol, t0, t1, ret, trgt, bin of events (symbol, t0, t1, trgt) that have a t1.
+
+    The log return from t0 to t1 is held against pt and -sl targets: bin 1, -1,
+    or 0 between.  With a side it is that times the side, and bin 0 unless it
+    earns.  ret is the simple return that this makes.
+    """
+    extra = [side] if side else []
+    ends = _ends(bars, events.select("symbol", "t0", "t1", "trgt", *extra).where(F.col("t1").isNotNull()), ["close"])
+    r = F.ln(F.try_divide("close_1", "close_0")) * (F.col(side) if side else 1)
+    known = ends.withColumn("__r", r)
+    bin_ = F.when((F.col("__r") > 0) & (F.col("__r") > pt * F.col("trgt")), 1).when((F.col("__r") < 0) & (F.col("__r") < -sl * F.col("trgt")), -1).otherwise(0)
+    if side:
+        bin_ = F.when(F.col("__r") <= 0, 0).otherwise(bin_)
+    return known.select("symbol", "t0", "t1", *extra, F.expm1("__r").alias("ret"), "trgt", bin_.alias("bin"))
+
+
+def meta_labels(events: DataFrame, bars: DataFrame, pt: float, sl: float) -> DataFrame:
+    """Outcomes without a side give the side; outcomes with it give the meta labels."""
+    sided = outcomes(events, bars, pt, sl).withColumnRenamed("bin", "side")
+    return outcomes(sided, bars, pt, sl, "side")
+
+
+def previous_day(bars: DataFrame) -> DataFrame:
+    """symbol, ts, close, and the time and close of the last bar older than a day before (rows without one are left out)."""
+    due = bars.select("symbol", "ts", "close", (F.col("ts") - F.expr("INTERVAL '1 00:00:00.000001' DAY TO SECOND")).alias("due"))
+    right = bars.select("symbol", F.col("ts").alias("prev_ts"), F.col("close").alias("prev_close"))
+    return asof(due, right, "symbol", "due", "prev_ts").where("prev_ts IS NOT NULL").drop("due")
+
+
+def ewm_std(df: DataFrame, x: str, span: int, name: str, key: str = "symbol", order: str = "ts") -> DataFrame:
+    """Exponentially weighted deviation (all history, corrected for bias) of a key's values."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        return group.assign(**{name: group[x].astype(float).ewm(span=span).std()})
+
+    return df.groupBy(key).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def daily_volatility(bars: DataFrame, span: int = 100) -> DataFrame:
+    """symbol, ts, trgt: deviation of returns over a day or more, the target of barriers."""
+    r = previous_day(bars).select("symbol", "ts", (F.try_divide("close", "prev_close") - 1).alias("r"))
+    return ewm_std(r, "r", span, "trgt").select("symbol", "ts", "trgt")
+
+
+def z_score_events(bars: DataFrame, mean_rows: int, std_rows: int, z: float = 3.0) -> DataFrame:
+    """Bars whose close is at least z rolling deviations above its rolling mean."""
+
+    def over(n: int, agg: Column) -> Column:
+        w = _w().rowsBetween(-(n - 1), 0)
+        return F.when(F.count("close").over(w) == n, agg.over(w))
+
+    level = over(mean_rows, F.avg("close")) + z * over(std_rows, F.stddev_samp("close"))
+    return bars.select("symbol", "ts", "close", level.alias("level")).where(F.col("close") >= F.col("level"))
+
+
+def label_balance(labels: DataFrame) -> DataFrame:
+    """bin, n and share of each label; labels are few."""
+    n = labels.groupBy("bin").agg(F.count("*").alias("n"))
+    return n.select("bin", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+
+
+def drop_rare_labels(labels: DataFrame, least: float = 0.05) -> DataFrame:
+    """Rows without the rarest label, again and again while it has at most ``least`` of the rest and three labels are left."""
+    counts = {r["bin"]: r["n"] for r in labels.where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n")).collect()}  # one row a label
+    while len(counts) >= 3:
+        rarest = min(counts, key=lambda k: (counts[k], k))
+        if counts[rarest] / sum(counts.values()) > least:
+            break
+        del counts[rarest]
+    return labels.where(F.col("bin").isin(list(counts)))
+
+
+def tail_sets(bars: DataFrame, rows: int = 20) -> DataFrame:
+    """1 in the top tenth, -1 in the bottom tenth of a time's log returns over their rolling deviation, else 0."""
+    r = F.ln("close") - F.ln(F.lag("close").over(_w()))
+    w = _w().rowsBetween(-(rows - 1), 0)
+    known = bars.withColumn("__r", r).withColumn("adjusted", F.when(F.count("__r").over(w) == rows, F.try_divide("__r", F.stddev_samp("__r").over(w)))).where("adjusted IS NOT NULL")
+    edges = known.groupBy("ts").agg(F.percentile("adjusted", F.array(F.lit(0.1), F.lit(0.9))).alias("__e"))
+    joined = known.join(edges, "ts")
+    label = F.when(F.col("adjusted") <= F.get("__e", F.lit(0)), -1).when(F.col("adjusted") > F.get("__e", F.lit(1)), 1).otherwise(0)
+    return joined.select("symbol", "ts", "adjusted", label.alias("label"))
+
+
+def indicator_pairs(bars: DataFrame, events: DataFrame) -> DataFrame:
+    """symbol, t0, ts: each bar that an event spans, by the numbers of its first and last bar (no range join)."""
+    numbered = bars.select("symbol", "ts", F.row_number().over(_w()).alias("i"))
+    ends = _ends(numbered, events.select("symbol", "t0", "t1"), ["i"]).select("symbol", "t0", F.explode(F.sequence("i_0", "i_1")).alias("i"))
+    return ends.join(numbered, ["symbol", "i"]).select("symbol", "t0", "ts")
 
 
 def fixed_horizon(bars: DataFrame, rows: int, threshold: float) -> DataFrame:
@@ -88,6 +175,11 @@ def fixed_horizon(bars: DataFrame, rows: int, threshold: float) -> DataFrame:
     return known.withColumn("label", F.when(F.col("fwd") > threshold, 1).when(F.col("fwd") < -threshold, -1).when(F.col("fwd").isNotNull(), 0))
 
 
+def _ranked(t: Column, n: int) -> Column:
+    """By size, then the shorter horizon."""
+    return F.struct(F.abs(t).alias("a"), F.lit(-n).alias("n"), t.alias("t"))
+
+
 def trend_labels(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """The horizon with the largest t-statistic of a linear trend ahead, its t value and sign.
 
@@ -107,9 +199,9 @@ def trend_labels(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
             sse = s["yy"] - s["y"] * s["y"] / n - beta * beta * sxx
             return F.when(sse > 1e-9, beta / F.sqrt(sse / ((n - 2) * sxx))).otherwise(0.0)
 
-        return F.element_at(F.transform(F.array(sums), value), 1)
+        return F.element_at(F.transform(F.array(sums), lambda s: _ranked(value(s), n)), 1)
 
-    scored = seen.withColumn("__t", F.array(*[F.struct(F.abs(t_value(n)).alias("a"), F.lit(-n).alias("n"), t_value(n).alias("t")) for n in horizons]))
+    scored = seen.withColumn("__t", F.array(*[t_value(n) for n in horizons]))
     best = F.array_max("__t")
     return scored.select("symbol", "ts", (-best["n"]).alias("horizon"), best["t"].alias("t_value"), F.sign(best["t"]).cast("int").alias("label"))
 

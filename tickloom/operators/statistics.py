@@ -45,7 +45,7 @@ def sharpe_statistics(returns: DataFrame, x: str = "ret", key: str = "ticker", p
     sr, skew, kurt, n = F.col("sharpe"), F.col("skew"), F.col("kurt"), F.col("n")
     inner = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
     return m.select(
-        key, "n", "sharpe", (sr * math.sqrt(periods)).alias("annual"),
+        key, "n", "skew", "kurt", "sharpe", (sr * math.sqrt(periods)).alias("annual"),
         F.sqrt((1 + sr * sr / 2 - skew * sr + (kurt - 3) / 4 * sr * sr) / (n - 1)).alias("sharpe_std"),
         norm_cdf((sr - benchmark) * F.sqrt(n - 1) / F.sqrt(inner)).alias("psr"),
         (1 + inner * F.pow(norm_ppf(F.lit(1 - alpha)) / (sr - benchmark), F.lit(2.0))).alias("min_track_record"),
@@ -59,14 +59,21 @@ def deflated_benchmark(estimates: DataFrame, x: str = "sharpe") -> DataFrame:
     return s.select("trials", (F.col("dev") * ((1 - EULER) * norm_ppf(1 - 1 / n) + EULER * norm_ppf(1 - 1 / (n * math.e)))).alias("benchmark"))
 
 
+def deflated_sharpe(estimates: DataFrame, key: str = "ticker", x: str = "sharpe") -> DataFrame:
+    """The probability that each Sharpe ratio (with n, skew, kurt) exceeds the best of as many unskilled trials."""
+    known = estimates.join(F.broadcast(deflated_benchmark(estimates, x)), how="cross")  # one row
+    inner = 1 - F.col("skew") * F.col(x) + (F.col("kurt") - 1) / 4 * F.col(x) * F.col(x)
+    return known.select(key, "trials", x, "benchmark", norm_cdf((F.col(x) - F.col("benchmark")) * F.sqrt(F.col("n") - 1) / F.sqrt(inner)).alias("dsr"))
+
+
 def drawdowns(returns: DataFrame, x: str = "ret", key: str = "ticker", order: str = "date") -> DataFrame:
-    """For each high-water mark the deepest fall below it and the days until the next mark."""
+    """For each high-water mark the deepest fall below it and the years (of 365.25 days) until the next mark."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     wealth = returns.withColumn("__v", F.exp(F.sum(F.log1p(F.coalesce(x, F.lit(0.0)))).over(w)))
     marked = wealth.withColumn("hwm", F.max("__v").over(w))
     deep = marked.groupBy(key, "hwm").agg(F.min("__v").alias("lo"), F.min(order).alias("start"), F.count("*").alias("n")).where("n > 1")
     after = F.lead("start").over(Window.partitionBy(key).orderBy("start"))
-    return deep.select(key, "start", "hwm", (1 - F.col("lo") / F.col("hwm")).alias("drawdown"), F.datediff(after, "start").alias("days"))
+    return deep.select(key, "start", "hwm", (1 - F.col("lo") / F.col("hwm")).alias("drawdown"), (F.datediff(after, "start") / 365.25).alias("years"))
 
 
 def risk(returns: DataFrame, x: str = "ret", key: str = "ticker") -> DataFrame:

@@ -85,11 +85,6 @@ def align_calendar(spark, sf_dir):
     return joins.align_calendar(panel(spark, sf_dir), ["close", "volume"])
 
 
-@query()
-def event_window_return(spark, sf_dir):
-    return joins.event_window_return(panel(spark, sf_dir), statements(spark, sf_dir).select("ticker", "report_date"), 5, 10)
-
-
 @query(f"{P} SELECT ticker, CAST(date AS VARCHAR) AS date, {_r('close')} AS close, {_r('(close - avg(close) OVER (PARTITION BY date)) / nullif(stddev_samp(close) OVER (PARTITION BY date), 0)')} AS close_z FROM panel")
 def standardize(spark, sf_dir):
     return cross.standardize(panel(spark, sf_dir).select("ticker", "date", "close"), "close")
@@ -185,11 +180,6 @@ def bars_volume(spark, sf_dir):
     return bars.recurrent_bars(ticks(spark, sf_dir), "threshold", "volume", THRESHOLD)
 
 
-@query()
-def bars_dollar(spark, sf_dir):
-    return bars.recurrent_bars(ticks(spark, sf_dir), "threshold", "dollar", 50_000.0)
-
-
 @query()
 def imbalance_bars(spark, sf_dir):
     return bars.recurrent_bars(ticks(spark, sf_dir), "imbalance", "volume")
@@ -200,11 +190,6 @@ def run_bars(spark, sf_dir):
     return bars.recurrent_bars(ticks(spark, sf_dir), "run", "volume")
 
 
-@query()
-def resample_ohlc(spark, sf_dir):
-    return bars.resample_ohlc(ticks(spark, sf_dir), 3600)
-
-
 @query()
 def cusum_filter(spark, sf_dir):
     return labels.cusum_events(bar_view(spark, sf_dir), 500.0)
@@ -239,15 +224,15 @@ def trend_label(spark, sf_dir):
 
 
 def _spans(spark, sf_dir):
-    """Every fifth bar to the bar ten rows later."""
+    """Every bar to the bar ten rows later."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("symbol").orderBy("ts")
-    known = bar_view(spark, sf_dir).withColumn("i", F.row_number().over(w)).withColumn("t1", F.lead("ts", 10).over(w))
-    return known.where("i % 5 = 0 AND t1 IS NOT NULL").select("symbol", F.col("ts").alias("t0"), "t1")
+    known = bar_view(spark, sf_dir).withColumn("t1", F.lead("ts", 10).over(w))
+    return known.where("t1 IS NOT NULL").select("symbol", F.col("ts").alias("t0"), "t1")
 
 
-SPANS = f"{P}, b AS (SELECT ticker AS symbol, CAST(date AS TIMESTAMP) AS ts, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, lead(CAST(date AS TIMESTAMP), 10) OVER (PARTITION BY ticker ORDER BY date) AS t1 FROM panel), e AS (SELECT symbol, ts AS t0, t1, i AS i0, i + 10 AS i1 FROM b WHERE i % 5 = 0 AND t1 IS NOT NULL), c AS (SELECT b.symbol, b.i, b.ts, b.close, count(e.t0) AS c FROM b LEFT JOIN e ON b.symbol = e.symbol AND b.i BETWEEN e.i0 AND e.i1 GROUP BY ALL)"
+SPANS = f"{P}, b AS (SELECT ticker AS symbol, CAST(date AS TIMESTAMP) AS ts, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, lead(CAST(date AS TIMESTAMP), 10) OVER (PARTITION BY ticker ORDER BY date) AS t1 FROM panel), e AS (SELECT symbol, ts AS t0, t1, i AS i0, i + 10 AS i1 FROM b WHERE t1 IS NOT NULL), c AS (SELECT b.symbol, b.i, b.ts, b.close, count(e.t0) AS c FROM b LEFT JOIN e ON b.symbol = e.symbol AND b.i BETWEEN e.i0 AND e.i1 GROUP BY ALL)"
 
 
 @query(f"{SPANS} SELECT symbol, ts, {_r('close')} AS close, c FROM c")
@@ -265,22 +250,12 @@ def weights_by_return(spark, sf_dir):
     return labels.weights_by_return(bar_view(spark, sf_dir), _spans(spark, sf_dir))
 
 
-@query()
-def weights_by_time_decay(spark, sf_dir):
-    return labels.weights_by_time(labels.average_uniqueness(bar_view(spark, sf_dir), _spans(spark, sf_dir)), 0.5)
-
-
 @query(f"{SPANS}, n AS (SELECT symbol, t0, t1, ntile(4) OVER (PARTITION BY symbol ORDER BY t0, t1) AS own FROM e), s AS (SELECT symbol, own AS fold, min(t0) AS a, max(t1) AS b FROM n GROUP BY ALL) SELECT n.symbol, t0, t1, CAST(fold AS INT) AS fold, CASE WHEN own = fold THEN 'test' ELSE 'train' END AS role FROM n JOIN s ON n.symbol = s.symbol WHERE own = fold OR NOT (t0 <= b AND a <= t1)")
 def purged_kfold(spark, sf_dir):
     return labels.purged_folds(_spans(spark, sf_dir), 4)
 
 
-@query()
-def combinatorial_purged(spark, sf_dir):
-    return labels.combinatorial_folds(_spans(spark, sf_dir), 4, 2)
-
-
-@query(f"{SPANS}, g AS (SELECT symbol, t0, t1, CASE WHEN (i0 // 5) % 2 = 0 THEN 1.0 ELSE -0.5 END AS s FROM e), u AS (SELECT symbol, t0 AS ts, s, 1 AS n FROM g UNION ALL SELECT symbol, t1, -s, -1 FROM g), a AS (SELECT symbol, ts, sum(s) AS s, sum(n) AS n FROM u GROUP BY ALL), k AS (SELECT symbol, ts, sum(s) OVER (PARTITION BY symbol ORDER BY ts) AS s, sum(n) OVER (PARTITION BY symbol ORDER BY ts) AS n FROM a) SELECT symbol, ts, {_r('CASE WHEN n > 0 THEN s / n ELSE 0 END')} AS signal FROM k")
+@query(f"{SPANS}, g AS (SELECT symbol, t0, t1, CASE WHEN i0 % 2 = 0 THEN 1.0 ELSE -0.5 END AS s FROM e), u AS (SELECT symbol, t0 AS ts, s, 1 AS n FROM g UNION ALL SELECT symbol, t1, -s, -1 FROM g), a AS (SELECT symbol, ts, sum(s) AS s, sum(n) AS n FROM u GROUP BY ALL), k AS (SELECT symbol, ts, sum(s) OVER (PARTITION BY symbol ORDER BY ts) AS s, sum(n) OVER (PARTITION BY symbol ORDER BY ts) AS n FROM a) SELECT symbol, ts, {_r('CASE WHEN n > 0 THEN s / n ELSE 0 END')} AS signal FROM k")
 def avg_active_signals(spark, sf_dir):
     from pyspark.sql import Window
 

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import breaks, fundamentals, statistics as st
 from ..sources.views import panel, sql
-from .operator_queries import P, QUERIES as _BEFORE, RET, SQL as _SQL_BEFORE, _r, query, returns
-
-_SEEN = set(_BEFORE)
+from .operator_queries import P, RET, _r, query, returns
 
 QUARTERS = """SELECT c_nationkey AS ticker, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS report_date,
   concat(CAST(year(o_orderdate) AS {s}), '/Q', CAST(quarter(o_orderdate) AS {s})) AS report_name, sum(o_totalprice) AS revenue, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS cost,
@@ -46,22 +44,6 @@ def fundamental_ratios(spark, sf_dir):
     return fundamentals.ratios(quarters(spark, sf_dir))
 
 
-@query()
-def sharpe_family(spark, sf_dir):
-    return st.sharpe_statistics(returns(spark, sf_dir))
-
-
-@query()
-def deflated_sharpe(spark, sf_dir):
-    return st.deflated_benchmark(st.sharpe_statistics(returns(spark, sf_dir)))
-
-
-@query()
-def hwm_drawdown_tuw(spark, sf_dir):
-    small = returns(spark, sf_dir).withColumn("ret", F.col("ret") / 100)
-    return st.drawdowns(small)
-
-
 @query(f"{RET}, e AS (SELECT ticker, stddev_samp(ret) AS sd, avg(ret) AS mu, quantile_cont(ret, 0.05) AS v5, quantile_cont(ret, 0.01) AS v1, sqrt(avg(CASE WHEN ret < 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0 END)) AS ds FROM r GROUP BY ticker), s AS (SELECT r.ticker, avg(ret) AS cv FROM r JOIN e ON r.ticker = e.ticker WHERE ret <= v5 GROUP BY r.ticker) SELECT e.ticker, {_r('sd * sqrt(252.0)')} AS volatility, {_r('ds * sqrt(252.0)')} AS downside, {_r('v5')} AS var95, {_r('v1')} AS var99, {_r('cv')} AS cvar95, {_r('mu - 1.6448536269514722 * sd')} AS var95_normal FROM e JOIN s ON e.ticker = s.ticker")
 def risk_metrics(spark, sf_dir):
     return st.risk(returns(spark, sf_dir))
@@ -72,13 +54,6 @@ def ou_params(spark, sf_dir):
     return st.ou_parameters(panel(spark, sf_dir))
 
 
-@query()
-def bet_size_probability(spark, sf_dir):
-    p = F.rank().over(Window.partitionBy("ticker").orderBy("close")) / F.count("*").over(Window.partitionBy("ticker"))
-    known = returns(spark, sf_dir).withColumn("p", p)
-    return known.select("ticker", "date", "p", st.bet_gaussian(F.col("p"), 2, F.signum("ret")).alias("size"))
-
-
 @query()
 def bet_size_dynamic(spark, sf_dir):
     known = panel(spark, sf_dir).select("ticker", "date", F.col("close").alias("price"), F.col("open").alias("forecast"), F.lit(0.0).alias("pos"))
@@ -177,6 +152,21 @@ def kalman_filter(spark, sf_dir):
     return breaks.kalman(panel(spark, sf_dir))
 
 
+@query()
+def fracdiff_ffd(spark, sf_dir):
+    return breaks.fracdiff(panel(spark, sf_dir))
+
+
+@query()
+def fracdiff_expanding(spark, sf_dir):
+    return breaks.fracdiff_expanding(panel(spark, sf_dir))
+
+
+@query()
+def csw_cusum_two_sided(spark, sf_dir):
+    return breaks.csw_cusum(panel(spark, sf_dir), two_sided=True)
+
+
 @query()
 def seq_bootstrap(spark, sf_dir):
     w = Window.partitionBy("ticker").orderBy("date")
@@ -207,7 +197,3 @@ def feature_importance(spark, sf_dir):
         known = known.withColumn(f"f{k}", F.lag("ret", k - 1).over(w))
     known = known.withColumn("label", (F.lead("close", 5).over(w) > F.col("close")).cast("double")).dropna(subset=["label", *[f"f{k}" for k in range(1, 5)]])
     return breaks.importance(known.select("label", *[f"f{k}" for k in range(1, 5)]), [f"f{k}" for k in range(1, 5)])
-
-
-QUERIES = {k: v for k, v in _BEFORE.items() if k not in _SEEN}
-SQL = {k: v for k, v in _SQL_BEFORE.items() if k not in _SEEN}
