@@ -142,9 +142,42 @@ def test_imbalance_and_run_bars():
             ids[start : i + 1] = [k] * (i + 1 - start)
             expected = mean_of(signed[max(0, i - 2) : i + 1])
             theta, start, k = 0.0, i + 1, k + 1
-    assert bars.imbalance_ids(signed, 3, 3, 3, 1, 100, False).tolist() == ids
-    runs = bars.run_ids(np.array([1.0, -1] * 3 + [1] * 8), 2, 4, 3, 1, 100, False)
-    assert runs.max() >= 1 and (np.diff(runs[runs >= 0]) >= 0).all()
+    got, closes = bars.ImbalanceBars(3, 3, 3, 1, 100, False).feed(signed)
+    assert [b if b < closes.sum() else -1 for b in got.tolist()] == ids
+    runs, _ = bars.RunBars(2, 4, 3, 1, 100, False).feed(np.array([1.0, -1] * 3 + [1] * 8))
+    assert runs.max() >= 1 and (np.diff(runs) >= 0).all()
+
+
+@pytest.mark.parametrize("make", [lambda: bars.ThresholdBars(7.0), lambda: bars.ImbalanceBars(5, 20, 3, 2, 50, True), lambda: bars.RunBars(5, 20, 3, 2, 50, True)])
+def test_bars_do_not_depend_on_batches(make):
+    values = np.random.default_rng(3).integers(-3, 4, 500).astype(float)
+    values = np.abs(values) if isinstance(make(), bars.ThresholdBars) else values
+    ids, closes = make().feed(values)
+    state, parts = make(), []
+    for part in np.split(values, [1, 2, 40, 40, 333]):
+        parts.append(state.feed(part))
+    assert closes.sum() >= 3
+    assert np.concatenate([p[0] for p in parts]).tolist() == ids.tolist() and np.concatenate([p[1] for p in parts]).tolist() == closes.tolist()
+
+
+@pytest.mark.parametrize("reset", ["", "day"])
+def test_bars_of_a_hot_symbol(spark, reset):
+    """One symbol holds most ticks; batches are short, so that bars cross them."""
+    rng = np.random.default_rng(4)
+    rows = [("hot" if rng.random() < 0.8 else f"s{rng.integers(3)}", dt.datetime(2020, 1, 1) + dt.timedelta(minutes=i), i, 1.0 + i % 7, float(rng.integers(1, 9))) for i in range(4000)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq long, price double, volume double")
+    want, total = {}, {}
+    for symbol, ts, _, _, volume in rows:
+        key = (symbol, ts.date()) if reset else symbol
+        total[key] = total.get(key, 0.0) + volume
+        if total[key] >= 50:
+            want[symbol] = [*want.get(symbol, []), total.pop(key)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = bars.recurrent_bars(ticks, "threshold", "volume", 50, reset=reset).orderBy("date_time").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {s: [r.volume for r in got if r.symbol == s] for s in want} == want and len(got) == sum(map(len, want.values()))
 
 
 def test_drop_zero_constant_and_short(spark):

@@ -81,8 +81,9 @@ def test_asof(spark):
 
 
 def test_threshold_bars_start_from_zero():
-    assert bars.threshold_ids(np.array([4.0] * 6), 10).tolist() == [0, 0, 0, 1, 1, 1]
-    assert bars.threshold_ids(np.array([4.0] * 5), 10).tolist() == [0, 0, 0, -1, -1]
+    ids, closes = bars.ThresholdBars(10).feed(np.array([4.0] * 6))
+    assert ids.tolist() == [0, 0, 0, 1, 1, 1] and np.flatnonzero(closes).tolist() == [2, 5]
+    assert np.flatnonzero(bars.ThresholdBars(10).feed(np.array([4.0] * 5))[1]).tolist() == [2]
 
 
 def test_tick_rule(spark):
