@@ -214,3 +214,30 @@ def test_readers_and_writers(spark, tmp_path):
     names = spark.createDataFrame([("2023FY",), ("2023Q6",), ("2023Q1",)], "n string")
     assert [r.q for r in names.select(io.report_name(F.col("n")).alias("q")).collect()] == ["2023/Q4", "2023/Q2", "2023/Q1"]
     assert [(r.report_name, str(r.report_date)) for r in portfolio.quarters_between(spark, "2020-02-01", "2020-08-01").collect()] == [("2020/Q1", "2020-03-31"), ("2020/Q2", "2020-06-30"), ("2020/Q3", "2020-09-30")]
+
+
+def test_pairs_do_not_depend_on_blocks(spark):
+    """Against pandas and per-pair regressions, with gaps, in blocks of a few keys."""
+    rng = np.random.default_rng(9)
+    market = np.cumsum(rng.normal(0, 0.02, 60))
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=t), float(np.exp(3 + market[t] + rng.normal(0, 0.01 * (k + 1)))) if rng.random() > 0.1 else None) for k in range(9) for t in range(60)]
+    df = spark.createDataFrame(rows, "ticker int, date date, close double")
+    wide = pd.DataFrame(rows, columns=["k", "t", "x"]).pivot(index="t", columns="k", values="x").astype(float)
+    cov, corr = wide.cov(), wide.corr()
+    for size in (2, 100):
+        got = {(r.a, r.b): r for r in panel.pair_statistics(df, "close", size=size).collect()}
+        assert set(got) == {(a, b) for a in range(9) for b in range(a + 1, 9)}
+        for (a, b), r in got.items():
+            both = wide[[a, b]].dropna()
+            slope, intercept = np.polyfit(both[a], both[b], 1)
+            assert r.n == len(both) and (r.cov, r.corr, r.slope, r.intercept) == pytest.approx((cov.loc[a, b], corr.loc[a, b], slope, intercept))
+        pairs = {(r.a, r.b): r for r in statistics.coint_statistics(df, size=size).collect()}
+        assert set(pairs) == set(got)
+        for (a, b), r in pairs.items():
+            both = np.log(wide[[a, b]].dropna())
+            beta, alpha = np.polyfit(both[a], both[b], 1)
+            e = (both[b] - alpha - beta * both[a]).to_numpy()
+            lag, d = e[:-1], np.diff(e)
+            g = lag @ d / (lag @ lag)
+            se = math.sqrt(((d - g * lag) ** 2).sum() / (len(d) - 1) / (lag @ lag))
+            assert (r.n, r.beta, r.t) == (len(d), pytest.approx(beta), pytest.approx(g / se))

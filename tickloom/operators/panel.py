@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,18 +107,57 @@ def top_bottom(df: DataFrame, score: str, n: int, by: str = "date", key: str = "
     return known.withColumn("side", side).where("side IS NOT NULL").drop("__h", "__l")
 
 
-def pair_statistics(df: DataFrame, x: str = "ret", key: str = "ticker", on: str = "date") -> DataFrame:
-    """Correlation, covariance, slope and intercept of every pair of keys over common dates.
+def by_pair_blocks(df: DataFrame, x: str, key: str, on: str, size: int, run, schema: str) -> DataFrame:
+    """``run(left, right, same)`` for every pair of blocks of about ``size`` keys; yields the rows of schema.
 
-    The pairs of a date are the result's own size: N (N - 1) / 2 rows of N keys.
+    left and right are tables of x, dates by keys, NULL where a key has no value;
+    same: both are one block.  A row is copied once for each block of keys, not
+    once for each other key, and a group holds two blocks of keys over the dates.
+    Keys and dates are not repeated, else the last value of a date counts.
     """
-    a = df.select(on, F.col(key).alias("a"), F.col(x).alias("x"))
-    b = df.select(on, F.col(key).alias("b"), F.col(x).alias("y"))
-    joined = a.join(b, on).where(F.col("a") < F.col("b")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return joined.groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.covar_samp("x", "y").alias("cov"), F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("corr"),
-        F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
-    )
+    known = df.where(F.col(x).isNotNull()).select(F.col(key).alias("k"), F.col(on).alias("t"), F.col(x).alias("x"))
+    blocks = max(1, -(-known.select("k").distinct().count() // size))
+    own = known.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    spread = own.withColumn("o", other).select("k", "t", "x", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        wide = group.pivot_table(index="t", columns="k", values="x", aggfunc="last", sort=True)
+        block = group.drop_duplicates("k").set_index("k")["b"].reindex(wide.columns)
+        return run(wide.loc[:, (block == i).to_numpy()], wide.loc[:, (block == j).to_numpy()], i == j)
+
+    return spread.groupBy("i", "j").applyInPandas(solve, schema)
+
+
+def pair_statistics(df: DataFrame, x: str = "ret", key: str = "ticker", on: str = "date", size: int = 256) -> DataFrame:
+    """Correlation, covariance, slope and intercept of every pair of keys (a < b) over common dates, by products of blocks of keys."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        def sums(table: pd.DataFrame):
+            v = table.to_numpy(float)
+            there = ~np.isnan(v)
+            centre = np.nan_to_num(np.nanmean(v, 0)) if v.size else np.zeros(v.shape[1])
+            v = np.where(there, v - centre, 0.0)
+            return v, there.astype(float), centre
+
+        (u, m, cu), (v, k, cv) = sums(left), sums(right)
+        a, b = np.meshgrid(left.columns.to_numpy(), right.columns.to_numpy(), indexing="ij")
+        n = m.T @ k
+        with np.errstate(all="ignore"):
+            su, sv = u.T @ k, m.T @ v
+            cov, vu, vv = ((s - p / n) / (n - 1) for s, p in ((u.T @ v, su * sv), ((u * u).T @ k, su * su), (m.T @ (v * v), sv * sv)))
+            mu, mv = su / n + cu[:, None], sv / n + cv[None, :]
+            corr = cov / np.sqrt(vu * vv)
+            turned = a > b  # the smaller key is a
+            slope = cov / np.where(turned, vv, vu)
+            intercept = np.where(turned, mu - slope * mv, mv - slope * mu)
+        keep = (n > 0) & ((a < b) if same else np.ones_like(turned))
+        made = pd.DataFrame({"a": np.where(turned, b, a)[keep], "b": np.where(turned, a, b)[keep], "n": n[keep].astype(int), "cov": cov[keep], "corr": corr[keep], "slope": slope[keep], "intercept": intercept[keep]})
+        return made.replace([np.inf, -np.inf], np.nan)
+
+    kind = dict(df.dtypes)[key]
+    return by_pair_blocks(df, x, key, on, size, run, f"a {kind}, b {kind}, n long, cov double, corr double, slope double, intercept double")
 
 
 def return_moments(df: DataFrame, x: str = "ret", key: str = "ticker") -> DataFrame:

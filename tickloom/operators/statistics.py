@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .panel import by_pair_blocks
+
 EULER = 0.5772156649
 
 
@@ -210,18 +212,39 @@ def hrp_weights(returns: DataFrame, periods: str, x: str = "ret", key: str = "ti
     return returns.groupBy(periods).applyInPandas(run, f"{periods} {kinds[periods]}, {key} {kinds[key]}, weight double")
 
 
-def coint_statistics(df: DataFrame, x: str = "close", key: str = "ticker", on: str = "date") -> DataFrame:
-    """Hedge ratio and Dickey-Fuller t of the residual of every pair (a < b)."""
-    a = df.select(on, F.col(key).alias("a"), F.ln(x).alias("x"))
-    b = df.select(on, F.col(key).alias("b"), F.ln(x).alias("y"))
-    joined = a.join(b, on).where(F.col("a") < F.col("b"))
-    fit = joined.groupBy("a", "b").agg(F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"))
-    w = Window.partitionBy("a", "b").orderBy(on)
-    rest = joined.join(fit, ["a", "b"]).withColumn("e", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x")).withColumn("l", F.lag("e").over(w)).withColumn("d", F.col("e") - F.col("l")).where("l IS NOT NULL")
-    s = rest.groupBy("a", "b").agg(F.max("beta").alias("beta"), F.count("*").alias("n"), F.sum(F.col("l") * F.col("d")).alias("ld"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("d") * F.col("d")).alias("dd"))
-    g = F.col("ld") / F.col("ll")
-    se = F.sqrt((F.col("dd") - g * F.col("ld")) / (F.col("n") - 1) / F.col("ll"))
-    return s.select("a", "b", "n", "beta", F.try_divide(g, se).alias("t"))
+def coint_statistics(df: DataFrame, x: str = "close", key: str = "ticker", on: str = "date", size: int = 128) -> DataFrame:
+    """Hedge ratio and Dickey-Fuller t of the residual of every pair (a < b) over their common dates, by blocks of keys."""
+
+    def one(x: np.ndarray, y: np.ndarray) -> tuple:
+        both = ~(np.isnan(x) | np.isnan(y))
+        x, y = x[both], y[both]
+        dx = x - x.mean() if len(x) else x
+        xx = dx @ dx
+        if not xx > 0 or len(x) < 2:
+            return max(len(x) - 1, 0), None, None
+        beta = dx @ (y - y.mean()) / xx
+        e = y - y.mean() - beta * dx
+        lag, d = e[:-1], np.diff(e)
+        with np.errstate(all="ignore"):
+            g = (lag @ d) / (lag @ lag)
+            t = g / np.sqrt((d @ d - g * (lag @ d)) / (len(e) - 2) / (lag @ lag))
+        return len(e) - 1, beta, t if np.isfinite(t) else None
+
+    def run(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        u, v = left.to_numpy(float), right.to_numpy(float)
+        out = []
+        for i, p in enumerate(left.columns):
+            for j, q in enumerate(right.columns):
+                if p < q:
+                    out.append((p, q, *one(u[:, i], v[:, j])))
+                elif q < p and not same:
+                    out.append((q, p, *one(v[:, j], u[:, i])))
+        found = pd.DataFrame(out, columns=["a", "b", "n", "beta", "t"])
+        return found[found["n"] > 0]
+
+    kind = dict(df.dtypes)[key]
+    logs = df.select(key, on, F.ln(x).alias("__x"))
+    return by_pair_blocks(logs, "__x", key, on, size, run, f"a {kind}, b {kind}, n long, beta double, t double")
 
 
 def message_entropies(df: DataFrame, message: str, width: int = 2) -> DataFrame:
