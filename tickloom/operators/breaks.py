@@ -58,36 +58,184 @@ def chow_df(df: DataFrame, x: str = "close", key: str = "ticker", order: str = "
     return s.where("n > 2").select(key, order, F.try_divide(beta, se).alias("t"))
 
 
-def sadf(df: DataFrame, x: str = "close", least: int = 40, every: int = 1, block: int = 200, key: str = "ticker", order: str = "date") -> DataFrame:
-    """Largest Dickey-Fuller t (with constant) over all starts, at every end point with more than ``least`` differences (each ``every``-th, if asked), in blocks of end points."""
-    path = df.select(key, order, F.ln(x).alias("y")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "y"))).alias("p"))
+def bde_cusum(df: DataFrame, x: str = "ret", key: str = "ticker", order: str = "date") -> DataFrame:
+    """Brown-Durbin-Evans sums with running mean and variance; the shift looked for is the key's median.
+
+    s is the one-sided sum, g its rise above its least value so far (or 0), up
+    and down the rises for a shift of either sign.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    known = df.where(F.col(x).isNotNull()).withColumn("__m", F.percentile(x, F.lit(0.5)).over(Window.partitionBy(key)))
+    first = F.row_number().over(w) == 1
+    known = known.withColumn("__u", F.when(first, 0.0).otherwise(F.avg(x).over(upto))).withColumn("__v", F.when(first, 1.0).otherwise(F.var_pop(x).over(upto)))
+    m, size, gap = F.col("__m"), F.abs("__m"), F.col(x) - F.col("__u")
+    steps = {"s": m * (gap - m / 2), "up": size * (gap - size / 2), "down": -size * (gap + size / 2)}
+    known = known.withColumns({f"__{n}": F.sum(F.coalesce(F.try_divide(c, "__v"), F.lit(0.0))).over(upto) for n, c in steps.items()})
+
+    def rise(c: str):
+        return F.col(c) - F.least(F.min(c).over(upto), F.lit(0.0))
+
+    return known.select(key, order, F.col("__s").alias("s"), rise("__s").alias("g"), rise("__up").alias("up"), rise("__down").alias("down"))
+
+
+#: Trend of each model, and whether it is a regression on trends alone.
+SADF_MODELS = {"none": (), "linear": (1,), "quadratic": (2,), "sm_poly_1": (1, 2), "sm_poly_2": (1, 2), "sm_exp": (1,), "sm_power": ("log",)}
+
+
+def _sadf_data(level: np.ndarray, model: str, lags: int, constant: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Regressors (the tested one first), response and the row of the first response."""
+    if constant and len(level):
+        level = level - level.mean()  # which no t can tell
+    d = np.diff(level)
+    n = max(len(d) - lags, 0)
+    skip = int(model == "sm_power" and n > 0)  # the log of row 0 is not finite
+    k = np.arange(skip, n, dtype=float)
+    trends = [np.log(k) if t == "log" else (k / max(n, 1)) ** t for t in SADF_MODELS[model]]  # the scale does not change a t
+    if model.startswith("sm_"):
+        return np.stack([trends[-1], np.ones(n - skip), *trends[:-1]], 1), level[lags + 1 + skip :], lags + 1 + skip
+    columns = [level[lags:-1] if n else level[:0], *(d[lags - j : len(d) - j] for j in range(1, lags + 1)), *trends]
+    if constant:
+        columns.append(np.ones(n))
+    return np.stack(columns, 1), d[lags:], lags + 1
+
+
+class _Sums:
+    """Prefix sums of a regression, which give the normal equations of every start and end."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        zero = np.zeros((1, x.shape[1]))
+        with np.errstate(invalid="ignore"):
+            self.xx = np.concatenate([zero[:, :, None] * zero[:, None, :], np.cumsum(x[:, :, None] * x[:, None, :], 0)])
+            self.xy, self.yy = np.concatenate([zero, np.cumsum(x * y[:, None], 0)]), np.r_[0.0, np.cumsum(y * y)]
+        self.columns = x.shape[1]
+
+    def largest_t(self, rows: int, least: int) -> float:
+        """Of the first regressor over all starts that leave at least ``least`` of the first rows; NaN without one."""
+        starts = slice(0, rows - least + 1)
+        xx, xy, yy, n = self.xx[rows] - self.xx[starts], self.xy[rows] - self.xy[starts], self.yy[rows] - self.yy[starts], rows - np.arange(rows - least + 1)
+        with np.errstate(all="ignore"):
+            scale = np.sqrt(np.diagonal(xx, axis1=1, axis2=2))
+            unit = xx / scale[:, :, None] / scale[:, None, :]
+            solid = np.linalg.det(unit) > 1e-13
+            if not solid.any():
+                return math.nan
+            inverse, v = np.linalg.inv(unit[solid]), (xy / scale)[solid]
+            beta = np.einsum("sij,sj->si", inverse, v)
+            t = beta[:, 0] / np.sqrt((yy[solid] - (beta * v).sum(1)) / (n[solid] - self.columns) * inverse[:, 0, 0])
+        t = t[np.isfinite(t)]
+        return float(t.max()) if len(t) else math.nan
+
+
+def sadf(df: DataFrame, model: str = "none", lags: int = 0, constant: bool = True, x: str = "close", least: int = 40, every: int = 1, block: int = 200, key: str = "ticker", order: str = "date") -> DataFrame:
+    """Largest t of the explosiveness term over all starts, at every end point with more than ``least`` rows (each ``every``-th, if asked), in blocks of end points.
+
+    model: none, linear or quadratic (a Dickey-Fuller regression of the log's
+    differences with that trend, ``lags`` lagged differences and a constant), or
+    sm_poly_1 (of the level itself), sm_poly_2, sm_exp, sm_power (of its log),
+    which test a trend term.  Each block is given the key's history, which the
+    regressions of its end points read whole.
+    """
+    level = F.col(x).cast("double") if model == "sm_poly_1" else F.ln(x)
+    path = df.select(key, order, level.alias("y")).where("y IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "y"))).alias("p"))
     ends = path.withColumn("b", F.explode(F.sequence(F.lit(0), F.floor(F.size("p") / F.lit(every * block)).cast("int"))))
+    # The blocks of a key are spread over tasks.
+    ends = ends.repartition(key, "b")
     kinds = dict(df.dtypes)
 
     def run(parts):
         for part in parts:
             out = []
             for row in part.itertuples():
-                y = np.array([p["y"] for p in row.p], float)
-                for end in range(row.b * every * block + every - 1, min(len(y), (row.b + 1) * every * block), every):
-                    if end <= least:
-                        continue
-                    lag, d = y[:end], np.diff(y[: end + 1])
-                    # Suffix sums give the regression of every start at once.
-                    s = [np.cumsum(v[::-1])[::-1] for v in (np.ones_like(lag), lag, d, lag * lag, lag * d, d * d)]
-                    n, sx, sd, sxx, sxd, sdd = (v[: max(len(lag) - least + 1, 0)] for v in s)
-                    vx = sxx - sx * sx / np.maximum(n, 1)
-                    with np.errstate(all="ignore"):
-                        beta = (sxd - sx * sd / n) / vx
-                        sse = sdd - sd * sd / n - beta * beta * vx
-                        t = beta / np.sqrt(sse / (n - 2) / vx)
-                    if len(t) and np.isfinite(t).any():
-                        out.append((getattr(row, key), row.p[end][order], float(np.nanmax(t))))
+                known, y, first = _sadf_data(np.array([p["y"] for p in row.p], float), model, lags, constant)
+                sums = _Sums(known, y)
+                for end in range(row.b * every * block + every - 1, min(len(row.p), (row.b + 1) * every * block), every):
+                    if end - lags > least:
+                        t = sums.largest_t(end - first + 1, least)
+                        if math.isfinite(t):
+                            out.append((getattr(row, key), row.p[end][order], t))
             yield pd.DataFrame(out, columns=[key, order, "sadf"])
 
     return ends.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, sadf double")
 
 
+#: 95 % points of the trace and largest-eigenvalue statistics with a constant, for 1 to 7 series.
+TRACE_95 = (3.8415, 15.4943, 29.7961, 47.8545, 69.8189, 95.7542, 125.6185)
+EIGEN_95 = (3.8415, 14.2639, 21.1314, 27.5858, 33.8777, 40.0763, 46.2299)
+
+
+def johansen(df: DataFrame, basket: str, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
+    """Cointegration ranks of the log prices of each basket of 2 to 7 keys (one lag, constant), over the dates that all have.
+
+    A group is one basket; its size in keys is bounded by the tables of critical values, and larger ones raise.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        y = np.log(g.pivot_table(index=order, columns=key, values=x)).dropna().to_numpy()
+        n = y.shape[1]
+        if n > len(TRACE_95):
+            raise ValueError(f"a basket holds {n} keys, more than {len(TRACE_95)}")
+        if len(y) < 3 * n + 3:
+            return pd.DataFrame({"basket": [], "r": [], "trace": [], "eigen": [], "trace_rank": [], "eigen_rank": []})
+        d = np.diff(y - y.mean(0), axis=0)
+        z = d[:-1] - d[:-1].mean(0)
+
+        def rest(v: np.ndarray) -> np.ndarray:
+            v = v - v.mean(0)
+            return v - z @ np.linalg.lstsq(z, v, rcond=None)[0]
+
+        r0, rk = rest(d[1:]), rest(y[1:-1])
+        s00, skk, sk0 = r0.T @ r0 / len(r0), rk.T @ rk / len(r0), rk.T @ r0 / len(r0)
+        root = np.linalg.inv(np.linalg.cholesky(skk))
+        values = np.sort(np.linalg.eigvalsh(root @ sk0 @ np.linalg.solve(s00, sk0.T) @ root.T))[::-1]
+        logs = -len(r0) * np.log(1 - np.clip(values, 0, 1 - 1e-12))
+        trace = np.cumsum(logs[::-1])[::-1]
+
+        def rank(stat: np.ndarray, table: tuple) -> int:
+            passed = stat > np.array(table[:n])[::-1]
+            return int(np.argmin(passed)) if not passed.all() else n
+
+        return pd.DataFrame({"basket": g[basket].iloc[0], "r": range(n), "trace": trace, "eigen": logs, "trace_rank": rank(trace, TRACE_95), "eigen_rank": rank(logs, EIGEN_95)})
+
+    return df.groupBy(basket).applyInPandas(run, f"basket {dict(df.dtypes)[basket]}, r int, trace double, eigen double, trace_rank int, eigen_rank int")
+
+
+def adf(y: np.ndarray) -> tuple[float, float, int]:
+    """Augmented Dickey-Fuller t with one lag and a constant, its 5 % point and the number of rows."""
+    d = np.diff(y)
+    n = len(d) - 1
+    a = np.column_stack([y[1:-1], d[:-1], np.ones(n)])
+    inverse = np.linalg.pinv(a.T @ a)
+    beta = inverse @ a.T @ d[1:]
+    rest = d[1:] - a @ beta
+    # Fixed values of the response surface of the 5 % point.
+    point = -2.86154 - 2.8903 / n - 4.234 / n**2 - 40.04 / n**3
+    return float(beta[0] / math.sqrt(max(rest @ rest / (n - 3) * inverse[0, 0], 1e-300))), point, n
+
+
+def ffd_search(df: DataFrame, steps: int = 20, least: float = 1e-2, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
+    """For d from 0 to 1 the test of the fractional difference of the log level, its correlation with the level, and whether d is the least that is stationary at 5 %.
+
+    Each key and d is a group of its own.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        d = float(g["d"].iloc[0])
+        y, w = np.log(g.sort_values(order)[x].to_numpy(float)), np.array(fractional_weights(d, least))
+        if len(y) < len(w) + 10:
+            return pd.DataFrame({key: [], "d": [], "adf": [], "critical": [], "n": [], "corr": []})
+        moved = np.convolve(y, w, "valid")
+        stat, point, n = adf(moved)
+        with np.errstate(all="ignore"):
+            corr = np.corrcoef(y[len(w) - 1 :], moved)[0, 1]
+        return pd.DataFrame({key: [g[key].iloc[0]], "d": d, "adf": stat, "critical": point, "n": n, "corr": corr})
+
+    each = df.select(key, order, x).where(F.col(x) > 0).withColumn("d", F.explode(F.array(*[F.lit(round(k / steps, 10)) for k in range(steps + 1)])))
+    found = each.groupBy(key, "d").applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, d double, adf double, critical double, n long, corr double")
+    first = F.min(F.when(F.col("adf") < F.col("critical"), F.col("d"))).over(Window.partitionBy(key))
+    return found.withColumn("optimal", F.coalesce(F.col("d") == first, F.lit(False)))
+
+
 def kalman(df: DataFrame, q: float = 1e-3, r: float = 1.0, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
     """Level and slope of a constant-velocity filter with discrete white noise q, and the level smoothed back over the whole series (Rauch, Tung and Striebel).
 

@@ -277,6 +277,88 @@ def lempel_ziv(message: pd.Series) -> pd.Series:
     return message.map(one)
 
 
+def konto(message: str, window: int = 0) -> float | None:
+    """Mean of log2 of the history's length over the longest match in it, plus one."""
+    n = len(message)
+    if window > 0:
+        window = min(window, n // 2)
+        points = range(window, n - window + 1) if window else range(0)
+    else:
+        points = range(1, n // 2 + 1)
+    total = 0.0
+    for i in points:
+        back = window if window > 0 else i
+        length = 0
+        # A match of some length implies those of all shorter ones.
+        while length < back and i + length < n and message.find(message[i : i + length + 1], i - back, i + length) >= 0:
+            length += 1
+        total += np.log2(back + 1) / (length + 1)
+    return float(total / len(points)) if len(points) else 0.0
+
+
+def konto_entropy(window: int = 0):
+    """Arrow UDF of the match-length entropy of a message, its history ``window`` letters or, if 0, all before."""
+
+    @F.pandas_udf(T.DoubleType())
+    def of(message: pd.Series) -> pd.Series:
+        return message.map(lambda s: None if s is None else konto(s, window))
+
+    return of
+
+
+def entropy_bins(n: float) -> int:
+    """The number of bins that is best for the marginal entropy of n values."""
+    z = (8 + 324 * n + 12 * (36 * n + 729 * n * n) ** 0.5) ** (1 / 3)
+    return round(z / 6 + 2 / (3 * z) + 1 / 3)
+
+
+@F.pandas_udf(T.DoubleType())
+def histogram_entropy(window: pd.Series, n: pd.Series) -> pd.Series:
+    """Entropy (natural) of the histogram of a window, its bins best for n values."""
+
+    def one(x, k: int) -> float:
+        share = np.histogram(np.asarray(x, float), entropy_bins(k))[0] / len(x)
+        share = share[share > 0]
+        return float(-(share * np.log(share)).sum())
+
+    return pd.Series([one(x, k) for x, k in zip(window, n, strict=True)], dtype="float64")
+
+
+def continuous_entropy(returns: DataFrame, rows: int = 50, x: str = "ret", key: str = "ticker", order: str = "date") -> DataFrame:
+    """At each row the entropy of the ``rows`` values before it; a key's number of values sets the bins."""
+    w = Window.partitionBy(key).orderBy(order)
+    known = returns.where(F.col(x).isNotNull()).select(key, order, x)
+    known = known.withColumn("__n", F.count("*").over(Window.partitionBy(key))).withColumn("__x", F.collect_list(x).over(w.rowsBetween(-rows, -1)))
+    return known.where(F.size("__x") == rows).select(key, order, histogram_entropy("__x", "__n").alias("entropy"))
+
+
+def js_divergence(returns: DataFrame, x: str = "ret", key: str = "ticker", on: str = "date", size: int = 64) -> DataFrame:
+    """Jensen-Shannon divergence of the Gaussian kernel densities of every pair over common dates, summed over a grid of as many points."""
+
+    def density(v: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        h = v.std(ddof=1) * len(v) ** -0.2
+        return np.concatenate([np.exp(-(((g[:, None] - v) / h) ** 2) / 2).sum(1) for g in np.array_split(grid, len(grid) // 512 + 1)]) / (len(v) * h * math.sqrt(2 * math.pi))
+
+    def one(a: np.ndarray, b: np.ndarray) -> float | None:
+        both = ~(np.isnan(a) | np.isnan(b))
+        a, b = a[both], b[both]
+        if len(a) < 2 or not a.std() > 0 or not b.std() > 0:
+            return None
+        grid = np.linspace(min(a.min(), b.min()), max(a.max(), b.max()), len(a))
+        p, q = density(a, grid), density(b, grid)
+        m = (p + q) / 2
+        with np.errstate(all="ignore"):
+            return float(sum(np.where(f > 0, f * np.log(f / m), 0.0).sum() / 2 for f in (p, q)))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        u, v = left.to_numpy(float), right.to_numpy(float)
+        out = [(min(p, q), max(p, q), one(u[:, i], v[:, j])) for i, p in enumerate(left.columns) for j, q in enumerate(right.columns) if p < q or (p > q and not same)]
+        return pd.DataFrame(out, columns=["a", "b", "js"])
+
+    kind = dict(returns.dtypes)[key]
+    return by_pair_blocks(returns, x, key, on, size, run, f"a {kind}, b {kind}, js double")
+
+
 @F.pandas_udf(T.DoubleType())
 def hurst_rs(window: pd.Series) -> pd.Series:
     """Rescaled-range exponent of a window of values, over all chunk lengths from 2 to 19."""
@@ -301,8 +383,65 @@ def hurst_rs(window: pd.Series) -> pd.Series:
     return found.astype(object).where(found.notna(), None)
 
 
-def rolling_hurst(returns: DataFrame, width: int = 128, step: int = 1, x: str = "ret", key: str = "ticker", order: str = "date") -> DataFrame:
-    """The exponent of each full window of ``width`` values, at every ``step``-th row from the first on."""
+def _slope(x, y, w=None) -> float:
+    """Of a line through the points; w weighs the squared departures."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    w = np.ones_like(x) if w is None else np.asarray(w, float)
+    dx = x - (w @ x) / w.sum()
+    return float((w * dx) @ y / ((w * dx) @ dx)) if (dx != 0).any() else math.nan
+
+
+def hurst_dfa(x: np.ndarray, least: int = 10) -> float:
+    """Growth of the departures from lines in boxes of 10 to a quarter of the values, weighted by box size."""
+    n = len(x)
+    if n // 4 < least:
+        return math.nan
+    y = np.cumsum(x - x.mean())
+    sizes, logs = [], []
+    for size in np.unique(np.logspace(np.log10(least), np.log10(n // 4), 30).astype(int)):
+        parts = y[: n // size * size].reshape(-1, size)
+        t = np.arange(size) - (size - 1) / 2
+        flat = parts - parts.mean(1, keepdims=True)
+        off = flat - np.outer(flat @ t / (t @ t), t)
+        if (f := np.sqrt((off * off).mean())) > 0:
+            sizes.append(size)
+            logs.append(np.log(f))
+    return _slope(np.log(sizes), logs, sizes) if len(sizes) > 1 else math.nan
+
+
+def hurst_aggvar(x: np.ndarray, most: int = 20) -> float:
+    """From the fall of the variance of means of 1 to ``most`` values."""
+    ks = [k for k in range(1, most + 1) if len(x) // k >= 2]
+    v = [x[: len(x) // k * k].reshape(-1, k).mean(1).var() for k in ks]
+    return _slope(np.log(ks), np.log(v)) / 2 + 1 if len(ks) > 1 and min(v) > 0 else math.nan
+
+
+def hurst_higuchi(x: np.ndarray, most: int = 20) -> float:
+    """Slope of the curve's length, measured at steps of 1 to ``most`` values."""
+    n, ks, logs = len(x), [], []
+    for k in range(1, min(most, n - 1) + 1):
+        subs = [x[m::k] for m in range(k) if len(x[m::k]) > 1]
+        length = sum(np.abs(np.diff(s)).sum() * (n - 1) / (k * k * len(s)) for s in subs) / k
+        if length > 0:
+            ks.append(k)
+            logs.append(np.log(length))
+    return _slope(np.log(ks), logs) if len(ks) > 1 else math.nan
+
+
+def _each(one):
+    @F.pandas_udf(T.DoubleType())
+    def of(window: pd.Series) -> pd.Series:
+        found = [one(np.asarray(v, float)) for v in window]
+        return pd.Series([h if math.isfinite(h) else None for h in found], dtype="object")
+
+    return of
+
+
+HURST = {"rs": lambda: hurst_rs, "dfa": lambda: _each(hurst_dfa), "aggvar": lambda: _each(hurst_aggvar), "higuchi": lambda: _each(hurst_higuchi)}
+
+
+def rolling_hurst(returns: DataFrame, width: int = 128, step: int = 1, method: str = "rs", x: str = "ret", key: str = "ticker", order: str = "date") -> DataFrame:
+    """The exponent (method: rs, dfa, aggvar or higuchi) of each full window of ``width`` values, at every ``step``-th row from the first on."""
     w = Window.partitionBy(key).orderBy(order)
     known = returns.where(F.col(x).isNotNull()).withColumn("i", F.row_number().over(w)).withColumn("x", F.collect_list(x).over(w.rowsBetween(1 - width, 0)))
-    return known.where((F.col("i") >= width) & ((F.col("i") - width) % step == 0)).select(key, order, hurst_rs("x").alias("hurst"))
+    return known.where((F.col("i") >= width) & ((F.col("i") - width) % step == 0)).select(key, order, HURST[method]()("x").alias("hurst"))

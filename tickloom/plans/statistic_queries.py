@@ -197,3 +197,63 @@ def feature_importance(spark, sf_dir):
         known = known.withColumn(f"f{k}", F.lag("ret", k - 1).over(w))
     known = known.withColumn("label", (F.lead("close", 5).over(w) > F.col("close")).cast("double")).dropna(subset=["label", *[f"f{k}" for k in range(1, 5)]])
     return breaks.importance(known.select("label", *[f"f{k}" for k in range(1, 5)]), [f"f{k}" for k in range(1, 5)])
+
+
+@query(f"""{RET}, k AS (SELECT ticker, date, ret, median(ret) OVER (PARTITION BY ticker) AS m, row_number() OVER w AS i, avg(ret) OVER w AS u, var_pop(ret) OVER w AS v FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+  q AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE u END AS u1, CASE WHEN i = 1 THEN 1 ELSE nullif(v, 0) END AS v1 FROM k),
+  c AS (SELECT ticker, date, sum(coalesce(m * (ret - u1 - m / 2) / v1, 0)) OVER w AS s, sum(coalesce(abs(m) * (ret - u1 - abs(m) / 2) / v1, 0)) OVER w AS p, sum(coalesce(-abs(m) * (ret - u1 + abs(m) / 2) / v1, 0)) OVER w AS n FROM q WINDOW w AS (PARTITION BY ticker ORDER BY date))
+  SELECT ticker, CAST(date AS VARCHAR) AS date, {_r("s")} AS s, {_r("s - least(min(s) OVER w, 0)")} AS g, {_r("p - least(min(p) OVER w, 0)")} AS up, {_r("n - least(min(n) OVER w, 0)")} AS down FROM c WINDOW w AS (PARTITION BY ticker ORDER BY date)""")
+def bde_cusum(spark, sf_dir):
+    return breaks.bde_cusum(returns(spark, sf_dir))
+
+
+@query()
+def sadf_linear(spark, sf_dir):
+    return breaks.sadf(panel(spark, sf_dir), "linear", lags=2)
+
+
+@query()
+def sadf_sm_exp(spark, sf_dir):
+    return breaks.sadf(panel(spark, sf_dir), "sm_exp")
+
+
+@query()
+def johansen_rank(spark, sf_dir):
+    return breaks.johansen(panel(spark, sf_dir), "sector")
+
+
+@query()
+def min_ffd_search(spark, sf_dir):
+    return breaks.ffd_search(panel(spark, sf_dir))
+
+
+@query()
+def hurst_dfa(spark, sf_dir):
+    return st.rolling_hurst(returns(spark, sf_dir), step=10, method="dfa")
+
+
+@query()
+def hurst_aggvar(spark, sf_dir):
+    return st.rolling_hurst(returns(spark, sf_dir), step=10, method="aggvar")
+
+
+@query()
+def hurst_higuchi(spark, sf_dir):
+    return st.rolling_hurst(returns(spark, sf_dir), step=10, method="higuchi")
+
+
+@query()
+def entropy_konto(spark, sf_dir):
+    r = returns(spark, sf_dir).where("ret IS NOT NULL")
+    letters = r.groupBy("ticker", F.year("date").alias("year")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "ret"))), lambda x: F.when(x["ret"] > 0, "a").otherwise("b")), "").alias("message"))
+    return letters.select("ticker", "year", st.konto_entropy()("message").alias("konto"), st.konto_entropy(20)("message").alias("konto_20"))
+
+
+@query()
+def continuous_entropy(spark, sf_dir):
+    return st.continuous_entropy(returns(spark, sf_dir))
+
+
+@query()
+def dist_js(spark, sf_dir):
+    return st.js_divergence(returns(spark, sf_dir), size=8)
