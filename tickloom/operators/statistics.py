@@ -348,7 +348,7 @@ def js_divergence(returns: DataFrame, x: str = "ret", key: str = "ticker", on: s
         p, q = density(a, grid), density(b, grid)
         m = (p + q) / 2
         with np.errstate(all="ignore"):
-            return float(sum(np.where(f > 0, f * np.log(f / m), 0.0).sum() / 2 for f in (p, q)))
+            return float(sum(np.where((f > 0) & (m > 0), f * np.log(f / m), 0.0).sum() / 2 for f in (p, q)))
 
     def run(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         u, v = left.to_numpy(float), right.to_numpy(float)
