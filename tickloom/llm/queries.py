@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontamination, fingerprints, html_text, minhash, quality, sampled_pieces, secrets, token_counts, url_filters, warc
+from . import decontamination, fingerprints, html_text, minhash, quality, rule_ledger, sampled_pieces, secrets, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_sampled_pieces": sampled_pieces.op1_sampled_pieces,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op13_quality_rules": rule_ledger.op13_quality_rules,
 }
 
 #: Where SQL cannot express an operator, tests/llm holds it against brute force.
@@ -20,4 +21,5 @@ SQL = {
     "op2_decontamination": decontamination.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
     "op9_url_filters": url_filters.OP9_SQL,
+    "op13_quality_rules": rule_ledger.OP13_SQL,
 }
