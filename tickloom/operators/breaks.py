@@ -358,33 +358,3 @@ def denoised_correlation(returns: DataFrame, periods: str, keep: int = 3, x: str
 
     kinds = dict(returns.dtypes)
     return returns.groupBy(periods).applyInPandas(run, f"{periods} {kinds[periods]}, a {kinds[key]}, b {kinds[key]}, corr double")
-
-
-def importance(df: DataFrame, features: list[str], label: str = "label", trees: int = 10, seed: int = 7) -> DataFrame:
-    """Mean decrease of impurity and of accuracy (one permuted feature at a time) of a random forest."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    assemble = VectorAssembler(inputCols=features, outputCol="__x")
-    train, test = df.where(F.pmod(F.xxhash64(*features), F.lit(3)) > 0), df.where(F.pmod(F.xxhash64(*features), F.lit(3)) == 0)
-    model = RandomForestClassifier(featuresCol="__x", labelCol=label, numTrees=trees, maxDepth=4, seed=seed).fit(assemble.transform(train))
-    numbered = test.withColumn("__i", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(*features), F.lit(64))).orderBy(*features)))
-    block = F.pmod(F.xxhash64(*features), F.lit(64))
-
-    def accuracy(data: DataFrame, name: str) -> DataFrame:
-        scored = model.transform(assemble.transform(data))
-        return scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")).select(F.lit(name).alias("feature"), "accuracy")
-
-    base = accuracy(test, "")
-    parts = []
-    for k, f in enumerate(features):
-        # A feature moves one row along within a block: a permutation without a global order.
-        w = Window.partitionBy(block).orderBy(F.xxhash64("__i", F.lit(k)))
-        moved = numbered.withColumn("__f", F.coalesce(F.lag(f).over(w), F.col(f)))
-        parts.append(accuracy(moved.drop(f).withColumnRenamed("__f", f), f))
-    worse = parts[0]
-    for p in parts[1:]:
-        worse = worse.union(p)
-    spark = df.sparkSession
-    mdi = spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)], T.StructType([T.StructField("feature", T.StringType()), T.StructField("mdi", T.DoubleType())]))
-    return worse.join(mdi, "feature").crossJoin(base.select(F.col("accuracy").alias("__b"))).select("feature", "mdi", (F.col("__b") - F.col("accuracy")).alias("mda"))

@@ -114,24 +114,6 @@ def monthly_return(spark, sf_dir):
     return r.groupBy("ticker", F.date_trunc("month", "date").cast("date").alias("month")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
 
 
-@query()
-def factor_classifier_job(spark, sf_dir):
-    """Train on the first years, predict the rest: a random forest on lagged returns."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    w = Window.partitionBy("ticker").orderBy("date")
-    known = returns(spark, sf_dir)
-    for k in range(1, 6):
-        known = known.withColumn(f"f{k}", F.lag("ret", k - 1).over(w))
-    known = known.withColumn("label", (F.lead("close", 5).over(w) > F.col("close")).cast("double")).dropna(subset=["label", *[f"f{k}" for k in range(1, 6)]])
-    data = VectorAssembler(inputCols=[f"f{k}" for k in range(1, 6)], outputCol="features").transform(known)
-    model = RandomForestClassifier(numTrees=10, maxDepth=4, seed=7).fit(data.where("date < '1999-01-01'"))
-    scored = model.transform(data.where("date >= '1999-01-01'"))
-    return scored.select("ticker", "date", "label", "prediction", vector_to_array("probability")[1].alias("probability"))
-
-
 @query()
 def csw_cusum(spark, sf_dir):
     return breaks.csw_cusum(panel(spark, sf_dir))
@@ -189,16 +171,6 @@ def denoise_corr(spark, sf_dir):
     return breaks.denoised_correlation(returns(spark, sf_dir).withColumn("year", F.year("date")).select("year", "ticker", "date", "ret"), "year")
 
 
-@query()
-def feature_importance(spark, sf_dir):
-    w = Window.partitionBy("ticker").orderBy("date")
-    known = returns(spark, sf_dir)
-    for k in range(1, 5):
-        known = known.withColumn(f"f{k}", F.lag("ret", k - 1).over(w))
-    known = known.withColumn("label", (F.lead("close", 5).over(w) > F.col("close")).cast("double")).dropna(subset=["label", *[f"f{k}" for k in range(1, 5)]])
-    return breaks.importance(known.select("label", *[f"f{k}" for k in range(1, 5)]), [f"f{k}" for k in range(1, 5)])
-
-
 @query(f"""{RET}, k AS (SELECT ticker, date, ret, median(ret) OVER (PARTITION BY ticker) AS m, row_number() OVER w AS i, avg(ret) OVER w AS u, var_pop(ret) OVER w AS v FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date)),
   q AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE u END AS u1, CASE WHEN i = 1 THEN 1 ELSE nullif(v, 0) END AS v1 FROM k),
   c AS (SELECT ticker, date, sum(coalesce(m * (ret - u1 - m / 2) / v1, 0)) OVER w AS s, sum(coalesce(abs(m) * (ret - u1 - abs(m) / 2) / v1, 0)) OVER w AS p, sum(coalesce(-abs(m) * (ret - u1 + abs(m) / 2) / v1, 0)) OVER w AS n FROM q WINDOW w AS (PARTITION BY ticker ORDER BY date))
