@@ -262,8 +262,7 @@ def bar_count_stability(spark, sf_dir):
 
 @query(f"{TICK_BARS} SELECT symbol, bar_id, {_r('sum(price * volume) / sum(volume)')} AS vwap, {_r('avg(volume)')} AS avg_tick_size, {_r('sum(side)')} AS net_side, {_r('sum(side * volume * dp) / nullif(sum(side * side * volume * volume), 0)', 6)} AS kyle, {_r('sum(price * volume * abs(dl)) / nullif(sum(price * price * volume * volume), 0)', 6)} AS amihud, {_r('sum(sqrt(price * volume) * side * abs(dl)) / nullif(sum(price * volume * side * side), 0)', 6)} AS hasbrouck FROM n GROUP BY symbol, bar_id HAVING count(*) = 20", kyle=6, amihud=6, hasbrouck=6)
 def bar_micro_features(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy(*bars.ORDER)
-    numbered = bars.with_changes(bars.tick_rule(ticks(spark, sf_dir))).withColumn("bar_id", F.floor((F.row_number().over(w) - 1) / 20))
+    numbered = bars.with_changes(ticks(spark, sf_dir)).withColumn("bar_id", F.floor(F.col("i") / 20))
     made = bars.ohlcv(numbered, more=bars.flow_features(numbered)).where("cum_ticks = 20")
     return made.select("symbol", "bar_id", "vwap", "avg_tick_size", "net_side", "kyle", "amihud", "hasbrouck")
 
