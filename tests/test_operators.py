@@ -118,13 +118,6 @@ def test_holding_period(spark):
     assert portfolio.holding_period(df).first().days == pytest.approx(5 / 3)
 
 
-def test_hrp_weights_sum_to_one_and_prefer_calm_assets(spark):
-    rng = np.random.default_rng(7)
-    rows = [(1, k, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(rng.normal(0, 0.01 * (k + 1)))) for k in range(4) for i in range(80)]
-    got = {r.ticker: r.weight for r in statistics.hrp_weights(spark.createDataFrame(rows, "year int, ticker int, date date, ret double"), "year").collect()}
-    assert sum(got.values()) == pytest.approx(1) and got[0] == max(got.values()) and got[3] == min(got.values())
-
-
 def test_imbalance_and_run_bars():
     signed = np.array([1.0, 1, 1, -1, 1, 1, 1, 1, 1, 1])
 

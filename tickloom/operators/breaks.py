@@ -339,22 +339,3 @@ def dynamic_zscore(df: DataFrame, lag: int = 30, threshold: float = 3.0, influen
         return g[[key, order]].assign(signal=signal)
 
     return _fold(df.select(key, order, x), key, order, run, f"{_head(df, key, order)}, signal int")
-
-
-def denoised_correlation(returns: DataFrame, periods: str, keep: int = 3, x: str = "ret", key: str = "ticker", order: str = "date") -> DataFrame:
-    """Pairs (a, b) of the correlation of each period, eigenvalues beyond the first ``keep`` set to their mean."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        wide = g.pivot_table(index=order, columns=key, values=x).fillna(0.0)
-        wide = wide.loc[:, wide.std() > 0]
-        corr = np.atleast_2d(np.corrcoef(wide.to_numpy().T))
-        val, vec = np.linalg.eigh(corr)
-        val = val.copy()
-        val[: max(len(val) - keep, 0)] = val[: max(len(val) - keep, 0)].mean() if len(val) > keep else val[:0]
-        c = vec @ np.diag(val) @ vec.T
-        c = c / np.sqrt(np.outer(np.diag(c), np.diag(c)))
-        i, j = np.triu_indices(len(c), 1)
-        return pd.DataFrame({periods: g[periods].iloc[0], "a": wide.columns[i], "b": wide.columns[j], "corr": c[i, j]})
-
-    kinds = dict(returns.dtypes)
-    return returns.groupBy(periods).applyInPandas(run, f"{periods} {kinds[periods]}, a {kinds[key]}, b {kinds[key]}, corr double")

@@ -107,31 +107,39 @@ def top_bottom(df: DataFrame, score: str, n: int, by: str = "date", key: str = "
     return known.withColumn("side", side).where("side IS NOT NULL").drop("__h", "__l")
 
 
-def by_pair_blocks(df: DataFrame, x: str, key: str, on: str, size: int, run, schema: str) -> DataFrame:
+def by_pair_blocks(df: DataFrame, x: str, key: str, on: str, size: int, run, schema: str, by: str | None = None) -> DataFrame:
     """``run(left, right, same)`` for every pair of blocks of about ``size`` keys; yields the rows of schema.
 
     left and right are tables of x, dates by keys, NULL where a key has no value;
     same: both are one block.  A row is copied once for each block of keys, not
     once for each other key, and a group holds two blocks of keys over the dates.
-    Keys and dates are not repeated, else the last value of a date counts.
+    Keys and dates are not repeated, else the last value of a date counts. With
+    ``by``, a column that comes first in the result, its values are worked out
+    apart.
     """
-    known = df.where(F.col(x).isNotNull()).select(F.col(key).alias("k"), F.col(on).alias("t"), F.col(x).alias("x"))
+    period = [F.col(by).alias("p")] if by else []
+    known = df.where(F.col(x).isNotNull()).select(F.col(key).alias("k"), F.col(on).alias("t"), F.col(x).alias("x"), *period)
     blocks = max(1, -(-known.select("k").distinct().count() // size))
     own = known.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = own.withColumn("o", other).select("k", "t", "x", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    spread = own.withColumn("o", other).select("k", "t", "x", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), *(["p"] if by else []))
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         i, j = group["i"].iloc[0], group["j"].iloc[0]
         wide = group.pivot_table(index="t", columns="k", values="x", aggfunc="last", sort=True)
         block = group.drop_duplicates("k").set_index("k")["b"].reindex(wide.columns)
-        return run(wide.loc[:, (block == i).to_numpy()], wide.loc[:, (block == j).to_numpy()], i == j)
+        found = run(wide.loc[:, (block == i).to_numpy()], wide.loc[:, (block == j).to_numpy()], i == j)
+        if by:
+            found.insert(0, by, group["p"].iloc[0])
+        return found
 
+    if by:
+        return spread.groupBy("p", "i", "j").applyInPandas(solve, f"{by} {dict(df.dtypes)[by]}, {schema}")
     return spread.groupBy("i", "j").applyInPandas(solve, schema)
 
 
-def pair_statistics(df: DataFrame, x: str = "ret", key: str = "ticker", on: str = "date", size: int = 256) -> DataFrame:
-    """Correlation, covariance, slope and intercept of every pair of keys (a < b) over common dates, by products of blocks of keys."""
+def pair_statistics(df: DataFrame, x: str = "ret", key: str = "ticker", on: str = "date", size: int = 256, by: str | None = None, diagonal: bool = False) -> DataFrame:
+    """Correlation, covariance, slope and intercept of every pair of keys (a < b; a = b, too, with ``diagonal``) over common dates, by products of blocks of keys."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         def sums(table: pd.DataFrame):
@@ -152,12 +160,12 @@ def pair_statistics(df: DataFrame, x: str = "ret", key: str = "ticker", on: str
             turned = a > b  # the smaller key is a
             slope = cov / np.where(turned, vv, vu)
             intercept = np.where(turned, mu - slope * mv, mv - slope * mu)
-        keep = (n > 0) & ((a < b) if same else np.ones_like(turned))
+        keep = (n > 0) & (((a <= b) if diagonal else (a < b)) if same else np.ones_like(turned))
         made = pd.DataFrame({"a": np.where(turned, b, a)[keep], "b": np.where(turned, a, b)[keep], "n": n[keep].astype(int), "cov": cov[keep], "corr": corr[keep], "slope": slope[keep], "intercept": intercept[keep]})
         return made.replace([np.inf, -np.inf], np.nan)
 
     kind = dict(df.dtypes)[key]
-    return by_pair_blocks(df, x, key, on, size, run, f"a {kind}, b {kind}, n long, cov double, corr double, slope double, intercept double")
+    return by_pair_blocks(df, x, key, on, size, run, f"a {kind}, b {kind}, n long, cov double, corr double, slope double, intercept double", by)
 
 
 def return_moments(df: DataFrame, x: str = "ret", key: str = "ticker") -> DataFrame:

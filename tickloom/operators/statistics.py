@@ -175,43 +175,6 @@ def inverse_variance(returns: DataFrame, x: str = "ret", key: str = "ticker") ->
     return v.join(F.broadcast(total), how="cross").select(key, (F.col("p") / F.col("__all")).alias("weight"))
 
 
-def hrp_weights(returns: DataFrame, periods: str, x: str = "ret", key: str = "ticker", order: str = "date") -> DataFrame:
-    """Hierarchical risk parity weights for each value of ``periods``: groups are dates x assets of one rebalance."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot_table(index=order, columns=key, values=x).fillna(0.0)
-        wide = wide.loc[:, wide.std() > 0]
-        cov, corr = np.atleast_2d(np.cov(wide.to_numpy().T)), np.atleast_2d(np.corrcoef(wide.to_numpy().T))
-        dist = np.sqrt(np.clip((1 - corr) / 2, 0, None))
-        far = np.sqrt(((dist[:, None, :] - dist[None, :, :]) ** 2).sum(-1))
-        clusters = [[i] for i in range(len(far))]
-        while len(clusters) > 1:  # single linkage; a cluster keeps its members in merge order
-            d = [[min(far[i, j] for i in a for j in b) if a is not b else np.inf for b in clusters] for a in clusters]
-            i, j = np.unravel_index(np.argmin(d), (len(clusters), len(clusters)))
-            merged = clusters[min(i, j)] + clusters[max(i, j)]
-            clusters = [c for k, c in enumerate(clusters) if k not in (i, j)] + [merged]
-        weights = np.ones(len(far))
-
-        def variance(items: list[int]) -> float:
-            v = cov[np.ix_(items, items)]
-            w = 1 / np.diag(v)
-            w = w / w.sum()
-            return float(w @ v @ w)
-
-        todo = [clusters[0]] if clusters else []
-        while todo:
-            items = todo.pop()
-            if len(items) > 1:
-                a, b = items[: len(items) // 2], items[len(items) // 2 :]
-                share = 1 - variance(a) / (variance(a) + variance(b))
-                weights[a], weights[b] = weights[a] * share, weights[b] * (1 - share)
-                todo += [a, b]
-        return pd.DataFrame({periods: group[periods].iloc[0], key: wide.columns, "weight": weights})
-
-    kinds = dict(returns.dtypes)
-    return returns.groupBy(periods).applyInPandas(run, f"{periods} {kinds[periods]}, {key} {kinds[key]}, weight double")
-
-
 def coint_statistics(df: DataFrame, x: str = "close", key: str = "ticker", on: str = "date", size: int = 128) -> DataFrame:
     """Hedge ratio and Dickey-Fuller t of the residual of every pair (a < b) over their common dates, by blocks of keys."""
 

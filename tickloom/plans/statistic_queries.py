@@ -73,11 +73,6 @@ def inverse_variance(spark, sf_dir):
     return st.inverse_variance(returns(spark, sf_dir))
 
 
-@query()
-def hrp(spark, sf_dir):
-    return st.hrp_weights(returns(spark, sf_dir).withColumn("year", F.year("date")).select("year", "ticker", "date", "ret"), "year")
-
-
 @query(f"{P}, j AS (SELECT a.date, a.ticker AS a, b.ticker AS b, ln(a.close) AS x, ln(b.close) AS y FROM panel a JOIN panel b ON a.date = b.date AND a.ticker < b.ticker), f AS (SELECT a, b, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM j GROUP BY ALL), e AS (SELECT j.a, j.b, date, y - alpha - beta * x AS e, beta FROM j JOIN f ON j.a = f.a AND j.b = f.b), l AS (SELECT *, lag(e) OVER (PARTITION BY a, b ORDER BY date) AS l FROM e), s AS (SELECT a, b, count(*) AS n, max(beta) AS beta, sum(l * (e - l)) AS ld, sum(l * l) AS ll, sum((e - l) * (e - l)) AS dd FROM l WHERE l IS NOT NULL GROUP BY ALL) SELECT a, b, n, {_r('beta')} AS beta, {_r('(ld / ll) / sqrt((dd - ld / ll * ld) / (n - 1) / ll)')} AS t FROM s")
 def coint_pairs(spark, sf_dir):
     return st.coint_statistics(panel(spark, sf_dir))
@@ -166,11 +161,6 @@ def dynamic_zscore(spark, sf_dir):
     return breaks.dynamic_zscore(panel(spark, sf_dir))
 
 
-@query()
-def denoise_corr(spark, sf_dir):
-    return breaks.denoised_correlation(returns(spark, sf_dir).withColumn("year", F.year("date")).select("year", "ticker", "date", "ret"), "year")
-
-
 @query(f"""{RET}, k AS (SELECT ticker, date, ret, median(ret) OVER (PARTITION BY ticker) AS m, row_number() OVER w AS i, avg(ret) OVER w AS u, var_pop(ret) OVER w AS v FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date)),
   q AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE u END AS u1, CASE WHEN i = 1 THEN 1 ELSE nullif(v, 0) END AS v1 FROM k),
   c AS (SELECT ticker, date, sum(coalesce(m * (ret - u1 - m / 2) / v1, 0)) OVER w AS s, sum(coalesce(abs(m) * (ret - u1 - abs(m) / 2) / v1, 0)) OVER w AS p, sum(coalesce(-abs(m) * (ret - u1 + abs(m) / 2) / v1, 0)) OVER w AS n FROM q WINDOW w AS (PARTITION BY ticker ORDER BY date))
