@@ -7,6 +7,8 @@ further, over blocks of end points, since every end point is independent.
 from __future__ import annotations
 
 import math
+from collections import deque
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.factors.market import fractional_weights
+from .carried import carried
 
 
 def _fold(df: DataFrame, key: str, order: str, run, schema: str) -> DataFrame:
@@ -323,19 +326,75 @@ def roll_gaps(df: DataFrame, contract: str, key: str = "ticker", order: str = "d
     return known.withColumn("gap", F.col("gap") - last if backward else F.col("gap")).drop("__g")
 
 
-def dynamic_zscore(df: DataFrame, lag: int = 30, threshold: float = 3.0, influence: float = 0.5, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
-    """Signal of a robust online z-score over the last filtered values."""
+class DynamicZScore:
+    """Signals of a robust online z-score; state: the last ``lag`` filtered values, their mean and deviation, and the count."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        y, signal = g[x].to_numpy(float), np.zeros(len(g), np.int32)
-        held = y.copy()
-        # The mean and deviation that a value is held against end two values before it, but for the first one's.
-        mean, dev = (np.mean(y[:lag]), np.std(y[:lag])) if len(y) > lag else (0.0, 0.0)
-        for i in range(lag + 1, len(y)):
-            if abs(y[i] - mean) > threshold * dev:
-                signal[i] = 1 if y[i] > mean else -1
-                held[i] = influence * y[i] + (1 - influence) * held[i - 1]
-            mean, dev = np.mean(held[i - lag : i]), np.std(held[i - lag : i])
-        return g[[key, order]].assign(signal=signal)
-
-    return _fold(df.select(key, order, x), key, order, run, f"{_head(df, key, order)}, signal int")
+    def __init__(self, lag: int = 30, threshold: float = 3.0, influence: float = 0.5, ring=(), mean: float = 0.0, dev: float = 0.0, n: int = 0, x: str = ""):
+        self.lag, self.threshold, self.influence, self.x = lag, threshold, influence, x
+        self.ring, self.mean, self.dev, self.n = deque(ring, maxlen=lag), mean, dev, n
+
+    def step(self, y: float) -> int:
+        """The mean and deviation that a value is held against end two values before it, but for the first one's."""
+        signal, kept = 0, y
+        if self.n > self.lag:
+            if abs(y - self.mean) > self.threshold * self.dev:
+                signal = 1 if y > self.mean else -1
+                kept = self.influence * y + (1 - self.influence) * self.ring[-1]
+        if self.n >= self.lag:
+            held = np.fromiter(self.ring, float)
+            self.mean, self.dev = float(held.mean()), float(held.std())
+        self.ring.append(kept)
+        self.n += 1
+        return signal
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        signal = np.fromiter((self.step(y) for y in rows[self.x].astype(float)), np.int32, len(rows))
+        return rows.drop(columns=self.x).assign(signal=signal)
+
+
+def dynamic_zscore(df: DataFrame, lag: int = 30, threshold: float = 3.0, influence: float = 0.5, x: str = "close", key: str = "ticker", order: str = "date") -> DataFrame:
+    """Signal of a robust online z-score over the last filtered values, in sorted batches."""
+    read = df.select(key, order, x)
+    return carried(read, [key], [order], lambda: DynamicZScore(lag, threshold, influence, x=x), f"{_head(df, key, order)}, signal int")
+
+
+class RecursiveLeastSquares:
+    """Products of regressors and values of the rows so far; residuals of each next row against a fit to those before it."""
+
+    def __init__(self, y: str, xs: list[str], ridge: float):
+        self.y, self.xs, self.ridge = y, xs, ridge
+        p = len(xs) + 1
+        self.xx, self.xy, self.n = np.zeros((p, p)), np.zeros(p), 0
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.c_[np.ones(len(rows)), rows[self.xs].to_numpy(float)]
+        y = rows[self.y].to_numpy(float)
+        # Sums up to and without each row, whose fits are then solved together.
+        xx = np.concatenate([self.xx[None], self.xx + np.cumsum(x[:, :, None] * x[:, None, :], axis=0)])
+        xy = np.concatenate([self.xy[None], self.xy + np.cumsum(x * y[:, None], axis=0)])
+        self.xx, self.xy = xx[-1], xy[-1]
+        inverse = np.linalg.pinv(xx[:-1], hermitian=True)
+        expected = np.einsum("ni,nij,nj->n", x, inverse, xy[:-1])
+        spread = np.einsum("ni,nij,nj->n", x, np.linalg.inv(xx[:-1] + self.ridge * np.eye(x.shape[1])), x)
+        residual = (y - expected) / np.sqrt(1 + spread)
+        if not self.n:
+            residual[:1] = 0.0
+        i = self.n + np.arange(len(rows))
+        self.n += len(rows)
+        return rows.drop(columns=[self.y, *self.xs]).assign(i=i, residual=residual)
+
+
+def recursive_residuals(df: DataFrame, y: str, xs: list[str], alpha: float = 0.05, ridge: float = 1e-5, key: str = "ticker", order: str = "date") -> DataFrame:
+    """Recursive residuals of a regression (with a constant), their cumulated sum over their deviation, and its critical bound.
+
+    Each row is held against the least-squares fit to the rows before it (of
+    least norm while those are too few), over the root of 1 plus its ridged
+    leverage; the first residual is 0. Rows with a null among them are left out.
+    """
+    read = df.select(key, order, *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna(subset=[y, *xs])
+    found = carried(read, [key], [order], lambda: RecursiveLeastSquares(y, xs, ridge), f"{_head(df, key, order)}, i long, residual double")
+    whole, upto = Window.partitionBy(key), Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.count("*").over(whole)
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    cusum = F.try_divide(F.sum("residual").over(upto), F.stddev_pop("residual").over(whole))
+    return found.withColumn("cusum", cusum).withColumn("critical", F.sqrt(n.cast("double")) * (1 + 2 * F.col("i") / n) * z).drop("i")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .carried import carried
 from .joins import asof
 
 
@@ -20,28 +22,35 @@ def _w(order: str = "ts") -> Window:
     return Window.partitionBy("symbol").orderBy(order)
 
 
-def cusum_steps(steps, h: float):
-    """For each step whether the symmetric CUSUM fires; the down side is tested first."""
-    up = down = 0.0
-    for d in steps:
-        up, down = max(0.0, up + d), min(0.0, down + d)
-        fired = False
-        if down < -h:
-            down, fired = 0.0, True
-        elif up > h:
-            up, fired = 0.0, True
-        yield fired
+class Cusum:
+    """The two sums and the last value of one symbol."""
 
+    def __init__(self, h: float):
+        self.h, self.up, self.down, self.last = h, 0.0, 0.0, None
 
-def cusum_events(bars: DataFrame, h: float) -> DataFrame:
-    """symbol, ts of the bars at which the CUSUM of close changes fires (a recurrence per symbol)."""
+    def step(self, value: float) -> bool:
+        """Whether the next value fires; the down side is tested first. A gap adds nothing, and so does the step after it."""
+        d = 0.0 if self.last is None or value is None or np.isnan(value) or np.isnan(self.last) else value - self.last
+        self.last = value
+        self.up, self.down = max(0.0, self.up + d), min(0.0, self.down + d)
+        if self.down < -self.h:
+            self.down = 0.0
+            return True
+        if self.up > self.h:
+            self.up = 0.0
+            return True
+        return False
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts")
-        return group[list(cusum_steps(group["close"].diff().fillna(0.0), h))][["symbol", "ts"]]
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        fired = [self.step(v) for v in rows["close"].astype(float)]
+        return rows.loc[fired, ["symbol", "ts"]]
 
+
+def cusum_events(bars: DataFrame, h: float) -> DataFrame:
+    """symbol, ts of the bars at which the symmetric CUSUM of close changes fires (a recurrence per symbol, in sorted batches)."""
     read = bars.select("symbol", "ts", "close")
-    return read.groupBy("symbol").applyInPandas(run, read.select("symbol", "ts").schema)
+    kinds = dict(read.dtypes)
+    return carried(read, ["symbol"], ["ts"], lambda: Cusum(h), f"symbol {kinds['symbol']}, ts {kinds['ts']}")
 
 
 def vertical_barrier(events: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:

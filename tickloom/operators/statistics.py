@@ -408,3 +408,19 @@ def rolling_hurst(returns: DataFrame, width: int = 128, step: int = 1, method: s
     w = Window.partitionBy(key).orderBy(order)
     known = returns.where(F.col(x).isNotNull()).withColumn("i", F.row_number().over(w)).withColumn("x", F.collect_list(x).over(w.rowsBetween(1 - width, 0)))
     return known.where((F.col("i") >= width) & ((F.col("i") - width) % step == 0)).select(key, order, HURST[method]()("x").alias("hurst"))
+
+
+def alpha_momentum(returns: DataFrame, windows: tuple[int, ...] = (10, 20, 60), x: str = "ret", key: str = "ticker", order: str = "date") -> DataFrame:
+    """alpha_n and beta_n: the last n returns of a key regressed on the mean return of their dates; NULL before n returns.
+
+    Two exchanges: by date for the mean, which is partial first, and by key."""
+    known = returns.where(F.col(x).isNotNull()).select(key, order, x)
+    market = known.groupBy(order).agg(F.avg(x).alias("market"))
+    joined = known.join(market, order)
+    made = {}
+    for n in windows:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)
+        full = F.count("*").over(w) == n
+        made[f"alpha_{n}"] = F.when(full, F.regr_intercept(x, "market").over(w))
+        made[f"beta_{n}"] = F.when(full, F.regr_slope(x, "market").over(w))
+    return joined.select(key, order, *[c.alias(n) for n, c in made.items()])

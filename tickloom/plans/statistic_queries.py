@@ -219,3 +219,36 @@ def continuous_entropy(spark, sf_dir):
 @query()
 def dist_js(spark, sf_dir):
     return st.js_divergence(returns(spark, sf_dir), size=8)
+
+
+MARKET = f"{RET}, k AS (SELECT ticker, date, ret, avg(ret) OVER (PARTITION BY date) AS market FROM r WHERE ret IS NOT NULL)"
+
+
+@query(
+    f"{MARKET} SELECT ticker, CAST(date AS VARCHAR) AS date, "
+    + ", ".join(
+        f"{_r(f'CASE WHEN count(*) OVER w{n} = {n} THEN avg(ret) OVER w{n} - avg(market) OVER w{n} * covar_pop(ret, market) OVER w{n} / var_pop(market) OVER w{n} END')} AS alpha_{n}, "
+        f"{_r(f'CASE WHEN count(*) OVER w{n} = {n} THEN covar_pop(ret, market) OVER w{n} / var_pop(market) OVER w{n} END')} AS beta_{n}"
+        for n in (10, 20, 60)
+    )
+    + " FROM k WINDOW "
+    + ", ".join(f"w{n} AS (PARTITION BY ticker ORDER BY date ROWS {n - 1} PRECEDING)" for n in (10, 20, 60))
+)
+def trend_alpha_mom(spark, sf_dir):
+    return st.alpha_momentum(returns(spark, sf_dir))
+
+
+@query(f"""{MARKET}, b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS total,
+    count(*) OVER w AS n, sum(market) OVER w AS sx, sum(market * market) OVER w AS sxx, sum(ret) OVER w AS sy, sum(market * ret) OVER w AS sxy
+    FROM k WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  e AS (SELECT *, CASE WHEN n >= 2 THEN (sy - sx * (n * sxy - sx * sy) / (n * sxx - sx * sx)) / n + market * (n * sxy - sx * sy) / (n * sxx - sx * sx)
+      WHEN n = 1 THEN sy * (1 + sx * market) / (1 + sx * sx) END AS expected,
+    (sxx + 1e-5 - 2 * sx * market + (n + 1e-5) * market * market) / ((n + 1e-5) * (sxx + 1e-5) - sx * sx) AS spread FROM b),
+  w AS (SELECT ticker, date, i, total, CASE WHEN i = 0 THEN 0 ELSE (ret - expected) / sqrt(1 + spread) END AS residual FROM e)
+  SELECT ticker, CAST(date AS VARCHAR) AS date, {_r('residual')} AS residual,
+    {_r('sum(residual) OVER (PARTITION BY ticker ORDER BY date) / stddev_pop(residual) OVER (PARTITION BY ticker)')} AS cusum,
+    {_r('sqrt(total) * (1 + 2 * i / total) * 1.959963984540054')} AS critical FROM w""")
+def bde_recursive_residuals(spark, sf_dir):
+    r = returns(spark, sf_dir).where("ret IS NOT NULL").select("ticker", "date", "ret")
+    known = r.join(r.groupBy("date").agg(F.avg("ret").alias("market")), "date")
+    return breaks.recursive_residuals(known, "ret", ["market"])

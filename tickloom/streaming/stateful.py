@@ -1,4 +1,4 @@
-"""Time bars, CUSUM events and threshold bars over a stream of ticks.
+"""Time bars, CUSUM events, threshold bars and z-score signals over a stream of ticks.
 
 Each takes and returns a streaming DataFrame (symbol, ts, price, volume).
 Time bars are a watermarked window in append mode: a bar is emitted once it is
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.breaks import DynamicZScore
+
 
 def time_bars(ticks: DataFrame, width: str, late: str = "0 seconds") -> DataFrame:
     order = F.struct("ts", "seq")
@@ -65,3 +67,18 @@ def threshold_bars(ticks: DataFrame, threshold: float) -> DataFrame:
 
     out = "symbol string, bar_id long, date_time timestamp, open double, high double, low double, close double, volume double, cum_ticks long"
     return ticks.groupBy("symbol").applyInPandasWithState(step, out, "bar long, o double, h double, l double, v double, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def dynamic_zscore(ticks: DataFrame, lag: int = 30, threshold: float = 3.0, influence: float = 0.5) -> DataFrame:
+    """symbol, ts, seq, signal of every tick; state: the ring of the last filtered prices, their mean and deviation, the count.
+
+    Ticks of a symbol are taken in the order of (ts, seq) within a micro-batch, and micro-batches as they come."""
+
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ring, mean, dev, n = state.get if state.exists else ([], 0.0, 0.0, 0)
+        held = DynamicZScore(lag, threshold, influence, ring, mean, dev, n, x="price")
+        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
+        yield held.feed(rows[["symbol", "ts", "seq", "price"]])
+        state.update(([float(v) for v in held.ring], held.mean, held.dev, held.n))
+
+    return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, seq long, signal int", "ring array<double>, mean double, dev double, n long", "append", GroupStateTimeout.NoTimeout)
