@@ -73,7 +73,7 @@ SECRETS = {
  'define("DB_PWD", "%s");'%K: [K], "<dbPwd>%s</dbPwd>"%K: [K], '<property name="db.pwd" value="%s"/>'%K: [K], '<entry key="pwd">%s</entry>'%K: [K],
  'A = "%s"\nA = "harmless words"\nauth = A'%K: [K], '# pwd = "%s"\nx = 1'%K: [K], '// x = "%s"\nauth = x'%K: [], 'note: "say x = \'%s\'"'%K: [],
  "don't say auth: it's fine, isn't it": [], 'p = f"{X}"; X = "%s"\nauth = p'%K: [K], 'config["pwd"] = "%s"'%K: [K], "export DB_PWD=%s"%K: [K], "DB_PWD=ab$c-d9fK2": ["ab$c-d9fK2"] , '{"privateKey": "MIIEvQIBADANBg"}': ["MIIEvQIBADANBg"],
- 'k = "9fK2m" +\n "Q8zL1p"\nauth = k': ["9fK2m","Q8zL1p"], 'pwd = os.getenv("HOME_DIRX1")': ["HOME_DIRX1"], "the pass: over hills we went": [], 'auth = get_value(x)': [],
+ 'k = "9fK2m" +\n "Q8zL1p"\nauth = k': ["9fK2m","Q8zL1p"], 'pwd = os.getenv("HOME_DIRX1")': [], "the pass: over hills we went": [], 'auth = get_value(x)': [],
  '/* x */ clientAuth := `%s`'%K: [K], "pwd: '%s' # c"%K: [K], "[s]\npwd = %s\n; auth=zzz\n"%K: [K], 'url = "http://x"': [],
 }
 

@@ -12,7 +12,8 @@ and value attributes; a YAML key with the items of its list or its block.
 Names inside strings (``${NAME}``, ``{NAME}`` in f-strings, ``#{NAME}``,
 ``{{ NAME }}``) are put in like any other.  Text of comments is lexed by itself,
 as far as it makes pairs: a secret that is commented out is still one, but
-defines nothing.  A name that is assigned several times keeps all its
+defines nothing.  A string that only looks a secret up (in the environment, a
+vault, settings) names one and holds none; its fallback is a value.  A name that is assigned several times keeps all its
 definitions: each is judged by the names that it may reach, and a use takes
 both the nearest definition before it and the first.  A text is scanned by
 itself, so Spark spreads rows over tasks and nothing is shuffled; Python sees
@@ -54,6 +55,8 @@ SENSITIVE = {
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|<.*>|\$\{?.*\}?|%.*%|\{\{.*\}\}|changeme|example|placeholder|your[-_ ].*|none|null|true|false|undefined|redacted|todo)$")
 LEAST_SCORE = 4.0
 LEAST_LITERAL = 8
+#: Characters kept of both ends of a value of many pieces, to tell placeholders.
+KEPT = 256
 _STRING = r"""(?:(?<![A-Za-z0-9_])[A-Za-z]{0,2}(?:\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3})|(?<![A-Za-z0-9_])[A-Za-z]{0,2}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|`[^`\n]*`)"""
 _TOKEN = re.compile(
     rf"""(?P<comment>/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|(?:(?<=[\s;{{}}])|(?<![^\n]))(?://|\#(?![{{])|--\s|;(?=[^\n]*\S))[^\n]*)
@@ -67,12 +70,16 @@ _TOKEN = re.compile(
     re.X | re.S,
 )
 _INSIDE = re.compile(r"\$\{\s*([A-Za-z_][\w.]*)\s*(?::-[^}]*)?\}|\#\{\s*([A-Za-z_][\w.]*)\s*\}|\{\{\s*\.?([A-Za-z_][\w.]*)\s*\}\}|\$([A-Za-z_]\w*)|\{([A-Za-z_][\w.]*)(?:![rsa])?\}")
-#: A YAML key with a block or a list below it, indented more (a list may stand as far left as its key).
-_YAML = re.compile(r"(?m)^([ ]*)(?:-[ ]+)?[\"']?([A-Za-z_][\w.-]*)[\"']?[ ]*:[ ]*([|>][+-]?)?[ ]*\n((?:(?:\1[ ]+|\1-)[^\n]*(?:\n|\Z))+)")
-_ITEM = re.compile(r"""(?m)^[ ]*-[ ]+["']?([^\s"'#:][^\s"'#]*)["']?[ ]*$""")
+#: A YAML key that a block or a list may follow, an item of a list, and a line.
+_KEY_LINE = re.compile(r"""([ ]*(?:-[ ]+)?)["']?([A-Za-z_][\w.-]*)["']?[ ]*:[ ]*([|>][+-]?)?[ ]*$""")
+_ITEM = re.compile(r"""[ ]*-[ ]+["']?([^\s"'#:][^\s"'#]*)["']?[ ]*$""")
+_LINE = re.compile(r"[^\n]+")
 _ELEMENT = re.compile(r"<([A-Za-z][\w:.-]*)((?:\s[^<>]*)?)>([^<>]*)</\1\s*>")
 _KEY_ATTRIBUTE = re.compile(r"""\s(?:name|key|id)\s*=\s*["']([^"'<>]+)["']""")
-_NAMED_VALUE = re.compile(r"""<[A-Za-z][^<>]*?\s(?:name|key)\s*=\s*["']([^"'<>]+)["'][^<>]*?\svalue\s*=\s*["']([^"'<>]*)["']""")
+_TAG = re.compile(r"<[A-Za-z][^<>]*")
+_NAMED_VALUE = re.compile(r"""\s(name|key|value)\s*=\s*["']([^"'<>]*)["']""")
+#: Calls whose string names a secret that lies elsewhere: environments, vaults, settings.
+_LOOKUP = re.compile(r"(?i)(?:getenv|environ|env|secretsmanager|vault|keyring|config|settings|properties)(?:[._](?:get|read|lookup|fetch|require|var|get_?(?:secret|password|property|value|string|env))(?:_?(?:value|string))?)?$|(?:^|[._])(?:get|read|fetch|lookup|load)_?(?:env|secret|password|credential|parameter|property|config|setting|token|key)s?(?:_?value)?$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -105,9 +112,12 @@ def literal_score(value: str) -> float:
     """How much a literal looks like a secret: varied characters of several classes, no spaces."""
     if len(value) < LEAST_LITERAL or " " in value or PLACEHOLDER.match(value):
         return -9.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return _varied(Counter(value), len(value))
+
+
+def _varied(count: Counter, n: int) -> float:
+    entropy = -sum(c / n * math.log2(c / n) for c in count.values())
+    classes = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "." for c in count})
     return min(entropy, 4.0) / 2 + (0.5 if classes >= 2 else -0.5) + (0.5 if classes >= 3 else 0.0)
 
 
@@ -146,6 +156,12 @@ def _term(text: str, token: tuple[str, int, int]) -> list[Term]:
     return [("literal", text[a:b], a, b)] if kind == "bare" else []
 
 
+def _fallback(text: str, tokens: list[tuple[str, int, int]], at: int) -> list[Term]:
+    """The second argument of a lookup whose first is a string, if that is one, too."""
+    kinds = [t[0] for t in tokens[at : at + 4]]
+    return _quoted(text, *tokens[at + 3][1:]) if kinds == ["open", "string", "comma", "string"] else []
+
+
 def _expression(text: str, tokens: list[tuple[str, int, int]], at: int) -> list[Term]:
     """Strings, bare values and names from a token on, joined by + or . or side by side as strings."""
     terms: list[Term] = []
@@ -156,6 +172,9 @@ def _expression(text: str, tokens: list[tuple[str, int, int]], at: int) -> list[
             # A word that others follow is no name of a constant but part of a bare value, or prose.
             if follows in ("name", "bare", "sign"):
                 return terms or [("literal", text[a:b], a, b)]
+            if follows == "open" and text[tokens[at + 1][1]] in "([" and _LOOKUP.search(text[a:b]):
+                # The string names a secret that lies elsewhere; what it falls back to is a value.
+                return terms + _fallback(text, tokens, at + 1)
             if follows == "open" and text[tokens[at + 1][1]] == "(" and at + 2 < len(tokens) and tokens[at + 2][0] == "string":
                 return terms + _quoted(text, *tokens[at + 2][1:])
             terms += _term(text, tokens[at])
@@ -223,22 +242,95 @@ def assignments(text: str) -> list[tuple[str, list[Term]]]:
             if value and not re.search(r"\s", value):
                 at = m.start(3) + m.group(3).index(value)
                 found.append((m.start(), key.group(1) if key else m.group(1), [("literal", value, at, at + len(value))]))
-        found += [(m.start(), m.group(1), [("literal", m.group(2), m.start(2), m.end(2))]) for m in _NAMED_VALUE.finditer(text) if m.group(2)]
+        for tag in _TAG.finditer(text):
+            name = ""
+            for m in _NAMED_VALUE.finditer(text, tag.start(), tag.end()):
+                if m.group(1) != "value":
+                    name = name or m.group(2)
+                elif name:
+                    if m.group(2):
+                        found.append((tag.start(), name, [("literal", m.group(2), m.start(2), m.end(2))]))
+                    break
     if ":" in text:
-        at = 0
-        while m := _YAML.search(text, at):
-            # Inside a list or block other keys may follow.
-            at = m.start(4)
-            if m.group(3):
-                value = m.group(4).strip()
-                a = m.start(4) + m.group(4).index(value) if value else m.start(4)
-                found.append((m.start(), m.group(2), [("literal", re.sub(r"\s+", "", value), a, a + len(value))]))
-            else:
-                found += [(m.start(), m.group(2), [("literal", x.group(1), x.start(1), x.end(1))]) for x in _ITEM.finditer(text, m.start(4), m.end(4))]
+        found += _yaml_pairs(text)
     found.sort(key=lambda f: f[0])
     return [(name, terms) for _, name, terms in found]
 
 
+def _yaml_pairs(text: str) -> list[tuple[int, str, list[Term]]]:
+    """(place, key, terms) of the items and block values below each YAML key.
+
+    One pass with the open keys by their columns: a line belongs to the keys
+    left of it, a list also to a key in its own column. Keys inside a block or a
+    list are keys, too. What nests deeper is indented more, so the open keys are
+    at most as many as the root of the text's length.
+    """
+    found: list[tuple[int, str, list[Term]]] = []
+    keys: list[tuple[int, int, str, int | None]] = []  # column, place, name, where its block starts
+    end = 0
+
+    def close(key: tuple[int, int, str, int | None]) -> None:
+        _, place, name, start = key
+        if start is not None and start < end:
+            value = text[start:end].strip()
+            if value:
+                a = text.index(value[0], start)
+                found.append((place, name, [("literal", re.sub(r"\s+", "", value), a, a + len(value))]))
+
+    for line in _LINE.finditer(text):
+        whole = line.group()
+        shown = whole.lstrip(" ")
+        if not shown.strip():
+            continue
+        column, listed = len(whole) - len(shown), shown[0] == "-"
+        while keys and not (column > keys[-1][0] or (listed and column == keys[-1][0])):
+            close(keys.pop())
+        end = line.end()
+        if listed and keys and (m := _ITEM.match(whole)):
+            item = ("literal", m.group(1), line.start() + m.start(1), line.start() + m.end(1))
+            found += [(place, name, [item]) for _, place, name, start in keys if start is None]
+        if shown[-1] in ": |>+-" and (m := _KEY_LINE.match(whole)):
+            keys.append((len(m.group(1)), line.start(), m.group(2), line.end() if m.group(3) else None))
+    while keys:
+        close(keys.pop())
+    return found
+
+
+class _Value:
+    """What a definition resolves to: literal pieces, those of other definitions put in, and what scoring needs of them.
+
+    Pieces of one definition that stand in another only once are kept as a link
+    to it, so that appending n times takes n small steps."""
+
+    __slots__ = ("count", "head", "own", "parent", "size", "spaced", "tail")
+
+    def __init__(self, own: dict[tuple[int, int], str], parent: _Value | None = None):
+        self.own, self.parent = own, parent
+        text = "".join(own.values())
+        self.count = Counter(text)
+        self.size, self.spaced, self.head, self.tail = len(text), " " in text, text[:KEPT], text[-KEPT:]
+        if parent:
+            self.count.update(parent.count)
+            self.size, self.spaced = self.size + parent.size, self.spaced or parent.spaced
+            self.head, self.tail = (parent.head + self.head)[:KEPT], (parent.tail + self.tail)[-KEPT:]
+
+    def score(self) -> float:
+        """How much the value looks like a secret, as :func:`literal_score` of all pieces together."""
+        if self.size < LEAST_LITERAL or self.spaced or PLACEHOLDER.match(self.head if self.size <= KEPT else self.head + self.tail):
+            return -9.0
+        return _varied(self.count, self.size)
+
+    def pieces(self) -> dict[tuple[int, int], str]:
+        chain, at = [], self
+        while at:
+            chain.append(at.own)
+            at = at.parent
+        found: dict[tuple[int, int], str] = {}
+        for own in reversed(chain):
+            found |= own
+        return found
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name, directly or through other names.
 
@@ -268,31 +360,72 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         """The last definition before a use, or else the first after it."""
         return places[name][max(bisect_left(places[name], at) - 1, 0)]
 
-    spans = set()
+    spans: set[tuple[int, int]] = set()
     for choose in (first, nearest):
-        pieces: dict[int, dict[tuple[int, int], str]] = {}
-        for i, (name, terms) in enumerate(held):
+        values: dict[int, _Value] = {}
+        taken: set[int] = set()
+        for i, (name, _) in enumerate(held):
             if not scores[name]:
                 continue
-            # Distinct literal pieces by their place, in the order of the expression.
-            rest, seen, found = [(i, t) for t in reversed(terms)], {i}, {}
-            while rest:
-                at, (kind, value, s, e) = rest.pop()
-                if kind == "name" and value in places:
-                    k = choose(value, at)
-                    if k in pieces:
-                        found |= pieces[k]
-                    elif k not in seen:
-                        seen.add(k)
-                        rest += [(k, t) for t in reversed(held[k][1])]
-                elif value:
-                    found[s, e] = value
-            pieces[i] = found
-            if found and scores[name] + literal_score("".join(found.values())) >= LEAST_SCORE:
-                spans |= found.keys()
+            value = _resolve(i, held, places, choose, values)
+            if value.size and scores[name] + value.score() >= LEAST_SCORE:
+                # A link that was taken once brings nothing new.
+                at = value
+                while at and id(at) not in taken:
+                    taken.add(id(at))
+                    spans.update(at.own)
+                    at = at.parent
     return sorted(spans)
 
 
+def _resolve(i: int, held: list[tuple[str, list[Term]]], places: dict[str, list[int]], choose, values: dict[int, _Value]) -> _Value:
+    """The value of a definition; those it uses are resolved first, each once. A definition that leads back to itself adds nothing."""
+    todo, open_ = [i], set()
+    while todo:
+        at = todo[-1]
+        if at in values:
+            todo.pop()
+            continue
+        used = list(dict.fromkeys(choose(v, at) for kind, v, _, _ in held[at][1] if kind == "name" and v in places))
+        if at not in open_:
+            open_.add(at)
+            missing = [k for k in used if k not in values and k not in open_]
+            if missing:
+                todo += reversed(missing)
+                continue
+        parts = [values[k] for k in used if k in values]
+        circular = any(k not in values for k in used if k != at)
+        if circular:
+            value = _Value(_walk(at, held, places, choose))
+        else:
+            literals = {(s, e): v for kind, v, s, e in held[at][1] if v and not (kind == "name" and v in places)}
+            if len(parts) == 1:
+                value = _Value(literals, parts[0])
+            else:
+                mixed: dict[tuple[int, int], str] = {}
+                for part in parts:
+                    mixed |= part.pieces()
+                value = _Value(mixed | literals)
+        values[at] = value
+        todo.pop()
+    return values[i]
+
+
+def _walk(i: int, held: list[tuple[str, list[Term]]], places: dict[str, list[int]], choose) -> dict[tuple[int, int], str]:
+    """The distinct literal pieces that a definition reaches, where definitions lead back to each other."""
+    rest, seen, found = [(i, t) for t in reversed(held[i][1])], {i}, {}
+    while rest:
+        at, (kind, value, s, e) = rest.pop()
+        if kind == "name" and value in places:
+            k = choose(value, at)
+            if k not in seen:
+                seen.add(k)
+                rest += [(k, t) for t in reversed(held[k][1])]
+        elif value:
+            found[s, e] = value
+    return found
+
+
 def all_spans(text: str | None) -> list[tuple[str, int, int, int, int]]:
     """(kind, start, end, secret_start, secret_end), by start, then kind."""
     if not text:
