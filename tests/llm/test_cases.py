@@ -29,6 +29,27 @@ PAGES = {
 }
 
 
+PAGES |= {
+ # A head, menu or header that nobody ended.
+ f"<html><head><title>t</title><body><article>{LONG}</article>": TEXT, f"<head><title>t</title><meta charset=x>{LONG}": TEXT, "<head><title>t</title>Plain <b>text</b>": "Plain text",
+ f"<body><nav><ul><li><a href=x>Menu</a></ul><article>{LONG}</article><footer>c</footer>": TEXT, f"<body><p>Skip</p><header>Site<div class=post>{LONG}</div>": TEXT,
+ f"<body><nav><a href=x>Menu</a><main>{LONG}</main>": TEXT,
+ # The page in a form or field set; a form beside the article stays out.
+ f'<body><form id="aspnetForm"><div class="page">{LONG}<label>Mail</label></div></form>': TEXT, f"<body><fieldset>{LONG}</fieldset>": TEXT,
+ f"<body><form><nav><a href=x>Menu</a></nav><article>{LONG}<form><p>Mail us</p></form></article><footer>c</footer></form>": TEXT,
+ "<body><article><p>Short.</p></article><form><p>A much longer form than the article is, with a long word or two about what happens to your data.</p></form>": "Short.",
+ # Only noscript has text; else it is left out.
+ f"<body><noscript>{LONG}</noscript><script>x()</script>": TEXT, f"<body><noscript>Turn scripts on</noscript>{LONG}": TEXT,
+ # Names inside an article.
+ f'<article>{LONG}<h2 id="search">Search</h2><p>x</p><h2 id="comments">Comments</h2><h3 id="navigation">Navigation</h3><p>y</p></article>': TEXT + "\n\nSearch\n\nx\n\nComments\n\nNavigation\n\ny",
+ f'<article>{LONG}<section class="social"><p>How people lived with each other.</p></section></article>': TEXT + "\n\nHow people lived with each other.",
+ f'<article>{LONG}<p class="alert">Never mix these two substances.</p></article>': TEXT + "\n\nNever mix these two substances.",
+ f'<article>{LONG}<p>a <b class="ad">bold</b> <span id="footer">word</span> <span class="ad">Buy</span></p></article>': TEXT + "\n\na bold word",
+ f'<article>{LONG}<div class="notice">We sell things.</div><p class="ad">Buy these two today.</p></article>': TEXT,
+ "<body><nav><a href=x>Menu</a></nav>": "Menu",
+}
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_html_case(page):
     assert html_text.main_text(page, html_text.vote(page)) == PAGES[page]
@@ -49,11 +70,13 @@ def test_html_generated_pages(spark):
         parts, blocks = [], []
         for _ in range(rng.randint(3, 8)):
             tag, text = rng.choice(["p", "h2", "li", "blockquote", "td"]), words(rng.randint(8, 30))
-            parts.append({"li": f"<ul><li>{text}</li></ul>", "td": f"<table><tr><td>{text}</td></tr></table>"}.get(tag, f"<{tag}>{text}</{tag}>"))
+            given = rng.choice(["", "", " id='search'", " class='x1'"]) if tag == "h2" else ""
+            parts.append({"li": f"<ul><li>{text}</li></ul>", "td": f"<table><tr><td>{text}</td></tr></table>"}.get(tag, f"<{tag}{given}>{text}</{tag}>"))
             blocks.append(shown(text))
             parts.append(rng.choice(["", '<div class="ad-box">Buy</div>', "<!-- x -->", "<script>if (a<b) {}</script>", '<p class="share">Share</p>', "<form><p>Mail</p></form>", '<span hidden>no</span>']))
         wrap = rng.choice(['article class="post tag-ads"', 'div class="content with-sidebar"', 'main id="main"'])
-        page = f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div><{wrap}>{''.join(parts)}</{wrap.split()[0]}>"
+        head, form = rng.choice(["</head>", ""]), rng.choice(["", "", "<form>"])
+        page = f"<html><head><title>t</title>{head}<body>{form}<nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div><{wrap}>{''.join(parts)}</{wrap.split()[0]}>"
         page += f"<aside>{words(5)}</aside><div id='comments'><p>{words(9)}</p></div><footer>{words(5)}</footer></body></html>"
         rows.append((i, f"https://h{i % 3}.net/{i}", page, "x"))
         want[i] = "\n\n".join(blocks)
