@@ -77,7 +77,21 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return stored.unionByName(new.join(stored.select(*keys).distinct(), keys, "left_anti"))
 
 
-def purge(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Train events that overlap no test interval; test has a row per fold, so its size is that of the folds."""
-    overlap = (train["t0"] <= test["t1"]) & (test["t0"] <= train["t1"])
-    return train.join(F.broadcast(test), overlap, "left_anti")
+def purge(train: DataFrame, test: DataFrame, by: str | None = "symbol") -> DataFrame:
+    """Train events (t0, t1) that overlap no test interval, of their own symbol if there is one.
+
+    A sweep: the test intervals that began by a train row's end, less those that
+    ended before its start, are those that overlap it; two unions and prefix
+    sums, and no join of intervals. Tables without symbols are one sweep, of one
+    task. Rows without t0 or t1 overlap nothing."""
+    keys = [by] if by and by in train.columns and by in test.columns else []
+    columns = train.columns
+    rows = train.withColumn("__row", F.lit(True))
+    for name, at, mark, first in (("__began", "t1", "t0", 0), ("__ended", "t0", "t1", 2)):
+        # Marks at a row's own time count if they began, not if they ended.
+        marks = test.where(F.col("t0").isNotNull() & F.col("t1").isNotNull()).select(*keys, F.col(mark).alias("__t"), F.lit(first).alias("__k"))
+        both = rows.withColumn("__t", F.col(at)).withColumn("__k", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+        w = Window.partitionBy(*keys).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, 0)
+        rows = both.withColumn(name, F.sum(F.when(F.col("__row").isNull(), 1).otherwise(0)).over(w)).where("__row").drop("__t", "__k")
+    known = F.col("t0").isNotNull() & F.col("t1").isNotNull()
+    return rows.where(~known | (F.col("__began") <= F.col("__ended"))).select(*columns)

@@ -75,6 +75,14 @@ def enough_rows(df: DataFrame, least: int = 3, key: str = "ticker") -> DataFrame
     return df.join(df.groupBy(key).count().where(F.col("count") > least).select(key), key, "left_semi")
 
 
+def drop_zero_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The table without those of the columns that are 0, false or NULL in all rows; truth values become 1 and 0. One aggregate decides."""
+    kinds = dict(df.dtypes)
+    as_number = {c: F.col(c).cast("int") if kinds[c] == "boolean" else F.col(c) for c in columns}
+    top = df.agg(*[F.max(F.abs(as_number[c])).alias(c) for c in columns]).first()
+    return df.withColumns({c: as_number[c] for c in columns if kinds[c] == "boolean"}).drop(*[c for c in columns if not top[c]])
+
+
 def drop_constant(df: DataFrame, x: str, key: str = "ticker") -> DataFrame:
     """Rows of the keys whose x takes more than one value."""
     varied = df.groupBy(key).agg(F.min(x).alias("a"), F.max(x).alias("b")).where("a < b").select(key)

@@ -44,7 +44,7 @@ def momentum(rows: int) -> Column:
 def best_asset(prices: DataFrame, rows: int) -> DataFrame:
     """The ticker with the largest momentum of each date (ties: the smallest)."""
     known = prices.select("ticker", "date", momentum(rows).alias("momentum")).where("momentum IS NOT NULL")
-    return known.groupBy("date").agg(F.max_by(F.struct("ticker", "momentum"), F.struct("momentum", -F.col("ticker"))).alias("b")).select("date", "b.*")
+    return known.groupBy("date").agg(F.min_by(F.struct("ticker", "momentum"), F.struct(-F.col("momentum"), F.col("ticker"))).alias("b")).select("date", "b.*")
 
 
 def dual_momentum(prices: DataFrame, rows: int, riskless: float = 0.0) -> DataFrame:

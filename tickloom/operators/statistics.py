@@ -109,6 +109,16 @@ def bet_gaussian(p: Column, classes: int = 2, side: Column | None = None) -> Col
     return size if side is None else size * side
 
 
+def bet_mixture(c: Column, means: tuple[float, float], deviations: tuple[float, float], share: float) -> Column:
+    """Bet size of c under a mixture of two normal laws: its distance in probability from 0, over what lies on that side."""
+
+    def law(x: Column) -> Column:
+        return share * norm_cdf((x - means[0]) / deviations[0]) + (1 - share) * norm_cdf((x - means[1]) / deviations[1])
+
+    zero = law(F.lit(0.0))
+    return F.when(c >= 0, (law(c) - zero) / (1 - zero)).otherwise((law(c) - zero) / zero)
+
+
 def bet_sigmoid(divergence: Column, w: Column) -> Column:
     return divergence / F.sqrt(w + divergence * divergence)
 
@@ -424,3 +434,39 @@ def alpha_momentum(returns: DataFrame, windows: tuple[int, ...] = (10, 20, 60),
         made[f"alpha_{n}"] = F.when(full, F.regr_intercept(x, "market").over(w))
         made[f"beta_{n}"] = F.when(full, F.regr_slope(x, "market").over(w))
     return joined.select(key, order, *[c.alias(n) for n, c in made.items()])
+
+
+def classification_scores(scored: DataFrame, keys: list[str], threshold: float = 0.5, gain: float = 100.0, loss: float = -100.0) -> DataFrame:
+    """Per group of rows (label 0 or 1, p its probability of 1): accuracy weighted by confidence, profit by a fixed gain and loss, and the area under the ROC curve.
+
+    The area is that of ranks, ties by half; rows are counted by score first."""
+    hit = (F.col("p") > threshold) == (F.col("label") == 1)
+    sure = F.greatest(F.col("p"), 1 - F.col("p")) - 0.5
+    plain = scored.groupBy(*keys).agg(
+        F.coalesce(F.try_divide(F.sum(F.when(hit, sure).otherwise(0.0)), F.sum(sure)), F.lit(0.0)).alias("weighted_accuracy"),
+        F.sum(F.when(hit, gain).otherwise(loss)).alias("profit"),
+    )
+    counts = scored.groupBy(*keys, "p").agg(F.sum(F.col("label").cast("double")).alias("up"), F.sum(1.0 - F.col("label")).alias("down"))
+    below = F.coalesce(F.sum("down").over(Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    area = counts.withColumn("below", below).groupBy(*keys).agg(F.try_divide(F.sum(F.col("up") * (F.col("below") + F.col("down") / 2)), F.sum("up") * F.sum("down")).alias("auc"))
+    return plain.join(area, keys)
+
+
+def month_concentration(events: DataFrame, on: str = "t0", key: str = "symbol") -> DataFrame:
+    """Normalised concentration of a key's events over the months that have any; NULL for two months or fewer."""
+    counts = events.groupBy(key, F.date_trunc("month", on).alias("month")).agg(F.count("*").cast("double").alias("n"))
+    share = F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))
+    months = F.count("*")
+    return counts.groupBy(key).agg(months.alias("months"), F.when(months > 2, (share - 1 / months) / (1 - 1 / months)).alias("concentration"))
+
+
+def top_features(importances: DataFrame, n: int, by: str = "method") -> DataFrame:
+    """Features among the n most or n least important ones of any method, once each, with the methods that name them."""
+    high, low = (F.row_number().over(Window.partitionBy(by).orderBy(o, "feature")) for o in (F.col("importance").desc(), F.col("importance")))
+    chosen = importances.withColumn("__h", high).withColumn("__l", low).where((F.col("__h") <= n) | (F.col("__l") <= n))
+    return chosen.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_set(by)), ",").alias("methods"))
+
+
+def ranked(results: DataFrame, by: str, key: str = "ticker") -> DataFrame:
+    """Results with their place, best first, ties by key; the window has a row per result."""
+    return results.withColumn("place", F.row_number().over(Window.orderBy(F.col(by).desc(), key)))
