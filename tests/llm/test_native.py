@@ -31,7 +31,10 @@ def brute(text, items, size=13):
     return len(w), len(hit), sorted(found)
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [None, -1])
+def test_decontamination_equals_brute_force(spark, monkeypatch, most):
+    if most is not None:  # as if the benchmark were too large to broadcast
+        monkeypatch.setattr(decontamination, "MAX_BROADCAST_BYTES", most)
     rng = random.Random(5)
     vocabulary = ["a", "b", "É", "c9", "straße"]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 2, 3, 12, 13, 14, 30])))) for i in range(12)] + [(99, None), (3, "a b"), (10, "Zz, zz. q")]
@@ -50,7 +53,19 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
-def test_decontamination_empty_tables_and_removal(spark):
+def test_large_benchmarks_ship_no_words_of_a_position(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_BYTES", -1)
+    docs, items = spark.createDataFrame([(1, "one two three", "k", 0)], DOCS), spark.createDataFrame([(1, "two")], "item_id long, text string")
+    plan = decontamination.find_hits(docs, items)._jdf.queryExecution().executedPlan().toString()
+    # What the inline of positions hands on has no array of words beside it.
+    made = [line for line in plan.split("\n") if "Generate inline" in line]
+    assert made and all("w#" not in line.split("), [")[1].split("]")[0] for line in made)
+
+
+@pytest.mark.parametrize("most", [None, -1])
+def test_decontamination_empty_tables_and_removal(spark, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(decontamination, "MAX_BROADCAST_BYTES", most)
     docs, items = spark.createDataFrame([(1, "one two three", "k", 0), (2, None, None, None)], DOCS), spark.createDataFrame([(1, "two")], "item_id long, text string")
     assert decontamination.report(docs.limit(0), items).count() == 0
     assert {r.contaminated for r in decontamination.report(docs, items.limit(0)).collect()} == {False}
@@ -186,11 +201,11 @@ def test_cascade_is_exact_in_one_block_and_in_many(spark):
     # Parents of hosts, a host itself, repeated, null, upper case and foreign ones.
     listed = spark.createDataFrame([(f"H{i}.net",) for i in range(0, 5000, 2)] + [("a.h7.net",), ("a.h7.net",), (None,), ("elsewhere.org",), ("9.net",)], "host string")
     for most in (1 << 20, 300):
-        cascades = url_filters.build_cascades(hosts, listed, Workspace(spark, "t"), max_bytes=most)
-        assert (len(cascades) > 1) == (most == 300)
-        judged = {r.host: r.listed for r in url_filters.apply_cascades(hosts, cascades).collect()}
+        _, blocks = url_filters.keyed_universe(hosts, listed, Workspace(spark, "t"), max_bytes=most)
+        assert (blocks > 1) == (most == 300)
+        judged = {r.host: r.listed for r in url_filters.judged(hosts, listed, Workspace(spark, "t"), max_bytes=most).collect()}
         assert judged == {f"a.h{i}.net": i % 2 == 0 or i == 7 for i in range(5000)}
-    assert {r.listed for r in url_filters.apply_cascades(hosts, url_filters.build_cascades(hosts, listed.limit(0), Workspace(spark, "t"))).collect()} == {False}
+    assert {r.listed for r in url_filters.judged(hosts, listed.limit(0), Workspace(spark, "t")).collect()} == {False}
 
 
 def test_url_filters_equal_rows_and_rules_of_equal_length(spark):

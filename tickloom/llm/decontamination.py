@@ -8,8 +8,10 @@ and a hit of that hash is verified against all words of the window inside the
 join condition, before a row leaves it.  All of it is built-in expressions.
 
 Size of the broadcast: it grows with the benchmark only, never with the
-corpus, and its bytes are counted first; above ``MAX_BROADCAST_BYTES`` the same join
-runs shuffled.
+corpus, and its bytes are counted first. Above ``MAX_BROADCAST_BYTES`` positions
+and windows meet in a shuffled join by length and hash of the whole window; a
+position is then a row of five numbers, no words, and only hits, gathered by
+document, return to the words to be verified.
 
 Defined results for odd input: a null or empty text has no words, hence no
 hits; a null benchmark text gives no window; equal windows of several items
@@ -68,7 +70,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     # 32 bytes beside the letters of each word and item, for the places that rows and hash tables take.
     weight = F.octet_length(F.concat_ws("", "w_words", "items")) + 32 * (F.size("w_words") + F.size("items") + 2)
     sizes = wins.agg(F.sum(weight).alias("bytes"), F.collect_set("w_q").alias("q")).first()
-    small = (sizes["bytes"] or 0) <= MAX_BROADCAST_BYTES
+    if (sizes["bytes"] or 0) > MAX_BROADCAST_BYTES:
+        return _found_shuffled(docs, wins)
     split = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("w"))
     n = F.size("w")
 
@@ -83,7 +86,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("long").alias("seed")))
     rows = split.select("doc_id", "text_key", "w", F.inline(F.concat(itself, *[seeds(q) for q in sorted(sizes["q"])])))
     same = (F.col("seed") == F.col("w_seed")) & (F.slice("w", F.col("at") + 1, F.col("w_len")) == F.col("w_words"))
-    found = rows.join(F.broadcast(wins) if small else wins, same, "left").where((F.col("at") == -1) | F.col("w_len").isNotNull())
+    found = rows.join(F.broadcast(wins), same, "left").where((F.col("at") == -1) | F.col("w_len").isNotNull())
     per_doc = (
         found.select(
             "doc_id", "text_key", F.when(F.col("at") == -1, n).alias("n_words"), "items",
@@ -97,6 +100,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
     )
+    return _counted(per_doc)
+
+
+def _counted(per_doc: DataFrame) -> DataFrame:
     # Hit words: the length of the union of the sorted ranges.
     union = F.aggregate(
         "hits",
@@ -109,6 +116,34 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     return per_doc.select("doc_id", "text_key", "copies", "n_words", union["n"].alias("n_hit"), "items", "hits")
 
 
+def _found_shuffled(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """The same for a benchmark that is too large to broadcast."""
+    keyed = wins.select("w_words", "w_len", "items", F.xxhash64("w_len", "w_words").alias("w_hash"))
+    lengths = sorted(r["w_len"] for r in wins.select("w_len").distinct().collect())  # no more than words in a window
+    own = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("w"))
+    n = F.size("w")
+
+    def windows(size: int) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))
+        made = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("w_len"), F.xxhash64(F.lit(size), F.slice("w", i + 1, size)).alias("w_hash")))
+        return F.when(n >= size, made).otherwise(F.array())
+
+    # Of rows that repeat id and text one is searched.
+    once = own.dropDuplicates(["doc_id", "text_key"]) if lengths else own.limit(0)
+    placed = once.select("doc_id", "text_key", F.inline(F.concat(*[windows(size) for size in lengths] or [F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("w_len"), F.lit(0).cast("long").alias("w_hash")))])))
+    met = placed.join(keyed, ["w_len", "w_hash"]).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "w_len", "w_words", "items")).alias("met"))
+    met = met.select(F.struct("doc_id").alias("__id"), F.col("text_key").alias("__key"), "met")
+    sizes = own.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.first("w").alias("w")).withColumn("__id", F.struct("doc_id")).withColumn("__key", F.col("text_key"))
+    back = sizes.join(met, ["__id", "__key"], "left")
+    sure = F.filter(F.coalesce("met", F.array().cast(met.schema["met"].dataType)), lambda m: F.slice("w", m["at"] + 1, m["w_len"]) == m["w_words"])
+    per_doc = back.withColumn("met", sure).select(
+        "doc_id", "text_key", "copies", n.alias("n_words"),
+        F.array_sort(F.array_distinct(F.transform("met", lambda m: F.struct(m["at"].alias("start"), (m["at"] + m["w_len"]).alias("end"))))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("met", lambda m: m["items"])))).alias("items"),
+    )
+    return _counted(per_doc)
+
+
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """A document is contaminated if a twentieth of its words or more are hit."""
     return (n_hit > 0) & (20 * n_hit.cast("long") >= n_words)

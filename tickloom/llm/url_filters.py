@@ -173,6 +173,7 @@ def build_cascade(universe: DataFrame) -> Cascade:
     """universe: a, b (longs, the key), listed (boolean), every key once."""
     sc = universe.sparkSession.sparkContext
     levels: list[Level] = []
+    held = None  # the levels so far, while the next one is built
     left = universe.where("listed")
     while n := left.count():
         if len(levels) >= MAX_LEVELS:
@@ -180,7 +181,12 @@ def build_cascade(universe: DataFrame) -> Cascade:
         levels.append(_build_level(left, len(levels), n))
         # The next level holds what this one lets through by mistake: keys of the other kind.
         other = universe.where(F.col("listed") == F.lit(len(levels) % 2 == 0))
-        left = other.where(_passes(sc.broadcast(list(levels)))("a", "b"))
+        if held is not None:
+            held.unpersist()
+        held = sc.broadcast(list(levels))
+        left = other.where(_passes(held)("a", "b"))
+    if held is not None:
+        held.unpersist()
     return Cascade(levels)
 
 
@@ -195,8 +201,8 @@ def _key(host: Column) -> list[Column]:
     return [F.xxhash64(host), F.xxhash64(F.lit("second"), host)]
 
 
-def build_cascades(hosts: DataFrame, blocklist: DataFrame, place: Workspace, max_bytes: int = MAX_BYTES) -> list[Cascade]:
-    """One cascade per block of keys; one block while the bound allows.
+def keyed_universe(hosts: DataFrame, blocklist: DataFrame, place: Workspace, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, int]:
+    """The written table of the corpus's keys (a, b, listed), and in how many blocks its cascades stay below the bound.
 
     hosts, blocklist: column host, repeated or not.
     """
@@ -207,33 +213,51 @@ def build_cascades(hosts: DataFrame, blocklist: DataFrame, place: Workspace, max
     universe = place.write(known, "universe")
     n = universe.where("listed").count()
     # All levels together stay below four times level 0 at this number of bits.
-    blocks = max(1, -(-4 * _bits(n) // 8 // max_bytes))
-    return [build_cascade(universe.where(F.pmod(F.col("a"), F.lit(blocks)) == k)) for k in range(blocks)]
+    return universe, max(1, -(-4 * _bits(n) // 8 // max_bytes))
 
 
-def apply_cascades(pages: DataFrame, cascades: list[Cascade], host: str = "host") -> DataFrame:
-    """Adds ``listed``; each block's cascade is broadcast and judges its own keys."""
-    sc = pages.sparkSession.sparkContext
+def block_cascade(universe: DataFrame, block: int, blocks: int) -> Cascade:
+    return build_cascade(universe.where(F.pmod(F.col("a"), F.lit(blocks)) == block))
+
+
+def apply_cascade(rows: DataFrame, cascade: Cascade, block: int = 0, blocks: int = 1, host: str = "host") -> tuple[DataFrame, object]:
+    """(rows with ``listed``: whether the cascade's block lists one of their keys; the broadcast that they need)."""
+    if not cascade.levels:
+        return rows.withColumn("listed", F.lit(False)), None
+    held = rows.sparkSession.sparkContext.broadcast(cascade)
     keys = F.flatten(F.transform(domains(F.col(host)), lambda d: F.array(*_key(d))))
-    listed = F.lit(False)
-    for k, cascade in enumerate(cascades):
-        if cascade.levels:
-            listed = listed | _answers(sc.broadcast(cascade), k, len(cascades))(F.col("__keys"))
-    return pages.withColumn("__keys", keys).withColumn("listed", listed).drop("__keys")
+    return rows.withColumn("__keys", keys).withColumn("listed", _answers(held, block, blocks)(F.col("__keys"))).drop("__keys"), held
+
+
+def judged(pages: DataFrame, blocklist: DataFrame, place: Workspace, max_bytes: int = MAX_BYTES, host: str = "host") -> DataFrame:
+    """pages with ``listed``. One block judges every page as it is read; several
+    are built, broadcast, asked about the distinct hosts and released one after
+    the other, and the hosts that they list join the pages."""
+    universe, blocks = keyed_universe(pages.select(F.col(host).alias("host")), blocklist, place, max_bytes)
+    if blocks == 1:
+        return apply_cascade(pages, block_cascade(universe, 0, 1), host=host)[0]
+    hosts = place.write(pages.select(F.col(host).alias("__host")).distinct(), "hosts")
+    found = None
+    for k in range(blocks):
+        asked, held = apply_cascade(hosts, block_cascade(universe, k, blocks), k, blocks, "__host")
+        mine = place.write(asked.where("listed").select("__host"), f"listed-{k}")
+        if held is not None:
+            held.unpersist()
+        found = mine if found is None else found.unionByName(mine)
+    listed = found.distinct().withColumn("listed", F.lit(True))
+    return pages.join(listed, F.col(host) == F.col("__host"), "left").withColumn("listed", F.coalesce("listed", F.lit(False))).drop("__host")
 
 
 def blocked_domains(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"{n}.{z}",) for n in BLOCKED_NAMES for z in ZONES], "host string")
 
 
-def filter_urls(pages: DataFrame, blocklist: DataFrame, place: Workspace, rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, blocklist: DataFrame, place: Workspace, rules=RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    cascades = build_cascades(read, blocklist, place)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = apply_cascades(read, cascades)
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
+    return judged(read, blocklist, place, max_bytes).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:
