@@ -85,6 +85,33 @@ def triple_barrier(bars: DataFrame, rows: int, pt: float, sl: float, target: str
     return touched.select("symbol", F.col("ts").alias("t0"), t1.alias("t1"), ret.alias("ret"), F.col(target).alias("trgt"), bin_.alias("bin"))
 
 
+def triple_barrier_days(bars: DataFrame, days: int, pt: float, sl: float, target: str = "trgt", least: float = 0.0, skip: int = 0) -> DataFrame:
+    """symbol, t0, t1, trgt: the first touch of a barrier by the bars whose target exceeds ``least``, but for the first ``skip`` of a symbol.
+
+    The vertical barrier is the first bar ``days`` calendar days or more after
+    t0; near the end of the data, where there is none, only touches count, and
+    events without one are left out. A frame of those days is folded in place.
+    """
+    seconds = days * 86_400
+    numbered = bars.withColumn("__i", F.row_number().over(_w())).withColumn("__s", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    ahead = Window.partitionBy("symbol").orderBy("__s").rangeBetween(0, seconds)
+    seen = numbered.withColumn("__path", F.collect_list(F.struct("ts", "close")).over(ahead)).where((F.col("__i") > skip) & (F.col(target) > least))
+    due = vertical_barrier(seen.select("symbol", F.col("ts").alias("t0")), bars, seconds).select("symbol", F.col("t0").alias("ts"), F.col("t1").alias("__v"))
+    closes = bars.select("symbol", F.col("ts").alias("__v"), F.col("close").alias("__vc"))
+    known = seen.join(due.join(closes, ["symbol", "__v"]), ["symbol", "ts"], "left")
+    # The barrier's bar may lie beyond the frame, where no bar is due on the day.
+    later = F.col("__v").isNotNull() & (F.col("__v") > F.element_at("__path", -1)["ts"])
+    path = F.when(later, F.concat("__path", F.array(F.struct(F.col("__v").alias("ts"), F.col("__vc").alias("close"))))).otherwise(F.col("__path"))
+
+    def first(condition) -> Column:
+        return F.get(F.filter(path, condition), F.lit(0))["ts"]
+
+    up = first(lambda p: p["close"] / F.col("close") - 1 > pt * F.col(target)) if pt > 0 else F.lit(None)
+    down = first(lambda p: p["close"] / F.col("close") - 1 < -sl * F.col(target)) if sl > 0 else F.lit(None)
+    touched = known.withColumn("t1", F.least(up.cast("timestamp_ntz"), down.cast("timestamp_ntz"), "__v"))
+    return touched.where("t1 IS NOT NULL").select("symbol", F.col("ts").alias("t0"), "t1", F.col(target).alias("trgt"))
+
+
 def outcomes(events: DataFrame, bars: DataFrame, pt: float, sl: float, side: str | None = None) -> DataFrame:
     """symbol, t0, t1, ret, trgt, bin of events (symbol, t0, t1, trgt) that have a t1.
 
@@ -190,13 +217,13 @@ def _ranked(t: Column, n: int) -> Column:
 
 
 def trend_labels(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """The horizon with the largest t-statistic of a linear trend ahead, its t value and sign.
+    """The horizon with the largest t-statistic of a linear trend ahead (ties: the shortest), its last bar t1, its t value and sign.
 
     Closed form from three forward sums per horizon, centred on the first close.
     """
     longest = max(horizons)
-    path = F.collect_list("close").over(_w().rowsBetween(0, longest - 1))
-    seen = bars.withColumn("__p", path).where(F.size("__p") == longest)
+    ahead = _w().rowsBetween(0, longest - 1)
+    seen = bars.withColumn("__p", F.collect_list("close").over(ahead)).withColumn("__at", F.collect_list("ts").over(ahead)).where(F.size("__p") == longest)
 
     def t_value(n: int) -> Column:
         y = F.transform(F.slice("__p", 1, n), lambda v, k: F.struct((v - F.col("close")).alias("y"), k.cast("double").alias("k")))
@@ -212,7 +239,7 @@ def trend_labels(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
 
     scored = seen.withColumn("__t", F.array(*[t_value(n) for n in horizons]))
     best = F.array_max("__t")
-    return scored.select("symbol", "ts", (-best["n"]).alias("horizon"), best["t"].alias("t_value"), F.sign(best["t"]).cast("int").alias("label"))
+    return scored.select("symbol", "ts", F.get("__at", (-best["n"]).cast("int") - 1).alias("t1"), (-best["n"]).alias("horizon"), best["t"].alias("t_value"), F.sign(best["t"]).cast("int").alias("label"))
 
 
 def concurrency(bars: DataFrame, events: DataFrame) -> DataFrame:

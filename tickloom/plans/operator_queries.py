@@ -218,7 +218,18 @@ def triple_barrier(spark, sf_dir):
     return labels.triple_barrier(_targets(spark, sf_dir), 10, 2.0, 1.0, least=0.01)
 
 
-@query()
+_TREND = {n: f"regr_slope(close, k) OVER w{n} / sqrt(nullif(regr_syy(close, k) OVER w{n} - pow(regr_slope(close, k) OVER w{n}, 2) * regr_sxx(close, k) OVER w{n}, 0) / ({n} - 2) / regr_sxx(close, k) OVER w{n})" for n in (5, 10, 15)}
+
+
+@query(
+    f"{P}, b AS (SELECT ticker AS symbol, CAST(date AS TIMESTAMP) AS ts, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM panel), t AS (SELECT symbol, ts, count(*) OVER w15 AS n, "
+    + ", ".join(f"{sql_} AS t{n}, last_value(ts) OVER w{n} AS e{n}" for n, sql_ in _TREND.items())
+    + " FROM b WINDOW "
+    + ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY k ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for n in _TREND)
+    + "), c AS (SELECT *, CASE WHEN abs(t5) >= abs(t10) AND abs(t5) >= abs(t15) THEN 5 WHEN abs(t10) >= abs(t15) THEN 10 ELSE 15 END AS h FROM t WHERE n = 15) "
+    + f"SELECT symbol, ts, CASE h WHEN 5 THEN e5 WHEN 10 THEN e10 ELSE e15 END AS t1, h AS horizon, {_r('CASE h WHEN 5 THEN t5 WHEN 10 THEN t10 ELSE t15 END')} AS t_value, "
+    + "CAST(sign(CASE h WHEN 5 THEN t5 WHEN 10 THEN t10 ELSE t15 END) AS INT) AS label FROM c"
+)
 def trend_label(spark, sf_dir):
     return labels.trend_labels(bar_view(spark, sf_dir), (5, 10, 15))
 

@@ -63,11 +63,11 @@ def meta_labeling(spark, sf_dir):
 
 @query()
 def meta_labeling_job(spark, sf_dir):
-    """Volatility target, barriers over all bars, sides, and the meta labels of those sides."""
+    """Volatility target, barriers at two and one targets and seven calendar days for every bar from the third on, sides, and the meta labels of those sides."""
     bars_ = bar_view(spark, sf_dir)
-    known = bars_.join(labels.daily_volatility(bars_, 60), ["symbol", "ts"])
-    events = labels.triple_barrier(known.select("symbol", "ts", "close", "trgt"), 7, 2.0, 1.0, least=0.01)
-    return labels.meta_labels(events.select("symbol", "t0", "t1", "trgt"), bars_, 2.0, 1.0)
+    known = bars_.join(labels.daily_volatility(bars_, 60), ["symbol", "ts"], "left")
+    events = labels.triple_barrier_days(known.select("symbol", "ts", "close", "trgt"), 7, 2.0, 1.0, least=0.01, skip=2)
+    return labels.meta_labels(events, bars_, 2.0, 1.0)
 
 
 @query(f"{OUT} SELECT bin, count(*) AS n, {_r('count(*) / sum(count(*)) OVER ()')} AS share FROM s GROUP BY bin")

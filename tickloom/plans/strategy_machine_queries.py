@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bars, fingerprint as fp, joins, panel as cross, reversion as rv, statistics as st, validation as v
+from ..operators import bars, fingerprint as fp, joins, labels, panel as cross, reversion as rv, statistics as st, validation as v
 from ..sources.views import panel, ticks
 from .operator_queries import P, RET, T, _r, query, returns
 from .validation_queries import FEATURES, labelled
@@ -103,3 +103,13 @@ def purge_antijoin(spark, sf_dir):
     """The spans of all years but 1997 that touch none of its own of the same symbol."""
     spans = panel(spark, sf_dir).select(F.col("ticker").alias("symbol"), F.col("date").alias("t0"), F.lead("date", 5).over(Window.partitionBy("ticker").orderBy("date")).alias("t1")).where("t1 IS NOT NULL")
     return joins.purge(spans.where("year(t0) <> 1997"), spans.where("year(t0) = 1997"))
+
+
+@query(f"""{P}, d AS (SELECT ticker, date, open / close - 1 AS d FROM panel) SELECT ticker, CAST(date AS VARCHAR) AS date, {_r('d / sqrt(0.5 + d * d)')} AS sigmoid, {_r('sign(d) * pow(abs(d), 1.5)')} AS power,
+  {_r('greatest(least(round_even(d / sqrt(0.5 + d * d) / 0.1, 0) * 0.1, 1), -1)')} AS stepped FROM d""")
+def bet_forms(spark, sf_dir):
+    """Bet sizes of the open against the close: sigmoid, power, and the sigmoid in steps of a tenth."""
+    d = F.col("open") / F.col("close") - 1
+    known = panel(spark, sf_dir).select("ticker", "date", d.alias("d"))
+    size = st.bet_sigmoid(F.col("d"), F.lit(0.5))
+    return known.select("ticker", "date", size.alias("sigmoid"), st.bet_power(F.col("d"), F.lit(1.5)).alias("power"), labels.discrete(size, 0.1).alias("stepped"))
