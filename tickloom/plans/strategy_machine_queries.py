@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bars, fingerprint as fp, joins, labels, panel as cross, reversion as rv, statistics as st, validation as v
+from ..operators import bars, fingerprint as fp, hurst_trades as ht, joins, labels, panel as cross, reversion as rv, statistics as st, validation as v
 from ..sources.views import panel, ticks
 from .operator_queries import P, RET, T, _r, query, returns
 from .validation_queries import FEATURES, labelled
@@ -113,3 +113,19 @@ def bet_forms(spark, sf_dir):
     known = panel(spark, sf_dir).select("ticker", "date", d.alias("d"))
     size = st.bet_sigmoid(F.col("d"), F.lit(0.5))
     return known.select("ticker", "date", size.alias("sigmoid"), st.bet_power(F.col("d"), F.lit(1.5)).alias("power"), labels.discrete(size, 0.1).alias("stepped"))
+
+
+def _hurst_trades(spark, sf_dir):
+    p = panel(spark, sf_dir).select("ticker", "date", "high", "low", "close")
+    return ht.hurst_strategy(p, st.rolling_hurst(returns(spark, sf_dir), width=90), ht.HurstRules(by_type=True))
+
+
+@query()
+def hurst_strategy(spark, sf_dir):
+    return _hurst_trades(spark, sf_dir)
+
+
+@query()
+def evaluate_by_type(spark, sf_dir):
+    """What the trades by the Hurst exponent earn, by side."""
+    return ht.evaluate(_hurst_trades(spark, sf_dir))
