@@ -29,9 +29,13 @@ class Cusum:
         self.h, self.up, self.down, self.last = h, 0.0, 0.0, None
 
     def step(self, value: float) -> bool:
-        """Whether the next value fires; the down side is tested first. A gap adds nothing, and so does the step after it."""
+        """Whether the next value fires. A gap adds nothing, and so does the step after it."""
         d = 0.0 if self.last is None or value is None or np.isnan(value) or np.isnan(self.last) else value - self.last
         self.last = value
+        return self.move(d)
+
+    def move(self, d: float) -> bool:
+        """Whether a change fires; the down side is tested first."""
         self.up, self.down = max(0.0, self.up + d), min(0.0, self.down + d)
         if self.down < -self.h:
             self.down = 0.0
@@ -46,6 +50,13 @@ class Cusum:
         return rows.loc[fired, ["symbol", "ts"]]
 
 
+def cusum_steps(steps, h: float):
+    """For each change whether the CUSUM fires."""
+    held = Cusum(h)
+    for d in steps:
+        yield held.move(d)
+
+
 def cusum_events(bars: DataFrame, h: float) -> DataFrame:
     """symbol, ts of the bars at which the symmetric CUSUM of close changes fires (a recurrence per symbol, in sorted batches)."""
     read = bars.select("symbol", "ts", "close")
