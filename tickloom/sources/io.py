@@ -28,19 +28,50 @@ def statement_items(df: DataFrame, items: list[str]) -> DataFrame:
     """Raw item cells to numbers: plain, placeholder (0) or a list text whose first value counts."""
     def number(c: str):
         cell = F.trim(c)
-        first = F.get(F.from_json(F.when(cell.startswith("["), cell), "array<double>"), F.lit(0))
+        listed = F.regexp_replace(F.when(cell.startswith("["), cell), r"\b(None|nan|NaN)\b", "null")
+        first = F.get(F.from_json(listed, "array<double>"), F.lit(0))
         return F.when(cell.isin(*PLACEHOLDERS), 0.0).otherwise(F.coalesce(first, F.expr(f"try_cast(trim({c}) AS double)"), F.lit(0.0)))
 
     return df.withColumns({c: number(c) for c in items})
 
 
+# What reports are called, and the quarter that they end.
+QUARTERS = {"FY": "Q4", "Q9": "Q3", "Q6": "Q2", "Q1": "Q1", "三季报": "Q3", "半年报": "Q2", "中报": "Q2", "一季报": "Q1", "年报": "Q4"}
+
+
 def report_name(name):
-    """2023FY, 2023Q6 and the like to year/Qn."""
-    year, rest = F.regexp_extract(name, r"(\d{4})", 1), F.regexp_extract(name, r"(FY|Q\d)", 1)
-    quarter = F.when(rest == "FY", "Q4").when(rest == "Q6", "Q2").when(rest == "Q9", "Q3").otherwise(rest)
+    """2023FY, 2023年Q6, 2023年报 and the like to year/Qn; other names keep what follows the year."""
+    year, rest = F.regexp_extract(name, r"(\d{4})", 1), F.regexp_extract(name, r"\d{4}年?(.*)$", 1)
+    quarter = rest
+    for called, q in QUARTERS.items():
+        quarter = F.when(rest == called.removeprefix("年"), q).when(rest == called, q).otherwise(quarter)
     return F.concat_ws("/", year, quarter)
 
 
+STATEMENTS = ("income", "cash", "balance", "metrics")
+
+
+def statement_files(spark: SparkSession, root: str, provider: str = "xq", titles: dict[str, str] | None = None) -> list[DataFrame]:
+    """The four statement files of every symbol below root/<symbol>/<provider>, cleaned: ticker, report_name, report_date and items.
+
+    Columns that begin with subtitle go, others are renamed by ``titles``, cells
+    become numbers, and rows are named by quarter. Files of one kind have the
+    same columns; a kind without any file is left out.
+    """
+    parts = []
+    for kind in STATEMENTS:
+        pattern = f"{root.rstrip('/')}/*/{provider}/{kind}.csv"
+        glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        if not glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob):
+            continue
+        read = spark.read.option("header", True).option("multiLine", False).csv(pattern).withColumn("ticker", F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{provider}/{kind}[.]csv$", 1))
+        read = read.drop(*[c for c in read.columns if c.startswith("subtitle") or c.startswith("Unnamed")]).withColumnsRenamed(titles or {})
+        items = [c for c in read.columns if c not in ("ticker", "report_name", "report_date", "ctime")]
+        cleaned = statement_items(read, items).withColumn("report_name", report_name(F.col("report_name"))).withColumn("report_date", F.to_date("report_date"))
+        parts.append(cleaned.select("ticker", "report_name", "report_date", *items))
+    return parts
+
+
 def calendar(prices_: DataFrame, reference: str, start: str, end: str) -> DataFrame:
     """Trade dates of the reference instrument within the range."""
     return prices_.where((F.col("ticker") == reference) & F.col("date").between(start, end)).select("date").distinct()
