@@ -157,6 +157,29 @@ def test_impurity_importance_per_tree(spark):
         assert got[f] == pytest.approx(tuple(want.loc[f]))
 
 
+def test_clustered_importance_sums_each_tree(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from tickloom.operators import spectral
+
+    raw = spark.createDataFrame(events(), SCHEMA).withColumn("twin", F.col("f1") * 2 + F.col("noise") / 50)
+    names = ["f1", "f2", "noise", "twin"]
+    pairs = spectral.feature_pairs(raw, names)
+    table = raw.select(*names).toPandas()
+    for r in pairs.collect():
+        assert r.corr == pytest.approx(table[r.a].corr(table[r.b])) and r.cov == pytest.approx(table[r.a].cov(table[r.b]))
+    found = {r.key: r.cluster for r in spectral.clusters(pairs, "by", most=3).collect()}
+    assert found["f1"] == found["twin"] and found["f2"] != found["f1"]
+    model = v.weighted(RandomForestClassifier(numTrees=5, maxDepth=2, seed=3)).fit(v.assembled(raw, names))
+    groups = {k: f"C_{c}" for k, c in found.items()}
+    got = {r.feature: (r.mean, r.error) for r in v.impurity_importance(model, names, spark, groups).collect()}
+    trees = pd.DataFrame([t.featureImportances.toArray() for t in model.trees], columns=names).T.groupby(groups).sum().T
+    want = pd.DataFrame({"m": trees.mean(), "e": trees.std() * 5**-0.5}) / trees.mean().sum()
+    assert set(got) == set(groups.values())
+    for c in got:
+        assert got[c] == pytest.approx(tuple(want.loc[c]))
+
+
 def test_walk_forward_sees_no_future(spark):
     rows = events(200)
     df = spark.createDataFrame(rows, SCHEMA)

@@ -273,12 +273,21 @@ def permutation_importance(events: DataFrame, features: list[str], estimator: Es
     return _mean_and_error(lost, "feature", "lost")
 
 
-def impurity_importance(model: Model, features: list[str], spark) -> DataFrame:
-    """feature, mean and error over the trees of a forest that use it, in shares of the means' sum."""
+def impurity_importance(model: Model, features: list[str], spark, groups: dict[str, str] | None = None) -> DataFrame:
+    """feature, mean and error over the trees of a forest, in shares of the means' sum.
+
+    A feature's mean is over the trees that use it. With ``groups`` (feature to
+    cluster) a tree's importances are summed by cluster first, and every tree counts."""
     rows = []
     for k, tree in enumerate(model.trees):
-        rows += [(k, f, float(v)) for f, v in zip(features, tree.featureImportances.toArray(), strict=True)]
-    trees = spark.createDataFrame(rows, "tree int, feature string, v double").withColumn("v", F.expr("nullif(v, 0D)"))
+        found: dict[str, float] = {}
+        for f, v in zip(features, tree.featureImportances.toArray(), strict=True):
+            name = f if groups is None else groups[f]
+            found[name] = found.get(name, 0.0) + float(v)
+        rows += [(k, f, v) for f, v in found.items()]
+    trees = spark.createDataFrame(rows, "tree int, feature string, v double")
+    if groups is None:
+        trees = trees.withColumn("v", F.expr("nullif(v, 0D)"))
     n = F.lit(float(len(model.trees)))
     by = trees.groupBy("feature").agg(F.avg("v").alias("m"), F.try_divide(F.stddev_samp("v"), F.sqrt(n)).alias("e"))
     total = F.sum("m").over(Window.partitionBy())  # a row per feature

@@ -82,3 +82,12 @@ def denoise_corr_shrunk(spark, sf_dir):
 @query()
 def detone_corr(spark, sf_dir):
     return sp.denoised(moments(spark, sf_dir), "year", market=1)
+
+
+@query()
+def clustered_mdi(spark, sf_dir):
+    """Impurity importance of a forest by clusters of correlated features."""
+    events = labelled(spark, sf_dir).persist()
+    model = v.weighted(RandomForestClassifier(numTrees=10, maxDepth=4, seed=7)).fit(v.assembled(events, FEATURES))
+    groups = {r["key"]: f"C_{r['cluster']}" for r in sp.clusters(sp.feature_pairs(events, FEATURES), "by", most=4).collect()}
+    return v.impurity_importance(model, FEATURES, spark, groups).withColumnRenamed("feature", "cluster")
