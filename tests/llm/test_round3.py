@@ -271,3 +271,22 @@ def test_kept_documents_keep_their_columns(spark):
     kept = rule_ledger.keep_documents(df)
     assert kept.columns == df.columns
     assert rows(kept) == [(1, fine, 5, "f", "t", "w")] * 2
+
+
+# --- the registered queries
+
+
+def test_registered_queries_on_small_tables(spark, tmp_path):
+    from tickloom.llm import queries
+
+    docs = spelled(5, 30) + [(i + 500, t) for i, t in ruled(9) if i is not None]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    turns = talk(4, 40)
+    spark.createDataFrame(turns, TURNS).drop("path").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert rows(queries.QUERIES["op11_spelling_variants"](spark, str(tmp_path))) == brute_variants(docs)
+    assert rows(queries.QUERIES["op12_conversation_trie"](spark, str(tmp_path))) == brute_trie(turns)
+    book = queries.QUERIES["op13_quality_rules"](spark, str(tmp_path))
+    got = rows(book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+    assert got == sorted(((i, *brute_rules(t)) for i, t in docs), key=repr)
+    assert book.where("base_failed AND kept").count() == 0 and book.where("kept").count() > 0
+    assert queries.QUERIES["op12_conversation_trie"](spark, str(tmp_path)).columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
