@@ -71,3 +71,23 @@ def test_bars_on_slots(spark):
     ends = plain(ticks.where("price IS NOT NULL")).agg(F.sum(F.col("price") - F.col("before")).alias("dp")).first()
     assert changes.dp == pytest.approx(ends.dp)
     assert bars.scanned(ticks.limit(0)).count() == 0
+
+
+def test_zero_prices_and_volumes_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tickloom.plans import catalog
+
+    def price(s, k):
+        return 0.0 if (s, k) in (("a", 7), ("b", 19), ("b", 20), ("c", 39)) else 5.0 + (k * 7 + ord(s)) % 11
+
+    rows = [(100 * ord(s) + k, START + dt.timedelta(minutes=k), k, s, price(s, k), '{"k": %d}' % (0 if s == "d" and k < 20 else k % 9)) for s in "abcd" for k in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in catalog.QUERIES["bar_micro_features"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert list(map(repr, got)) == list(map(repr, sorted(con.sql(catalog.SQL["bar_micro_features"]).fetchall())))
+    vwap, amihud = ({(r[0], r[1]): r[k] for r in got} for k in (2, 6))
+    assert len(got) == 12 and repr(vwap["d", 0]) == "nan" and amihud["d", 0] is None
+    # A move to 0 is -inf times 0 dollars; the next bar of c has only the move back.
+    assert repr(amihud["a", 0]) == "nan" and amihud["c", 2] == float("inf") and 0 < amihud["a", 1] < 1
