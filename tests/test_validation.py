@@ -80,6 +80,29 @@ def test_scores_equal_a_loop_and_train_rows_touch_no_test_span(spark, embargo):
         assert got[k].f1 == pytest.approx(2 * tp / (2 * tp + wrong), abs=1e-9)
 
 
+def test_fits_run_on_few_even_partitions(spark, monkeypatch):
+    sizes = []
+
+    class Recording(LogisticRegression):
+        def _fit(self, dataset):
+            sizes.append(dataset.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+            return super()._fit(dataset)
+
+    # As windows by key leave them: two full partitions among many empty ones.
+    df = spark.createDataFrame(events(), SCHEMA).repartition(40, "symbol")
+    folds = v.spans(df, 4, 0.02)
+    candidates = {"lr": (Recording(), ["f1", "f2"])}
+    scores = [v.cross_validate(df, candidates, folds).orderBy("fold").collect()]
+    assert [len(s) for s in sizes] == [1] * 4
+    sizes.clear()
+    monkeypatch.setattr(v, "ROWS", 30)
+    scores.append(v.cross_validate(df, candidates, folds).orderBy("fold").collect())
+    assert [len(s) for s in sizes] == [8] * 4 and all(0 < min(s) and max(s) <= 30 for s in sizes)
+    assert sum(map(sum, sizes)) == sum(r.n_train for r in scores[0])
+    for a, b in zip(*scores, strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-6)
+
+
 def test_weights_change_the_fit_and_the_score(spark):
     rows = events()
     flat = [(*r[:-1], 1.0) for r in rows]

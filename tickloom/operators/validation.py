@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 AT_ONCE = 4
+#: Rows of one partition of the table that folds are fitted on.
+ROWS = 100_000
 #: Logarithms of probabilities are taken no nearer to 0 and 1.
 EPS = 2.220446049250313e-16
 METRICS = ("neg_log_loss", "accuracy", "f1")
@@ -108,10 +110,20 @@ def _ready(events: DataFrame, folds: list[Span], columns: list[str]) -> DataFram
     return purged(made.select("t0", "t1", F.col(LABEL).cast("double").alias(LABEL), F.col(WEIGHT).cast("double").alias(WEIGHT), *columns), folds)
 
 
+def _dealt(data: DataFrame) -> DataFrame:
+    """data in even partitions of about ``ROWS`` rows.
+
+    A fit passes over its rows dozens of times, one task a partition: what
+    windows leave, a few full partitions among the shuffle's many empty ones,
+    costs a fit far more in tasks than in rows.
+    """
+    return data.repartition(max(1, math.ceil(data.count() / ROWS)))
+
+
 def cross_validate(events: DataFrame, candidates: dict[str, tuple[Estimator, list[str]]], folds: list[Span]) -> DataFrame:
     """name, fold, n_train, n_test and the scores of every candidate (an estimator and its features) in every fold."""
     columns = sorted({f for _, fs in candidates.values() for f in fs})
-    data = _ready(events, folds, columns).persist()
+    data = _dealt(_ready(events, folds, columns)).persist()
 
     def job(name: str, fold: int):
         estimator, features = candidates[name]
@@ -183,7 +195,7 @@ def hyper_fit(events: DataFrame, features: list[str], estimator: Estimator, choi
     means = {r["name"]: r["m"] for r in scores.groupBy("name").agg(F.avg(scoring).alias("m")).collect()}
     best = max(named, key=lambda name: -math.inf if means.get(name) is None else means[name])
     fitted = with_parameters(named[best])
-    data = _ready(events, [], features).persist()
+    data = _dealt(_ready(events, [], features)).persist()
     model = weighted(fitted).fit(assembled(data, features)) if bagging is None else bag(data, features, fitted, *bagging, seed=seed)
     data.unpersist()
     return Search(named[best], scores, model)
